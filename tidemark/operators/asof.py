@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import simple_return
 
-_TS, _ROW, _POINT, _SLOT = "__ts", "__row", "__point", "__slot"
+_TS, _ROW, _POINT, _SLOT, _KNOWN = "__ts", "__row", "__point", "__slot", "__known"
 
 
 def _lookup(
@@ -32,7 +32,8 @@ def _lookup(
     seen = W.partitionBy(*by).orderBy(time, tie).rowsBetween(W.unboundedPreceding, 0)
     return (
         tagged.withColumn(_ROW, F.last(_ROW, ignorenulls=True).over(seen))
-        .where(F.col(_POINT) & F.col(_ROW).isNotNull())
+        .withColumn(_KNOWN, F.max(~F.col(_POINT)).over(W.partitionBy(*by)))
+        .where(F.col(_POINT) & F.col(_KNOWN))
         .drop(_POINT)
     )
 
@@ -72,13 +73,17 @@ def asof_join(
     forward: bool = False,
     strict: bool = False,
     slot: Column | None = None,
+    points: DataFrame | None = None,
+    known: str | None = None,
 ) -> DataFrame:
     """``left`` plus the payload of the last right row at or before ``left_ts``.
 
     ``forward`` takes the first row at or after; ``strict`` excludes equal times.
     ``payload`` maps right columns to output names. ``(by, right_ts)`` must be unique in
     ``right``. ``slot`` (an expression over ``__ts``, e.g. its month) splits the window of
-    a key whose right rows are not bounded by a calendar.
+    a key whose right rows are not bounded by a calendar. ``points`` supplies the lookup
+    points ``(by, left_ts)`` when a cheaper plan than ``left`` has them, and ``known`` names
+    a flag column that says whether the key occurs in ``right`` at all.
     """
     keys = [by] if isinstance(by, str) else list(by)
     names = payload if isinstance(payload, dict) else {c: c for c in payload}
@@ -89,20 +94,22 @@ def asof_join(
             F.col(right_ts).alias(_TS), *[F.col(c).alias(n) for c, n in names.items()]
         ).alias(_ROW),
     )
-    points = (
-        left.where(F.col(left_ts).isNotNull()).select(*keys, F.col(left_ts).alias(_TS)).distinct()
+    source = left if points is None else points
+    wanted = (
+        source.where(F.col(left_ts).isNotNull()).select(*keys, F.col(left_ts).alias(_TS)).distinct()
     )
     if slot is None:
-        hits = _lookup(points, facts, keys, forward, strict)
+        hits = _lookup(wanted, facts, keys, forward, strict)
     else:
-        carried = _with_carry(points, facts, keys, slot, forward)
-        hits = _lookup(points.withColumn(_SLOT, slot), carried, [*keys, _SLOT], forward, strict).drop(
+        carried = _with_carry(wanted, facts, keys, slot, forward)
+        hits = _lookup(wanted.withColumn(_SLOT, slot), carried, [*keys, _SLOT], forward, strict).drop(
             _SLOT
         )
     hits = hits.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.col(_TS),
         *[F.col(f"{_ROW}.{n}").alias(n) for n in names.values()],
+        *([] if known is None else [F.col(_KNOWN).alias(known)]),
     )
     match = F.col(left_ts) == F.col(_TS)
     for i, k in enumerate(keys):

@@ -9,12 +9,30 @@ from ..functions.costs import CostModel, net_return
 from ..schemas import LEDGER_COLUMNS
 from .asof import at_position
 from .bars import with_positions
-from .flow import attach_bars, reference_date
+from .flow import attach_bars
 from .strategies import Strategy, enabled_strategies, generate_trades
 
 CAPITAL = 100_000.0
 
 
+# What resolving a trade reads from its event.
+EVENT_CONTEXT = [
+    "a_listed", "a_bar_no", "a_n_bars", "a_next_date", "a_next_open", "a_next_close", "a_next_vwap",
+    "a_entry_adv_dollars", "e_bar_no", "theme", "provider", "market_cap",
+]
+
+
+def _with_context(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """Events that carry the bar columns and every context column."""
+    source = events if "a_bar_no" in events.columns else attach_bars(events, bars)
+    for name in ("theme", "provider"):
+        if name not in source.columns:
+            source = source.withColumn(name, F.lit(None).cast("string"))
+    if "market_cap" not in source.columns:
+        source = source.withColumn("market_cap", F.lit(None).cast("double"))
+    return source
+
+
 def backtest_trades(
     trades: DataFrame,
     events: DataFrame,
@@ -22,24 +40,22 @@ def backtest_trades(
     costs: CostModel | None = None,
     capital: float = CAPITAL,
 ) -> DataFrame:
-    """BT1: every trade as an executed or rejected ledger row.
-
-    The bar columns of an event are reused when ``events`` already carries them. Exit
-    bars are fetched by an equi-join on (symbol, bar_no).
-    """
-    costs = costs or CostModel()
-    source = events if "a_bar_no" in events.columns else attach_bars(events, bars)
-    for name in ("market_cap", "theme", "provider"):
-        if name not in source.columns:
-            source = source.withColumn(name, F.lit(None))
-    meta = source.select(
-        F.col("event_id").alias("__id"),
-        reference_date().alias("__ref"),
-        "a_bar_no", "a_n_bars", "a_next_date", "a_next_open", "a_next_close", "a_next_vwap",
-        "a_entry_adv_dollars", "e_bar_no", "theme", "provider", "market_cap",
+    """BT1: every given trade as an executed or rejected ledger row (JN12)."""
+    meta = _with_context(events, bars).select(
+        F.col("event_id").alias("__id"), F.lit(True).alias("has_event"), *EVENT_CONTEXT
     )
-    t = trades.join(meta, F.col("event_id") == F.col("__id"), "left")
+    joined = trades.join(meta, F.col("event_id") == F.col("__id"), "left").withColumn(
+        "has_event", F.coalesce("has_event", F.lit(False))
+    )
+    return resolve_trades(joined, bars, costs, capital)
+
 
+def resolve_trades(
+    t: DataFrame, bars: DataFrame, costs: CostModel | None = None, capital: float = CAPITAL
+) -> DataFrame:
+    """Price trades that carry their event context; exit bars come by an equi-join on
+    (symbol, bar_no), so a hot symbol spreads over its positions."""
+    costs = costs or CostModel()
     entry_pos = F.col("a_bar_no") + 1
     priced = (
         F.when(F.col("entry_ref") == "next_close", F.col("a_next_close"))
@@ -63,17 +79,13 @@ def backtest_trades(
     t = at_position(
         t, positioned, "asx_ticker", "__exit_pos", {"close": "exit_price", "date": "exit_date"}
     )
-    # A symbol without any bar is told apart from one whose first bar is later.
-    listed = bars.select(F.col("symbol").alias("__listed")).distinct()
-    t = t.join(listed, F.col("asx_ticker") == F.col("__listed"), "left")
-
     t = t.withColumn("__cost", costs.breakdown(F.lit(capital), "a_entry_adv_dollars")).withColumn(
         "__harsh", costs.breakdown(F.lit(capital), "a_entry_adv_dollars", harsh=True)
     )
     no_symbol = F.coalesce("asx_ticker", F.lit("")) == ""
     reason = (
-        F.when(F.col("__id").isNull() | no_symbol, "no_event_or_symbol")
-        .when(F.col("__listed").isNull(), "no_prices")
+        F.when(~F.col("has_event") | no_symbol, "no_event_or_symbol")
+        .when(~F.coalesce("a_listed", F.lit(False)), "no_prices")
         .when(F.col("a_bar_no").isNull(), "no_bar_at_announcement")
         .when(F.coalesce(F.col("entry_price") <= 0, F.lit(True)), "no_entry_bar")
         .when(F.col("exit_price").isNull(), "no_exit_bar")
@@ -90,7 +102,7 @@ def backtest_trades(
         return F.when(~F.col("rejected"), c)
 
     net = net_return("gross_return", "__cost.round_trip_bps")
-    has_event = F.col("__id").isNotNull() & ~no_symbol
+    has_event = F.col("has_event") & ~no_symbol
     out = t.select(
         "strategy",
         "event_id",
@@ -126,7 +138,9 @@ def run_strategies(
 ) -> DataFrame:
     """BT5: trades of all strategies resolved together: one as-of pass, one exit join."""
     chosen = enabled_strategies() if strategies is None else strategies
-    return backtest_trades(generate_trades(events, chosen), events, bars, **kwargs)
+    context = _with_context(events, bars).withColumn("has_event", F.lit(True))
+    trades = generate_trades(context, chosen, ["has_event", *EVENT_CONTEXT])
+    return resolve_trades(trades, bars, **kwargs)
 
 
 def executed(ledger: DataFrame) -> DataFrame:

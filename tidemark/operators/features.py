@@ -48,6 +48,7 @@ def attach_fundamentals(
     market_caps: DataFrame | None,
     profiles: DataFrame | None,
     allow_current_profile: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """JN8: market cap known at the reference date, sector and industry.
 
@@ -59,7 +60,10 @@ def attach_fundamentals(
         out = out.withColumn("ref_date", reference_date())
     if market_caps is not None:
         caps = market_caps.withColumnRenamed("symbol", "asx_ticker")
-        out = asof_join(out, caps, "asx_ticker", "ref_date", "date", {"market_cap": "market_cap"})
+        points = None if base is None else base.withColumn("ref_date", reference_date())
+        out = asof_join(
+            out, caps, "asx_ticker", "ref_date", "date", ["market_cap"], points=points
+        )
     else:
         out = out.withColumn("market_cap", F.lit(None).cast("double"))
     if profiles is None:
@@ -81,10 +85,16 @@ def with_features(
     market_caps: DataFrame | None = None,
     profiles: DataFrame | None = None,
     allow_current_profile: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Events plus the 25 feature columns; price features are as of the reference date."""
-    counts = events_per_ticker(enriched).withColumnRenamed("n_events", "__events")
-    out = attach_fundamentals(enriched, market_caps, profiles, allow_current_profile)
+    """Events plus the 25 feature columns; price features are as of the reference date.
+
+    ``base`` is the event table ``enriched`` was made from: lookups and counts read it
+    instead of running the enrichment once more.
+    """
+    source = enriched if base is None else base
+    counts = events_per_ticker(source).withColumnRenamed("n_events", "__events")
+    out = attach_fundamentals(enriched, market_caps, profiles, allow_current_profile, base)
     out = out.join(counts, "asx_ticker", "left")
     known = F.when(F.col("asx_ticker").isNotNull(), F.coalesce("__events", F.lit(1)))
     return out.withColumns(

@@ -73,13 +73,37 @@ EFF_PAYLOAD = [
 
 
 def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Add ``a_*`` (announcement bar) and ``e_*`` (effective bar) columns to events."""
-    wide = study_bars(bars).withColumnRenamed("symbol", "asx_ticker")
+    """Add ``a_*`` (announcement bar) and ``e_*`` (effective bar) columns to events.
+
+    Both dates of all events are resolved together: one set of distinct (symbol, date)
+    points, one ordered pass over the bars, then two equi-joins with the same result.
+    ``a_listed`` tells a symbol without bars from one whose first bar is later.
+    """
     dated = events.withColumn("ref_date", reference_date())
-    out = asof_join(dated, wide, "asx_ticker", "ref_date", "date", {c: f"a_{c}" for c in ANN_PAYLOAD})
-    return asof_join(
-        out, wide, "asx_ticker", "effective_date", "date", {c: f"e_{c}" for c in EFF_PAYLOAD}
+    points = dated.select(
+        "asx_ticker", F.explode(F.array("ref_date", "effective_date")).alias("look_date")
     )
+    wide = study_bars(bars).withColumnRenamed("symbol", "asx_ticker")
+    payload = list(dict.fromkeys([*ANN_PAYLOAD, *EFF_PAYLOAD]))
+    wanted = points.where(F.col("look_date").isNotNull()).distinct()
+    found = asof_join(
+        wanted, wide, "asx_ticker", "look_date", "date", payload, known="listed"
+    ).where(F.col("listed"))
+
+    def role(prefix: str, columns: list[str]) -> DataFrame:
+        return found.select(
+            F.col("asx_ticker").alias("__sym"),
+            F.col("look_date").alias("__day"),
+            *[F.col(c).alias(f"{prefix}{c}") for c in columns],
+        )
+
+    def matched(day: str):
+        return (F.col("asx_ticker") == F.col("__sym")) & (F.col(day) == F.col("__day"))
+
+    announced = role("a_", [*ANN_PAYLOAD, "listed"])
+    effective = role("e_", EFF_PAYLOAD)
+    out = dated.join(announced, matched("ref_date"), "left").drop("__sym", "__day")
+    return out.join(effective, matched("effective_date"), "left").drop("__sym", "__day")
 
 
 def estimate_flows(events: DataFrame, as_of: str | None = None) -> DataFrame:

@@ -107,70 +107,59 @@ def diff_history(
 ) -> DataFrame:
     """EV1-EV3: changes between every consecutive snapshot pair of every product.
 
-    Each holding is sent once as the new side of its own snapshot and once as the old
-    side of the next one, so one ``groupBy`` on (product, date, constituent) replaces a
-    full outer join, with partial aggregation before its shuffle. The first snapshot has
-    no pair and emits nothing.
+    Set-wise over all pairs: the history of one (product, constituent) is read in one
+    window, bounded by the product's snapshots. A line compares with its own previous
+    line when that belongs to the snapshot just before, and leaves a DELETED record when
+    the next snapshot lacks it. The first snapshot has no pair and emits nothing.
     """
     lines = collapse_constituents(holdings, compat)
     if "exchange" not in lines.columns:
         lines = lines.withColumn("exchange", F.lit(None).cast("string"))
     dates = snapshot_dates(holdings)
     if latest_only:
-        dates = dates.where(F.col("snap_no") >= F.col("n_snaps") - 1)
-        dates = dates.withColumn("prev_date", F.when(F.col("snap_no") == F.col("n_snaps"), F.col("prev_date")))
-    dated = lines.join(
-        dates.select("product_ticker", "as_of_date", "prev_date", "next_date"),
-        ["product_ticker", "as_of_date"],
+        dates = dates.where(F.col("snap_no") >= F.col("n_snaps") - 1).withColumn(
+            "prev_date", F.when(F.col("snap_no") == F.col("n_snaps"), F.col("prev_date"))
+        )
+    history = W.partitionBy("product_ticker", "constituent_key").orderBy("snap_no")
+    dated = (
+        lines.join(dates, ["product_ticker", "as_of_date"])
+        .withColumn("in_old", F.coalesce(F.lag("snap_no").over(history) == F.col("snap_no") - 1, F.lit(False)))
+        .withColumn("stays", F.coalesce(F.lead("snap_no").over(history) == F.col("snap_no") + 1, F.lit(False)))
+        .withColumn("before_weight", F.lag("weight_pct").over(history))
+        .withColumn("before_shares", F.lag("shares").over(history))
     )
-    held = ["constituent_ticker", "constituent_name", "exchange", "weight_pct", "shares"]
-    sides = F.array(
-        F.struct(
-            F.lit(True).alias("is_new"),
-            F.col("prev_date").alias("prev_date"),
-            F.col("as_of_date").alias("pair_date"),
+
+    def record(keep, prev_date, as_of_date, in_new, in_old, old_w, new_w, old_s, new_s):
+        return F.when(
+            keep,
+            F.struct(
+                prev_date.alias("prev_date"), as_of_date.alias("as_of_date"),
+                in_new.alias("in_new"), in_old.alias("in_old"),
+                old_w.alias("old_weight"), new_w.alias("new_weight"),
+                old_s.alias("old_shares"), new_s.alias("new_shares"),
+            ),
+        )
+
+    none = F.lit(None).cast("double")
+    weight, shares = F.col("weight_pct"), F.col("shares")
+    records = F.array(
+        record(
+            F.col("prev_date").isNotNull(), F.col("prev_date"), F.col("as_of_date"),
+            F.lit(True), F.col("in_old"),
+            F.when(F.col("in_old"), F.col("before_weight")), weight,
+            F.when(F.col("in_old"), F.col("before_shares")), shares,
         ),
-        F.struct(
-            F.lit(False).alias("is_new"),
-            F.col("as_of_date").alias("prev_date"),
-            F.col("next_date").alias("pair_date"),
+        record(
+            F.col("next_date").isNotNull() & ~F.col("stays"), F.col("as_of_date"), F.col("next_date"),
+            F.lit(False), F.lit(True), weight, none, shares, none,
         ),
     )
-    moved = (
-        dated.select("product_ticker", "constituent_key", *held, F.explode(sides).alias("s"))
-        .where(F.col("s.prev_date").isNotNull() & F.col("s.pair_date").isNotNull())
-    )
-
-    def side(name: str, new: bool):
-        return F.max(F.when(F.col("s.is_new") == new, F.col(name)))
-
-    paired = moved.groupBy(
-        "product_ticker",
-        F.col("s.prev_date").alias("prev_date"),
-        F.col("s.pair_date").alias("as_of_date"),
-        "constituent_key",
-    ).agg(
-        F.max("s.is_new").alias("in_new"),
-        (~F.min("s.is_new")).alias("in_old"),
-        *[side(c, True).alias(f"new_{c}") for c in held],
-        *[side(c, False).alias(f"old_{c}") for c in held],
-    )
-    named = paired.select(
-        "product_ticker",
-        "prev_date",
-        "as_of_date",
-        "in_new",
-        "in_old",
-        *[
-            F.when(F.col("in_new"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
-            for c in held[:3]
-        ],
-        F.col("old_weight_pct").alias("old_weight"),
-        F.col("new_weight_pct").alias("new_weight"),
-        "old_shares",
-        "new_shares",
+    paired = dated.withColumn(
+        "r", F.explode(F.filter(records, lambda r: r.isNotNull()))
+    ).select(
+        "product_ticker", "constituent_ticker", "constituent_name", "exchange", "r.*"
     )
-    out = _classify(named, weight_eps).select(*DIFF_COLUMNS)
+    out = _classify(paired, weight_eps).select(*DIFF_COLUMNS)
     return out if include_unchanged else out.where(F.col("change_type") != "UNCHANGED")
 
 

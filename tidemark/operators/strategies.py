@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..config import STRATEGY_PARAMS
 from ..functions.scalars import BUY_TYPES, direction, passes
-from ..schemas import TRADE_COLUMNS
 
 # Configuration labels of entries and exits.
 ENTRY_LABELS = {"detected_next_open": "next_open"}
@@ -165,7 +164,12 @@ def enabled_strategies() -> list[Strategy]:
     return [s for s in map(strategy, _PREDICATES) if s.enabled]
 
 
-def with_stack_count(events: DataFrame, window_days: int = 30, compat: bool = False) -> DataFrame:
+def with_stack_count(
+    events: DataFrame,
+    window_days: int = 30,
+    compat: bool = False,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """AG6 for stacked flow: how many funds pile into a stock.
 
     By default distinct funds (events without a fund count by themselves) with a
@@ -173,13 +177,14 @@ def with_stack_count(events: DataFrame, window_days: int = 30, compat: bool = Fa
     stock. Funds are first reduced to one row per (stock, fund, day), then each such row
     is sent to the days whose window it falls in, so no stock is gathered in one task.
     """
+    source_events = events if base is None else base
     if compat:
-        counts = events.groupBy("asx_ticker").agg(F.countDistinct("event_id").alias("stack_count"))
+        counts = source_events.groupBy("asx_ticker").agg(F.countDistinct("event_id").alias("stack_count"))
         return events.join(counts, "asx_ticker", "left")
     day = F.coalesce("announcement_date", "detected_date")
     dated = events.withColumn("__day", day)
     source = F.coalesce("product_ticker", "event_id")
-    seen = dated.select("asx_ticker", "__day", source.alias("__source")).distinct()
+    seen = source_events.withColumn("__day", day).select("asx_ticker", "__day", source.alias("__source")).distinct()
     days = seen.select("asx_ticker", "__day").distinct()
     reach = F.explode(F.sequence("__day", F.date_add("__day", window_days)))
     counts = (
@@ -191,10 +196,13 @@ def with_stack_count(events: DataFrame, window_days: int = 30, compat: bool = Fa
     return dated.join(counts, ["asx_ticker", "__day"], "left").drop("__day")
 
 
-def generate_trades(events: DataFrame, strategies: list[Strategy]) -> DataFrame:
+def generate_trades(
+    events: DataFrame, strategies: list[Strategy], carry: list[str] | None = None
+) -> DataFrame:
     """SG0: one trade spec per event and strategy that selects it, in one pass.
 
     Every strategy is an array slot of the same row, so the events are read once.
+    ``carry`` keeps event columns on the trades, which saves joining them back.
     """
     if not strategies:
         raise ValueError("no strategies given")
@@ -210,7 +218,8 @@ def generate_trades(events: DataFrame, strategies: list[Strategy]) -> DataFrame:
         "__t.exit_spec",
         "__t.max_hold_days",
         "__t.selection_notes",
-    ).select(*TRADE_COLUMNS)
+        *(carry or []),
+    )
 
 
 def any_of(strategies: list[Strategy]) -> Column:
