@@ -106,23 +106,28 @@ def announcement_candidates(
     )
 
 
-def _first_match(text: Column, pattern: str, groups: int) -> Column:
-    parts = [
-        F.when(F.regexp_extract(text, pattern, g) != "", F.regexp_extract(text, pattern, g))
-        for g in range(1, groups + 1)
-    ]
-    joined = F.trim(F.concat_ws(" ", *parts))
-    return F.when(joined != "", joined)
+def _groups(hit: Column, pattern: str, groups: int) -> Column:
+    """Groups of an already matched stretch, joined by a space."""
+    parts = [F.nullif(F.regexp_extract(hit, pattern, g), F.lit("")) for g in range(1, groups + 1)]
+    return F.nullif(F.trim(F.concat_ws(" ", *parts)), F.lit(""))
 
 
 def methodology_rules(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """First match of each rule, groups joined by a space, and the length read."""
+    """First match of each rule, groups joined by a space, and the length read.
+
+    The text is searched once per rule; groups are taken from the short match.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
+    hits = docs.select(
         doc_id,
-        *[_first_match(body, p, g).alias(name) for name, (p, g) in METHODOLOGY_RULES.items()],
+        *[F.regexp_extract(body, p, 0).alias(name) for name, (p, _) in METHODOLOGY_RULES.items()],
         F.length(body).cast("long").alias("chars_extracted"),
     )
+    return hits.select(
+        doc_id,
+        *[_groups(F.col(n), p, g).alias(n) for n, (p, g) in METHODOLOGY_RULES.items()],
+        "chars_extracted",
+    )
 
 
 def page_mentions(

@@ -17,11 +17,13 @@ ADV_BARS = 63
 SPREAD_BARS = 21
 MOMENTUM_BARS = {"mom_1m": 21, "mom_3m": 63, "mom_6m": 126, "mom_12m": 252}
 
-BY_SYMBOL = W.partitionBy("symbol").orderBy("date")
+
+def by_symbol():
+    return W.partitionBy("symbol").orderBy("date")
 
 
 def trailing(n: int):
-    return BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def traded_value() -> Column:
@@ -66,7 +68,7 @@ def fill_bar_columns(bars: DataFrame) -> DataFrame:
 
 def with_positions(bars: DataFrame) -> DataFrame:
     """W0: 1-based trading-day position and the symbol's number of bars."""
-    return bars.withColumn("bar_no", F.row_number().over(BY_SYMBOL)).withColumn(
+    return bars.withColumn("bar_no", F.row_number().over(by_symbol())).withColumn(
         "n_bars", F.count(F.lit(1)).over(W.partitionBy("symbol"))
     )
 
@@ -76,7 +78,7 @@ def at(name: str, offset: int) -> Column:
     if offset == 0:
         return F.col(name)
     shifted = F.lead(name, offset) if offset > 0 else F.lag(name, -offset)
-    return shifted.over(BY_SYMBOL)
+    return shifted.over(by_symbol())
 
 
 def adv_dollars(lookback: int = ADV_BARS) -> Column:
@@ -103,7 +105,7 @@ def volume_shock(lookback: int = ADV_BARS) -> Column:
 
 def entry_adv_dollars(lookback: int = ADV_BARS) -> Column:
     """ADV as of the next bar, read from this bar: the window slid forward by one."""
-    slid = BY_SYMBOL.rowsBetween(-(lookback - 2), 1)
+    slid = by_symbol().rowsBetween(-(lookback - 2), 1)
     return F.when(at("date", 1).isNotNull(), F.avg(traded_value()).over(slid))
 
 

@@ -133,7 +133,8 @@ def bootstrap_means(
     unit = F.conv(F.substring(F.sha1(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")
     large = (
         sized.where(F.col("__n") > SMALL_GROUP)
-        .select(*keys, F.col(value).alias("v"), unit.alias("u"), F.explode(replicates).alias("replicate"))
+        .select(*keys, F.col(value).alias("v"), unit.alias("u"))
+        .select(*keys, "v", "u", F.explode(replicates).alias("replicate"))
         .withColumn("p", _stream(F.col("u"), F.col("replicate"), seed) / F.lit(float(_MODULUS)))
     )
     weight = F.lit(0)

@@ -10,7 +10,7 @@ from ..functions.dates import first_friday
 from ..functions.scalars import nonzero, simple_return, stable_id
 from ..schemas import LEDGER_COLUMNS
 from .asof import asof_join
-from .bars import BY_SYMBOL, adv_dollars, at, traded_value, with_positions
+from .bars import adv_dollars, at, by_symbol, traded_value, with_positions
 
 CAPITAL = 100_000.0
 LAGS = (5, 3, 1)
@@ -65,8 +65,8 @@ def membership_legs(changes: DataFrame, bars: DataFrame, benchmark: DataFrame) -
 
     Liquidity is read six bars before the effective bar, so the event does not colour it.
     """
-    before = BY_SYMBOL.rowsBetween(-(63 + 5), -6)
-    first = F.first(traded_value()).over(BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0))
+    before = by_symbol().rowsBetween(-(63 + 5), -6)
+    first = F.first(traded_value()).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
     wide = (
         with_positions(bars)
         .withColumns(

@@ -61,14 +61,14 @@ def _value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
     return (
         long.groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", magnitude_bucket("value"))
+        .withColumn("__bucket", magnitude_bucket("value"))
     )
 
 
 def _bucket_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy("bucket")
+    order = W.partitionBy(*keys).orderBy("__bucket")
     return (
-        counts.groupBy(*keys, "bucket")
+        counts.groupBy(*keys, "__bucket")
         .agg(F.sum("n").alias("in_bucket"))
         .withColumn(
             "before",
@@ -107,10 +107,10 @@ def grouped_quantiles(
     needed = (
         offsets.withColumn("targets", wanted)
         .where(F.size("targets") > 0)
-        .select(*long_keys, "bucket", "before", "targets")
+        .select(*long_keys, "__bucket", "before", "targets")
     )
-    inside = _attach(counts, needed, [*long_keys, "bucket"])
-    upto = W.partitionBy(*long_keys, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    inside = _attach(counts, needed, [*long_keys, "__bucket"])
+    upto = W.partitionBy(*long_keys, "__bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     hits = (
         inside.withColumn("end", F.col("before") + F.sum("n").over(upto))
         .withColumn("t", F.explode("targets"))
@@ -142,9 +142,9 @@ def percentile_ranks(df: DataFrame, row_id: str, columns: list[str]) -> DataFram
     long = _unpivot(df, [row_id], columns)
     counts = _value_counts(long, ["measure"])
     offsets = _bucket_offsets(counts, ["measure"])
-    inside = _attach(counts, offsets, ["measure", "bucket"])
+    inside = _attach(counts, offsets, ["measure", "__bucket"])
     earlier = (
-        W.partitionBy("measure", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy("measure", "__bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     )
     ranked = inside.select(
         "measure",
