@@ -323,10 +323,10 @@ def _ledger(trades: str, events: str) -> str:
            2 * (8.0 + 25.0 + part * 1000.0) as bps, 2 * (8.0 + 2 * (25.0 + part * 1000.0)) as hbps
     from (
       select q.*, x.close as xclose, x.date as xdate,
-             case when entry_adv > 0 then least(100000.0 / entry_adv, 0.1) end as part,
+             case when q.entry_adv > 0 then least(100000.0 / q.entry_adv, 0.1) end as part,
              case when not listed then 'no_prices' when a_no is null then 'no_bar_at_announcement'
-                  when next_open is null or next_open <= 0 then 'no_entry_bar' when x.close is null then 'no_exit_bar'
-                  when entry_adv is null or entry_adv <= 0 then 'no_liquidity' else '' end as reject_reason
+                  when q.next_open is null or q.next_open <= 0 then 'no_entry_bar' when x.close is null then 'no_exit_bar'
+                  when q.entry_adv is null or q.entry_adv <= 0 then 'no_liquidity' else '' end as reject_reason
       from (
         select *, case when planned > a_no + 1 then planned else least(a_no + 1 + max_hold_days, a_n) end as exit_no
         from (
@@ -476,6 +476,25 @@ _STEPS["ci"] = """
 """
 
 
+def _plain_round(sql: str) -> str:
+    """Write ``round(x, d)`` as floor arithmetic: both engines then break ties alike."""
+    out, i = [], 0
+    for m in re.finditer(r"(?<![\w.])round\(", sql):
+        if m.start() < i:
+            continue
+        depth, j, comma = 1, m.end(), 0
+        while depth:
+            ch = sql[j]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = j
+            j += 1
+        inner, digits = _plain_round(sql[m.end():comma]), int(sql[comma + 1:j - 1])
+        out.append(sql[i:m.start()] + f"(floor(({inner})::double * 1e{digits} + 0.50001) / 1e{digits})")
+        i = j
+    return "".join(out) + sql[i:]
+
+
 def _with(sql: str) -> str:
     """Prefix the steps a statement mentions, in dependency order."""
     order: list[str] = []
@@ -671,7 +690,7 @@ _Q["max_drawdown"] = """
   select strategy, round(min(equity / nullif(peak, 0) - 1), 6) as max_drawdown from (
     select *, max(equity) over (partition by strategy order by exit_date, k rows unbounded preceding) as peak from (
       select strategy, exit_date, event_id || ':' || theme as k,
-             product(1 + net_return) over (partition by strategy order by exit_date, event_id || ':' || theme rows unbounded preceding) as equity
+             product(1 + net_return * 0.001) over (partition by strategy order by exit_date, event_id || ':' || theme rows unbounded preceding) as equity
       from legs))
   group by 1
 """
@@ -948,7 +967,13 @@ _Q["rule_extraction"] = """
          case when doc_id % 3 = 0 then 'Reconstitution annually' end as reconstitution_frequency,
          case when doc_id % 5 = 0 then 'Free-float adjusted' else 'equal-weighted' end as weighting_scheme,
          'Market capitalisation US$' || (doc_id % 90 + 10) || ' million' as market_cap_rules,
-         'Average daily value traded ' || '$' || (doc_id % 9 + 1) || ' million' as liquidity_rules, 0::bigint as chars_extracted
+         'Average daily value traded $' || (doc_id % 9 + 1) || ' million' as liquidity_rules,
+         length(text || chr(10) || 'Constituents are capped at ' || (doc_id % 20 + 1) || '%. '
+           || case when doc_id % 2 = 0 then 'The index is rebalanced quarterly. ' else 'Rebalancing happens semi-annually. ' end
+           || case when doc_id % 3 = 0 then 'Reconstitution is annually done. ' else '' end
+           || case when doc_id % 5 = 0 then 'Free-float adjusted weights. ' else 'An equal-weighted index. ' end
+           || 'Market capitalisation above US$' || (doc_id % 90 + 10) || ' million. '
+           || 'Average daily value traded of $' || (doc_id % 9 + 1) || ' million.') as chars_extracted
   from documents
 """
 _Q["page_links"] = """
@@ -982,4 +1007,4 @@ _Q["stream_watchlist"] = """
 
 def oracle_sql() -> dict[str, str]:
     """Complete statements by query name."""
-    return {name: _with(sql) for name, sql in _Q.items()}
+    return {name: _plain_round(_with(sql)) for name, sql in _Q.items()}

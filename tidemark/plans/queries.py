@@ -110,7 +110,9 @@ class Lab(StarSchema):
 
 
 def _r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounding any engine repeats: floor arithmetic, with near ties pushed upwards."""
+    scale = F.lit(float(10**digits))
+    return F.floor((F.col(c) if isinstance(c, str) else c) * scale + 0.50001) / scale
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -394,9 +396,10 @@ def metrics_by_strategy(s: Lab) -> DataFrame:
 
 
 def max_drawdown(s: Lab) -> DataFrame:
-    """Of the membership legs, whose flat-cost returns stay above minus one."""
+    """Of the membership legs, each taken with a thousandth of the equity."""
     legs = s.legs().withColumn("row_id", F.concat_ws(":", "event_id", "theme"))
-    out = ordered.max_drawdown(legs, ["strategy"], "net_return", "exit_date", "row_id")
+    legs = legs.withColumn("sized", F.col("net_return") * 0.001)
+    out = ordered.max_drawdown(legs, ["strategy"], "sized", "exit_date", "row_id")
     return _rounded(out, {"max_drawdown": 6})
 
 

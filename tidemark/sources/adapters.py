@@ -67,8 +67,8 @@ class StarSchema:
             F.explode(F.array(F.lit("US"), F.lit("ASX"))).alias("market"), "date", "close"
         )
 
-    def holdings(self) -> DataFrame:
-        """Quarter-end snapshots; tickers come in several vendor spellings."""
+    def _held(self) -> DataFrame:
+        """Quarter-end position of every (brand, supplier) and its brand's total."""
         lines = (
             self.table("lineitem")
             .join(self.table("part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey"))
@@ -88,6 +88,10 @@ class StarSchema:
         fund = lines.groupBy("product_ticker", "as_of_date").agg(
             F.sum("l_extendedprice").alias("fund_value")
         )
+        return held.join(fund, ["product_ticker", "as_of_date"])
+
+    def holdings(self) -> DataFrame:
+        """Quarter-end snapshots; tickers come in several vendor spellings."""
         code = stock_code(F.col("l_suppkey"))
         spelled = (
             F.when(F.col("l_suppkey") % 6 == 0, F.concat(code, F.lit(".AX")))
@@ -97,7 +101,7 @@ class StarSchema:
             .when(F.col("l_suppkey") % 6 == 4, F.concat(code, F.lit(" AU Equity")))
             .otherwise(F.concat(code, F.lit(" LN")))
         )
-        return held.join(fund, ["product_ticker", "as_of_date"]).select(
+        return self._held().select(
             F.upper("product_ticker").alias("product_ticker"),
             "as_of_date",
             spelled.alias("constituent_ticker"),
@@ -233,16 +237,15 @@ class StarSchema:
 
     def fund_holdings(self) -> DataFrame:
         """Current vendor holdings: the latest snapshot of each fund, weights in percent."""
-        h = self.holdings()
+        h = self._held()
         last = h.groupBy("product_ticker").agg(F.max("as_of_date").alias("as_of_date"))
-        code = F.regexp_extract("constituent_ticker", r"(\d+)", 1)
-        number = code.cast("int")
+        code, number = stock_code(F.col("l_suppkey")), F.col("l_suppkey") + 10
         return h.join(last, ["product_ticker", "as_of_date"]).select(
-            F.col("product_ticker").alias("etf"),
+            F.upper("product_ticker").alias("etf"),
             F.when(number % 2 == 0, F.concat(code, F.lit(".AX"))).otherwise(code).alias("asset"),
             F.when(number % 7 == 0, F.lit("GB000")).otherwise(F.concat(F.lit("AU000"), code)).alias("isin"),
-            F.col("constituent_name").alias("name"),
-            (F.col("weight_pct") * 100.0).alias("weight_pct"),
+            F.concat(F.lit("Stock "), F.col("l_suppkey").cast("string")).alias("name"),
+            (F.col("market_value") / F.col("fund_value") * 100.0).alias("weight_pct"),
             "shares",
             "market_value",
         )
