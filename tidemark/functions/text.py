@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,33 @@ METHODOLOGY_RULES = {
     ),
 }
 
+# A rule can only match where one of these lower-case stretches occurs.
+RULE_ANCHORS = {
+    "max_weight_rules": ("cap", "max"),
+    "rebalance_frequency": ("rebalanc",),
+    "reconstitution_frequency": ("reconstitut", "index review"),
+    "weighting_scheme": ("weighted", "adjusted", "modified market cap"),
+    "market_cap_rules": ("market capitali",),
+    "liquidity_rules": ("average daily", "adv", "liquidity"),
+}
+
 # Link and benchmark wording on fund pages.
 BENCHMARK_NAME = r"(?iU)([A-Z][\w&/. ]{3,60}?(?:Index|Indices|Benchmark))"
+BENCHMARK_ANCHORS = ("index", "indices", "benchmark")
+# Characters a benchmark name may hold: a match never leaves a run of them.
+NAME_BREAK = r"(?U)[^\w&/. ]+"
 HOLDINGS_LINK = r'(?iU)href="([^"]+(?:holding|constituent)[^"]*\.(?:csv|xlsx|xls|json))"'
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, with the two letters that only case-insensitive matching equates."""
+    return F.translate(F.lower(text), "ſı", "si")
+
+
+def _mentions(folded: Column, anchors: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(a)) for a in anchors])
+
+
 def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(col(html), "<[^>]+>", " ")
 
@@ -118,10 +142,16 @@ def methodology_rules(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     The text is searched once per rule; groups are taken from the short match.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = docs.select(
+    folded = docs.select(doc_id, body.alias("body"), _folded(body).alias("folded"))
+    hits = folded.select(
         doc_id,
-        *[F.regexp_extract(body, p, 0).alias(name) for name, (p, _) in METHODOLOGY_RULES.items()],
-        F.length(body).cast("long").alias("chars_extracted"),
+        *[
+            F.when(
+                _mentions(F.col("folded"), RULE_ANCHORS[name]), F.regexp_extract("body", p, 0)
+            ).alias(name)
+            for name, (p, _) in METHODOLOGY_RULES.items()
+        ],
+        F.length("body").cast("long").alias("chars_extracted"),
     )
     return hits.select(
         doc_id,
@@ -133,16 +163,26 @@ def methodology_rules(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def page_mentions(
     pages: DataFrame, page_id: str, html: str, per_page: int = 50
 ) -> DataFrame:
-    """Benchmark names and holdings links of every page: distinct, sorted, first 50."""
+    """Benchmark names and holdings links of every page: distinct, sorted, first 50.
+
+    Names are only searched in the short stretches of name characters that mention one
+    of the closing words, which keeps the scan linear in the page.
+    """
+    stretches = F.filter(
+        F.split(F.col(html), NAME_BREAK), lambda x: _mentions(_folded(x), BENCHMARK_ANCHORS)
+    )
+    names = F.flatten(
+        F.transform(stretches, lambda x: F.regexp_extract_all(x, F.lit(BENCHMARK_NAME), F.lit(1)))
+    )
+    links = F.regexp_extract_all(F.col(html), F.lit(HOLDINGS_LINK), F.lit(1))
 
-    def found(pattern: str) -> Column:
-        hits = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
+    def found(hits: Column) -> Column:
         tidy = F.array_distinct(F.transform(hits, F.trim))
         return F.slice(F.array_sort(tidy), 1, per_page)
 
     kinds = F.array(
-        F.struct(F.lit("benchmark").alias("kind"), found(BENCHMARK_NAME).alias("values")),
-        F.struct(F.lit("holdings_link").alias("kind"), found(HOLDINGS_LINK).alias("values")),
+        F.struct(F.lit("benchmark").alias("kind"), found(names).alias("values")),
+        F.struct(F.lit("holdings_link").alias("kind"), found(links).alias("values")),
     )
     return (
         pages.select(page_id, F.explode(kinds).alias("k"))

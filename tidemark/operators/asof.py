@@ -18,9 +18,12 @@ _TS, _ROW, _POINT, _SLOT, _KNOWN = "__ts", "__row", "__point", "__slot", "__know
 
 
 def _lookup(
-    points: DataFrame, facts: DataFrame, by: list[str], forward: bool, strict: bool
+    points: DataFrame, facts: DataFrame, by: list[str], forward: bool, strict: bool, known: bool
 ) -> DataFrame:
-    """Resolve each (by, ts) point to the payload struct of the neighbouring fact."""
+    """Resolve each (by, ts) point to the payload struct of the neighbouring fact.
+
+    With ``known`` the points of keys that have any fact are kept, resolved or not.
+    """
     tagged = facts.withColumn(_POINT, F.lit(False)).unionByName(
         points.withColumn(_ROW, F.lit(None).cast(facts.schema[_ROW].dataType)).withColumn(
             _POINT, F.lit(True)
@@ -30,12 +33,11 @@ def _lookup(
     tie = F.col(_POINT).desc() if strict else F.col(_POINT).asc()
     time = F.col(_TS).desc() if forward else F.col(_TS).asc()
     seen = W.partitionBy(*by).orderBy(time, tie).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        tagged.withColumn(_ROW, F.last(_ROW, ignorenulls=True).over(seen))
-        .withColumn(_KNOWN, F.max(~F.col(_POINT)).over(W.partitionBy(*by)))
-        .where(F.col(_POINT) & F.col(_KNOWN))
-        .drop(_POINT)
-    )
+    hits = tagged.withColumn(_ROW, F.last(_ROW, ignorenulls=True).over(seen))
+    if known:
+        hits = hits.withColumn(_KNOWN, F.max(~F.col(_POINT)).over(W.partitionBy(*by)))
+        return hits.where(F.col(_POINT) & F.col(_KNOWN)).drop(_POINT)
+    return hits.where(F.col(_POINT) & F.col(_ROW).isNotNull()).drop(_POINT)
 
 
 def _with_carry(
@@ -62,28 +64,23 @@ def _with_carry(
     return facts.withColumn(_SLOT, slot).unionByName(carried.withColumn(_TS, F.col(f"{_ROW}.{_TS}")))
 
 
-def asof_join(
-    left: DataFrame,
+def resolve_points(
+    points: DataFrame,
     right: DataFrame,
     by: str | list[str],
-    left_ts: str,
+    point_ts: str,
     right_ts: str,
     payload: dict[str, str] | list[str],
     *,
     forward: bool = False,
     strict: bool = False,
     slot: Column | None = None,
-    points: DataFrame | None = None,
-    known: str | None = None,
+    known: bool = False,
 ) -> DataFrame:
-    """``left`` plus the payload of the last right row at or before ``left_ts``.
+    """Distinct (by, point_ts) points with the payload of their neighbouring right row.
 
-    ``forward`` takes the first row at or after; ``strict`` excludes equal times.
-    ``payload`` maps right columns to output names. ``(by, right_ts)`` must be unique in
-    ``right``. ``slot`` (an expression over ``__ts``, e.g. its month) splits the window of
-    a key whose right rows are not bounded by a calendar. ``points`` supplies the lookup
-    points ``(by, left_ts)`` when a cheaper plan than ``left`` has them, and ``known`` names
-    a flag column that says whether the key occurs in ``right`` at all.
+    Unresolved points are left out, unless ``known`` keeps those whose key occurs in
+    ``right``. See ``asof_join`` for the other arguments.
     """
     keys = [by] if isinstance(by, str) else list(by)
     names = payload if isinstance(payload, dict) else {c: c for c in payload}
@@ -94,27 +91,61 @@ def asof_join(
             F.col(right_ts).alias(_TS), *[F.col(c).alias(n) for c, n in names.items()]
         ).alias(_ROW),
     )
-    source = left if points is None else points
     wanted = (
-        source.where(F.col(left_ts).isNotNull()).select(*keys, F.col(left_ts).alias(_TS)).distinct()
+        points.where(F.col(point_ts).isNotNull()).select(*keys, F.col(point_ts).alias(_TS)).distinct()
     )
     if slot is None:
-        hits = _lookup(wanted, facts, keys, forward, strict)
+        hits = _lookup(wanted, facts, keys, forward, strict, known)
     else:
+        if known:
+            raise ValueError("known needs the whole key in one window; leave slot out")
         carried = _with_carry(wanted, facts, keys, slot, forward)
-        hits = _lookup(wanted.withColumn(_SLOT, slot), carried, [*keys, _SLOT], forward, strict).drop(
-            _SLOT
+        hits = _lookup(
+            wanted.withColumn(_SLOT, slot), carried, [*keys, _SLOT], forward, strict, False
         )
-    hits = hits.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(_TS),
+    return hits.select(
+        *keys,
+        F.col(_TS).alias(point_ts),
         *[F.col(f"{_ROW}.{n}").alias(n) for n in names.values()],
-        *([] if known is None else [F.col(_KNOWN).alias(known)]),
+    )
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    by: str | list[str],
+    left_ts: str,
+    right_ts: str,
+    payload: dict[str, str] | list[str],
+    *,
+    forward: bool = False,
+    strict: bool = False,
+    slot: Column | None = None,
+    points: DataFrame | None = None,
+) -> DataFrame:
+    """``left`` plus the payload of the last right row at or before ``left_ts``.
+
+    ``forward`` takes the first row at or after; ``strict`` excludes equal times.
+    ``payload`` maps right columns to output names. ``(by, right_ts)`` must be unique in
+    ``right``. ``slot`` (an expression over ``__ts``, e.g. its month) splits the window of
+    a key whose right rows are not bounded by a calendar. ``points`` supplies the lookup
+    points ``(by, left_ts)`` when a cheaper plan than ``left`` has them.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    names = payload if isinstance(payload, dict) else {c: c for c in payload}
+    source = left if points is None else points
+    hits = resolve_points(
+        source, right, keys, left_ts, right_ts, names, forward=forward, strict=strict, slot=slot
+    )
+    side = hits.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col(left_ts).alias(_TS),
+        *names.values(),
     )
     match = F.col(left_ts) == F.col(_TS)
     for i, k in enumerate(keys):
         match = match & (F.col(k) == F.col(f"__k{i}"))
-    return left.join(hits, match, "left").drop(_TS, *[f"__k{i}" for i in range(len(keys))])
+    return left.join(side, match, "left").drop(_TS, *[f"__k{i}" for i in range(len(keys))])
 
 
 def shift_bars(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SELL_TYPES, clip01, nonzero, safe_div, tightness, window_return
-from .asof import asof_join
+from .asof import resolve_points
 from .bars import (
     MOMENTUM_BARS,
     at,
@@ -85,10 +85,7 @@ def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
     )
     wide = study_bars(bars).withColumnRenamed("symbol", "asx_ticker")
     payload = list(dict.fromkeys([*ANN_PAYLOAD, *EFF_PAYLOAD]))
-    wanted = points.where(F.col("look_date").isNotNull()).distinct()
-    found = asof_join(
-        wanted, wide, "asx_ticker", "look_date", "date", payload, known="listed"
-    ).where(F.col("listed"))
+    found = resolve_points(points, wide, "asx_ticker", "look_date", "date", payload, known=True)
 
     def role(prefix: str, columns: list[str]) -> DataFrame:
         return found.select(
@@ -100,7 +97,7 @@ def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
     def matched(day: str):
         return (F.col("asx_ticker") == F.col("__sym")) & (F.col(day) == F.col("__day"))
 
-    announced = role("a_", [*ANN_PAYLOAD, "listed"])
+    announced = role("a_", ANN_PAYLOAD).withColumn("a_listed", F.lit(True))
     effective = role("e_", EFF_PAYLOAD)
     out = dated.join(announced, matched("ref_date"), "left").drop("__sym", "__day")
     return out.join(effective, matched("effective_date"), "left").drop("__sym", "__day")

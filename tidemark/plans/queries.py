@@ -1,7 +1,7 @@
 """Registered queries: every operator over the star-schema tables of one folder.
 
-Three stages are written once per session and folder and shared by the queries behind
-them, as the daily routine does: base events, enriched events, ledger.
+Stages are written once per session and folder and shared by the queries behind them, as
+the daily routine stores its bars, snapshots, events and ledger.
 """
 
 from __future__ import annotations
@@ -63,6 +63,18 @@ class Lab(StarSchema):
             _STAGES[key] = durable(build(), name)
         return _STAGES[key]
 
+    def bars(self) -> DataFrame:
+        return self._once("bars", self.lazy_bars)
+
+    def lazy_bars(self) -> DataFrame:
+        return super().bars()
+
+    def holdings(self) -> DataFrame:
+        return self._once("holdings", self.lazy_holdings)
+
+    def lazy_holdings(self) -> DataFrame:
+        return super().holdings()
+
     def lazy_events(self) -> DataFrame:
         return event_ops.build_events(
             self.holdings(), self.registry(), self.announcements(), self.custom_events()
@@ -128,7 +140,7 @@ def _lab(spark: SparkSession, path: str) -> Lab:
 # ------------------------------------------------------------------ bars and as-of
 def ohlcv_bars(s: Lab) -> DataFrame:
     return _rounded(
-        s.bars(),
+        s.lazy_bars(),
         {c: 6 for c in ("open", "high", "low", "close", "adj_close", "vwap")} | {"dollar_volume": 3},
     )
 
@@ -231,7 +243,7 @@ def market_cap_asof(s: Lab) -> DataFrame:
 
 # ------------------------------------------------------------------ snapshots and events
 def snapshot_collapse(s: Lab) -> DataFrame:
-    out = snapshots.collapse_constituents(s.holdings())
+    out = snapshots.collapse_constituents(s.lazy_holdings())
     return out.select(
         "product_ticker", "as_of_date", "constituent_key", "constituent_name",
         _r("weight_pct", 8).alias("weight_pct"), "shares",
