@@ -26,6 +26,20 @@ EXIT_LABELS = {
 }
 DEFAULT_MAX_HOLD = 30
 
+# Columns predicates may read; an absent one counts as unknown (SC25).
+READ_COLUMNS = {
+    "source_type": "string",
+    "immediate_reaction": "double",
+    "flow_pressure": "double",
+    "confidence_score": "double",
+    "new_weight": "double",
+    "adv_dollars": "double",
+    "market_cap": "double",
+    "source_obscurity_score": "double",
+    "stack_count": "long",
+    "tradeable_flag": "boolean",
+}
+
 Predicate = Callable[[dict], Column]
 
 
@@ -206,6 +220,9 @@ def generate_trades(
     """
     if not strategies:
         raise ValueError("no strategies given")
+    events = events.withColumns(
+        {c: F.lit(None).cast(k) for c, k in READ_COLUMNS.items() if c not in events.columns}
+    )
     slots = F.filter(
         F.array(*[F.when(s.mask(), s.spec()) for s in strategies]), lambda t: t.isNotNull()
     )
