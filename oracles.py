@@ -1005,6 +1005,37 @@ _Q["stream_watchlist"] = """
 """
 
 
+# The first research round is the same chain over four variants of one strategy.
+_VARIANTS = {
+    "baseline": (0.03, 0.5, "effective"),
+    "round 1: tighter reaction": (0.021, 0.5, "effective"),
+    "round 1: higher pressure": (0.03, 0.75, "effective"),
+    "round 1: later exit": (0.03, 0.5, "eff_close_plus:5"),
+}
+_STEPS["sw_trades"] = " union all ".join(
+    f"select '{n}' as strategy, event_id, asx_ticker, 1 as direction, '{out}' as exit_spec, 25 as max_hold_days from feat"
+    f" where tradeable and {_LONG} and (abs(imm) <= {imm} or imm is null)"
+    f" and (flow_pressure >= {fp} or flow_pressure is null) and (confidence_score >= 0.4 or confidence_score is null)"
+    for n, (imm, fp, out) in _VARIANTS.items()
+)
+_STEPS["sw_ledger"] = _ledger("sw_trades", "feat")
+for _step in ("ex", "boot_rows", "boot_draws", "boot_means", "ci"):
+    _STEPS[f"sw_{_step}"] = re.sub(
+        r"\b(from|join) (ledger|ex|boot_rows|boot_draws|boot_means)\b", r"\1 sw_\2", _STEPS[_step]
+    )
+_Q["param_sweep"] = f"""
+  select v.strategy, coalesce(n, 0) as n_trades, round(net, 6) as avg_net, round(harsh, 6) as avg_harsh,
+         round(case when coalesce(n, 0) < 3 then -9.0 + coalesce(n, 0)
+                    else coalesce(harsh - case when net <= 0 then 0.05 else 0 end + case when ci_low > 0 then 0.02 else 0 end, -5.0) end, 6) as objective,
+         coalesce(g.passed and coalesce(c.ci_low > 0, false), false) as claim_alpha
+  from (select unnest([{", ".join(f"'{n}'" for n in _VARIANTS)}]) as strategy) v
+  left join (select strategy, count(net_return) as n, avg(net_return) as net, avg(harsh_net_return) as harsh from sw_ex group by 1) m
+    on v.strategy = m.strategy
+  left join sw_ci c on v.strategy = c.strategy
+  left join ({_gate('sw_ex')}) g on v.strategy = g.strategy
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Complete statements by query name."""
     return {name: _plain_round(_with(sql)) for name, sql in _Q.items()}
