@@ -75,32 +75,36 @@ EFF_PAYLOAD = [
 def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
     """Add ``a_*`` (announcement bar) and ``e_*`` (effective bar) columns to events.
 
-    Both dates of all events are resolved together: one set of distinct (symbol, date)
-    points, one ordered pass over the bars, then two equi-joins with the same result.
-    ``a_listed`` tells a symbol without bars from one whose first bar is later.
+    Both dates of all events are resolved together: distinct (symbol, date) points and the
+    bare bar dates pass one window, and the wide bar columns join the resolved points, not
+    the events. ``a_listed`` tells a symbol without bars from one whose first bar is later.
     """
     dated = events.withColumn("ref_date", reference_date())
     points = dated.select(
         "asx_ticker", F.explode(F.array("ref_date", "effective_date")).alias("look_date")
     )
-    wide = study_bars(bars).withColumnRenamed("symbol", "asx_ticker")
-    payload = list(dict.fromkeys([*ANN_PAYLOAD, *EFF_PAYLOAD]))
-    found = resolve_points(points, wide, "asx_ticker", "look_date", "date", payload, known=True)
+    wide = study_bars(bars).withColumnsRenamed({"symbol": "__s", "date": "__d"})
+    wide = wide.withColumn("date", F.col("__d"))
+    dates = bars.select(F.col("symbol").alias("asx_ticker"), "date")
+    matched = resolve_points(
+        points, dates, "asx_ticker", "look_date", "date", {"date": "bar_date"}, known=True
+    )
 
-    def role(prefix: str, columns: list[str]) -> DataFrame:
-        return found.select(
+    def role(prefix: str, columns: list[str], how: str) -> DataFrame:
+        same_bar = (F.col("asx_ticker") == F.col("__s")) & (F.col("bar_date") == F.col("__d"))
+        return matched.join(wide.select("__s", "__d", *columns), same_bar, how).select(
             F.col("asx_ticker").alias("__sym"),
             F.col("look_date").alias("__day"),
             *[F.col(c).alias(f"{prefix}{c}") for c in columns],
         )
 
-    def matched(day: str):
+    def on(day: str):
         return (F.col("asx_ticker") == F.col("__sym")) & (F.col(day) == F.col("__day"))
 
-    announced = role("a_", ANN_PAYLOAD).withColumn("a_listed", F.lit(True))
-    effective = role("e_", EFF_PAYLOAD)
-    out = dated.join(announced, matched("ref_date"), "left").drop("__sym", "__day")
-    return out.join(effective, matched("effective_date"), "left").drop("__sym", "__day")
+    announced = role("a_", ANN_PAYLOAD, "left").withColumn("a_listed", F.lit(True))
+    effective = role("e_", EFF_PAYLOAD, "inner")
+    out = dated.join(announced, on("ref_date"), "left").drop("__sym", "__day")
+    return out.join(effective, on("effective_date"), "left").drop("__sym", "__day")
 
 
 def estimate_flows(events: DataFrame, as_of: str | None = None) -> DataFrame:

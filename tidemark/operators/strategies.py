@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import STRATEGY_PARAMS
@@ -178,6 +179,38 @@ def enabled_strategies() -> list[Strategy]:
     return [s for s in map(strategy, _PREDICATES) if s.enabled]
 
 
+def fund_coverage(events: DataFrame, window_days: int) -> DataFrame:
+    """Distinct funds per (stock, day) whose last event there is at most ``window_days`` old.
+
+    Days on which a fund covers a stock form intervals; each interval adds one at its
+    first day and takes it back after its last, so the count is a running sum of daily
+    changes. Nothing is repeated per day of the window, the running sum has one row per
+    stock and day, and a fund's history on a stock is bounded by the calendar.
+    """
+    seen = events.select("asx_ticker", "__day", "__source").distinct()
+    history = W.partitionBy("asx_ticker", "__source").orderBy("__day")
+    previous, following = F.lag("__day").over(history), F.lead("__day").over(history)
+    opens = previous.isNull() | (previous < F.date_sub("__day", window_days))
+    closes = following.isNull() | (following > F.date_add("__day", window_days))
+    marks = F.array(
+        F.struct(F.col("__day").alias("day"), F.when(F.col("__opens"), 1).otherwise(0).alias("change")),
+        F.struct(
+            F.when(F.col("__closes"), F.date_add("__day", window_days + 1)).alias("day"),
+            F.lit(-1).alias("change"),
+        ),
+    )
+    daily = (
+        seen.withColumn("__opens", opens)
+        .withColumn("__closes", closes)
+        .select("asx_ticker", F.explode(marks).alias("m"))
+        .where(F.col("m.day").isNotNull())
+        .groupBy("asx_ticker", F.col("m.day").alias("__day"))
+        .agg(F.sum("m.change").alias("__change"))
+    )
+    running = W.partitionBy("asx_ticker").orderBy("__day").rowsBetween(W.unboundedPreceding, 0)
+    return daily.select("asx_ticker", "__day", F.sum("__change").over(running).alias("stack_count"))
+
+
 def with_stack_count(
     events: DataFrame,
     window_days: int = 30,
@@ -188,25 +221,19 @@ def with_stack_count(
 
     By default distinct funds (events without a fund count by themselves) with a
     reference date in the trailing ``window_days``; ``compat`` counts all events of the
-    stock. Funds are first reduced to one row per (stock, fund, day), then each such row
-    is sent to the days whose window it falls in, so no stock is gathered in one task.
+    stock. ``base`` is the event table to count from when ``events`` is an expensive plan.
     """
     source_events = events if base is None else base
     if compat:
-        counts = source_events.groupBy("asx_ticker").agg(F.countDistinct("event_id").alias("stack_count"))
+        counts = source_events.groupBy("asx_ticker").agg(
+            F.countDistinct("event_id").alias("stack_count")
+        )
         return events.join(counts, "asx_ticker", "left")
     day = F.coalesce("announcement_date", "detected_date")
-    dated = events.withColumn("__day", day)
     source = F.coalesce("product_ticker", "event_id")
-    seen = source_events.withColumn("__day", day).select("asx_ticker", "__day", source.alias("__source")).distinct()
-    days = seen.select("asx_ticker", "__day").distinct()
-    reach = F.explode(F.sequence("__day", F.date_add("__day", window_days)))
-    counts = (
-        seen.select("asx_ticker", "__source", reach.alias("__day"))
-        .join(days, ["asx_ticker", "__day"], "left_semi")
-        .groupBy("asx_ticker", "__day")
-        .agg(F.countDistinct("__source").alias("stack_count"))
-    )
+    counted = source_events.withColumn("__day", day).withColumn("__source", source)
+    dated = events.withColumn("__day", day)
+    counts = fund_coverage(counted.where(F.col("__day").isNotNull()), window_days)
     return dated.join(counts, ["asx_ticker", "__day"], "left").drop("__day")
 
 
