@@ -15,6 +15,7 @@ from ..functions.scalars import nonzero, safe_div, simple_return
 
 ADV_BARS = 63
 SPREAD_BARS = 21
+MIN_BARS = 5
 MOMENTUM_BARS = {"mom_1m": 21, "mom_3m": 63, "mom_6m": 126, "mom_12m": 252}
 
 
@@ -98,43 +99,51 @@ def momentum(bars_back: int) -> Column:
     return simple_return(at("close", -bars_back), "close")
 
 
-def volume_shock(lookback: int = ADV_BARS) -> Column:
-    base = F.avg("volume").over(trailing(lookback))
-    return F.when(F.col("bar_no") >= 5, safe_div("volume", base))
-
-
-def entry_adv_dollars(lookback: int = ADV_BARS) -> Column:
-    """ADV as of the next bar, read from this bar: the window slid forward by one."""
-    slid = by_symbol().rowsBetween(-(lookback - 2), 1)
-    return F.when(at("date", 1).isNotNull(), F.avg(traded_value()).over(slid))
-
-
 def tradeable(close: Column, adv: Column, min_price: float = 0.02, min_adv: float = 50_000.0) -> Column:
     """FL1: priced and liquid enough; unknown counts as no."""
     return F.coalesce((close >= min_price) & (adv >= min_adv), F.lit(False))
 
 
 def with_trailing(bars: DataFrame) -> DataFrame:
-    """WN1-WN6 and W0 over one shuffle and one sort per symbol."""
-    out = with_positions(bars).withColumns(
+    """WN1-WN6 and W0 over one shuffle and one sort per symbol.
+
+    Bars that already carry positions keep them.
+    """
+    positioned = bars if "bar_no" in bars.columns else with_positions(bars)
+    out = positioned.withColumns(
         {
             "daily_return": simple_return(at("close", -1), "close"),
             "adv_dollars": adv_dollars(),
             "adv_shares": adv_shares(),
             "spread_proxy_bps": spread_proxy_bps(),
-            "volume_shock": volume_shock(),
             **{name: momentum(k) for name, k in MOMENTUM_BARS.items()},
         }
     )
     spread = F.stddev_samp("daily_return").over(trailing(ADV_BARS))
-    return out.withColumn(
-        "volatility", F.when(F.col("bar_no") >= 5, spread * F.sqrt(F.lit(252.0)))
+    enough = F.col("bar_no") >= MIN_BARS
+    return out.withColumns(
+        {
+            "volume_shock": F.when(enough, safe_div("volume", "adv_shares")),
+            "volatility": F.when(enough, spread * F.sqrt(F.lit(252.0))),
+        }
     )
 
 
 def latest_bars(bars: DataFrame) -> DataFrame:
-    """WN8: the last bar of every symbol with its trailing liquidity and momentum."""
-    return with_trailing(bars).where(F.col("bar_no") == F.col("n_bars"))
+    """WN8: the last bar of every symbol with its trailing liquidity and momentum.
+
+    Only the bars the longest look-back reaches are kept before the trailing columns.
+    """
+    newest = W.partitionBy("symbol").orderBy(F.desc("date"))
+    reach = max(ADV_BARS, *MOMENTUM_BARS.values()) + 1
+    recent = (
+        bars.withColumn("__back", F.row_number().over(newest))
+        .withColumn("n_bars", F.count(F.lit(1)).over(W.partitionBy("symbol")))
+        .where(F.col("__back") <= reach)
+        .withColumn("bar_no", F.col("n_bars") - F.col("__back") + 1)
+        .drop("__back")
+    )
+    return with_trailing(recent).where(F.col("bar_no") == F.col("n_bars"))
 
 
 def select_bars(

@@ -14,7 +14,6 @@ from .asof import resolve_points
 from .bars import (
     MOMENTUM_BARS,
     at,
-    entry_adv_dollars,
     tradeable,
     with_trailing,
 )
@@ -57,7 +56,7 @@ def study_bars(bars: DataFrame) -> DataFrame:
             "close_p3": at("close", 3),
             "close_p5": at("close", 5),
             "close_p10": at("close", DELAYED_HORIZON),
-            "entry_adv_dollars": entry_adv_dollars(),
+            "entry_adv_dollars": at("adv_dollars", 1),
         }
     )
 

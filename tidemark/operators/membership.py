@@ -10,7 +10,7 @@ from ..functions.dates import first_friday
 from ..functions.scalars import nonzero, simple_return, stable_id
 from ..schemas import LEDGER_COLUMNS
 from .asof import asof_join
-from .bars import adv_dollars, at, by_symbol, traded_value, with_positions
+from .bars import at, by_symbol, traded_value, with_positions
 
 CAPITAL = 100_000.0
 LAGS = (5, 3, 1)
@@ -287,8 +287,3 @@ def inclusion_events(changes: DataFrame, source: str = "membership") -> DataFram
         "effective_date",
         F.lit(0.95).alias("confidence_score"),
     )
-
-
-def adv_at(bars: DataFrame) -> DataFrame:
-    """Positions and trailing ADV only, for studies that need nothing else."""
-    return with_positions(bars).withColumn("adv_dollars", adv_dollars())

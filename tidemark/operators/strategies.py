@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -264,8 +263,3 @@ def generate_trades(
         "__t.selection_notes",
         *(carry or []),
     )
-
-
-def any_of(strategies: list[Strategy]) -> Column:
-    """Events at least one strategy selects."""
-    return reduce(lambda a, b: a | b, [s.mask() for s in strategies])
