@@ -15,6 +15,7 @@ from ..functions.scalars import (
     simple_return,
 )
 from ..functions.tickers import is_cash_line, vendor_symbol
+from ..session import durable
 from .asof import asof_join
 from .bars import latest_bars, truncate_bars, with_positions
 from .ordered import mean_rank
@@ -116,7 +117,10 @@ def forced_flow_scores(
     stocks_only: bool = False,
     list_limit: int | None = None,
 ) -> DataFrame:
-    """SN2 (SN3 with ``stocks_only`` and a list limit): rank-blended forced-flow score."""
+    """SN2 (SN3 with ``stocks_only`` and a list limit): rank-blended forced-flow score.
+
+    Ranking reads the measures several times, so the per-stock table is written once.
+    """
     owned = ownership(holding_edges(fund_holdings, funds, stocks_only), list_limit)
     out = with_market(owned, bars, profiles).withColumns(
         {
@@ -127,7 +131,9 @@ def forced_flow_scores(
             "inflow5_buy_days": safe_div("inflow5_usd", "adv_dollars_63d"),
         }
     )
-    return mean_rank(out, "asx_ticker", RANK_BASIS, "forced_flow_score")
+    return mean_rank(
+        durable(out, "stock-flow"), "asx_ticker", RANK_BASIS, "forced_flow_score"
+    )
 
 
 def universal_ownership_map(
