@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import quality_rules, substrings
 from tidemark.llm import text as tx
 
 
@@ -20,7 +20,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), starts AS (
   SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8
@@ -32,11 +32,11 @@ WITH d AS (
   SELECT rid, count(*) AS n_repeat_words
   FROM (SELECT DISTINCT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
 ), m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_alpha_words
+    len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_alpha_words
   FROM w LEFT JOIN covered USING (rid)
 ), f AS (
   SELECT *,
@@ -54,12 +54,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+# Every 13-word window of every document against the smallest document that has it.
+SQL["op3_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
+  FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13)
+), later AS (
+  SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE doc_id > least
+), gone AS (
+  SELECT rid, list(p) AS ps FROM (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM later) GROUP BY rid
+), positions AS (
+  SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d
+), kept AS (
+  SELECT a.rid, string_agg(a.word, ' ' ORDER BY a.p) AS txt, count(*) AS n
+  FROM positions a LEFT JOIN (SELECT rid, unnest(ps) AS p FROM gone) g ON a.rid = g.rid AND a.p = g.p
+  WHERE g.p IS NULL GROUP BY a.rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table, with the settings the operators need."""
     return tx.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits",
@@ -69,6 +96,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator and the pipeline."""
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
 
