@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules, substrings
+from tidemark.llm import packing, quality_rules, substrings, token_files
 from tidemark.llm import text as tx
 
 
@@ -83,10 +83,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tx.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word", end_id=1)
+    return token_files.read(spark, folder)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), "byte", end_id=0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits",
@@ -96,7 +112,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator and the pipeline."""
     return {
+        "op2_token_files": op2_token_files,
         "op3_substring_dedup": op3_substring_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
     }
 
