@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality_rules, substrings, token_files
+from tidemark.llm import jaccard, packing, quality_rules, substrings, token_files
 from tidemark.llm import text as tx
 
 
@@ -77,6 +77,35 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM d LEFT JOIN kept USING (rid)
 """
 
+# Exact Jaccard of every pair of texts that share a shingle, then reachability over the links.
+SQL["op6_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), texts AS (
+  SELECT words, min(doc_id) AS rep, count(*) AS copies FROM d WHERE len(words) > 0 GROUP BY words
+), s AS (
+  SELECT DISTINCT rep, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT rep, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts)
+), n AS (
+  SELECT rep, count(*) AS n FROM s GROUP BY rep
+), common AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY a.rep, b.rep
+), half AS (
+  SELECT a, b FROM common JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), link AS (
+  SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach(rep, root) AS (
+  SELECT rep, rep FROM texts UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.rep = link.a
+), class AS (
+  SELECT rep, min(root) AS class_id FROM reach GROUP BY rep
+), counts AS (
+  SELECT a AS rep, count(*) AS n_text, sum(copies) AS n_docs FROM link JOIN texts ON texts.rep = b GROUP BY a
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(t.rep, doc_id) AS copy_of, coalesce(copies, 1)::BIGINT AS n_copies,
+  (coalesce(copies, 1) - 1 + coalesce(n_docs, 0))::BIGINT AS n_links, coalesce(n_text, 0)::BIGINT AS n_text_links
+FROM d LEFT JOIN texts t ON d.words = t.words LEFT JOIN class USING (rep) LEFT JOIN counts USING (rep)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table, with the settings the operators need."""
@@ -99,6 +128,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), "byte", end_id=0)
 
@@ -114,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_substring_dedup": op3_substring_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
     }
