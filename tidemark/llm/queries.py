@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, packing, quality_rules, substrings, token_files
+from tidemark.llm import decontaminate, jaccard, packing, quality_rules, secret_scan, substrings, token_files
 from tidemark.llm import text as tx
 
 
@@ -107,6 +107,65 @@ FROM d LEFT JOIN texts t ON d.words = t.words LEFT JOIN class USING (rep) LEFT J
 """
 
 
+def _span_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one pattern as (rid, start, kind, stop), with the piece itself."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start,
+    {kind} AS kind, found[i] AS piece
+  FROM (SELECT rid, regexp_extract_all(text, '{p}', 0) AS found, regexp_extract_all(text, '{p}', {group}) AS vals,
+          regexp_split_to_array(text, '{p}') AS gaps, unnest(range(1, len(found) + 1)) AS i FROM d) q
+  WHERE length(vals[i]) >= {least}"""
+
+
+def _secret_sql() -> str:
+    """The base patterns, then every window of the remaining candidates counted afresh."""
+    s = secret_scan
+    base = " UNION ALL ".join(_span_sql(k, p, g, n) for k, (p, _, g, n) in enumerate(s.BASE.values()))
+    candidates = _span_sql(len(s.BASE), s.CANDIDATE, 0, s.WINDOW)
+    # RE2 has no look-ahead: each class in words of its own
+    classes = " ".join(
+        f"WHEN regexp_full_match(piece, '{run}') AND regexp_matches(piece, '{some}') AND regexp_matches(piece, '[0-9]') THEN {round(c.bits * s.WINDOW * s.SCALE)}"
+        for c, run, some in zip(s.CLASSES, ("[0-9a-f]+", "[0-9A-F]+", "[A-Za-z0-9+/_-]+"), ("[a-f]", "[A-F]", "[A-Za-z]"))
+    )
+    allowed = " OR ".join(f"regexp_matches(piece, '{p}')" for p in s.ALLOWED)
+    terms = "[" + ", ".join(str(s.term(c)) for c in range(s.WINDOW + 1)) + "]"
+    names = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "]"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), base AS (SELECT rid, start::BIGINT AS start, kind, (start + length(piece))::BIGINT AS stop FROM ({base})),
+candidates AS (
+  SELECT rid, start::BIGINT AS start, kind, (start + length(piece))::BIGINT AS stop, piece, CASE {classes} END AS least
+  FROM ({candidates}) c WHERE NOT ({allowed})
+), fresh AS (
+  SELECT * FROM candidates c WHERE least IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)
+), windows AS (
+  SELECT rid, start, stop, least, i, unnest(string_split(substring(piece, i, {s.WINDOW}), '')) AS ch
+  FROM (SELECT *, unnest(range(1, length(piece) - {s.WINDOW - 2})) AS i FROM fresh)
+), counted AS (
+  SELECT rid, start, stop, least, i, ({terms})[count(*) + 1] AS t FROM windows GROUP BY rid, start, stop, least, i, ch
+), added AS (
+  SELECT DISTINCT rid, start, {len(s.BASE)} AS kind, stop
+  FROM (SELECT rid, start, stop, least, i, {s.term(s.WINDOW)} - sum(t) AS h FROM counted GROUP BY ALL) WHERE h >= least
+), every_span AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+base_text AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(concat(({names})[kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind) AS line FROM base GROUP BY rid
+), all_text AS (
+  SELECT rid, count(*) FILTER (kind = {len(s.BASE)}) AS n_entropy,
+    string_agg(concat(({names})[kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind) AS line FROM every_span GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b.line, '')) AS base_sha256, coalesce(a.line, '') AS spans, coalesce(n_entropy, 0)::BIGINT AS n_entropy
+FROM d LEFT JOIN base_text b USING (rid) LEFT JOIN all_text a USING (rid)
+"""
+
+
+SQL["op8_secret_scan"] = _secret_sql()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table, with the settings the operators need."""
     return tx.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -128,6 +187,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -136,6 +199,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), "byte", end_id=0)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits",
@@ -147,8 +214,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_substring_dedup": op3_substring_dedup,
+        "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
     }
 
