@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, packing, quality_rules, secret_scan, substrings, token_files
+from tidemark.llm import decontaminate, jaccard, packing, quality_model, quality_rules, secret_scan, substrings, token_counts, token_files, url_filter
 from tidemark.llm import text as tx
 
 
@@ -165,6 +165,53 @@ FROM d LEFT JOIN base_text b USING (rid) LEFT JOIN all_text a USING (rid)
 
 SQL["op8_secret_scan"] = _secret_sql()
 
+# Entries from the pages' hosts and paths, their intervals, and an as-of join in plain SQL.
+SQL["op1_url_filter"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    DATE '2024-01-01' + ((page_id * 7919) % 730)::INT AS fetched_on,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '[.]$', '') AS host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host, regexp_replace(host, '^(www|m|blog)[.]', '') AS domain FROM p WHERE host <> ''
+), n(pattern, kind) AS (
+  SELECT DISTINCT domain, 'subject' FROM hosts WHERE regexp_matches(host, 'casino|bets|pills|adult')
+  UNION ALL SELECT host, 'host' FROM (SELECT DISTINCT host FROM hosts)
+  UNION ALL SELECT DISTINCT concat(host, '/', parts[1]), 'path' FROM p WHERE host <> '' AND len(parts) > 0
+), h AS (
+  SELECT pattern, kind,
+    ('0x' || substring(md5('a' || pattern), 1, 6))::BIGINT % 200 AS a, ('0x' || substring(md5('b' || pattern), 1, 6))::BIGINT % 200 AS b,
+    ('0x' || substring(md5('c' || pattern), 1, 6))::BIGINT % 200 AS c, ('0x' || substring(md5('d' || pattern), 1, 6))::BIGINT % 5 AS d,
+    ('0x' || substring(md5('e' || pattern), 1, 6))::BIGINT % 7 AS e, ('0x' || substring(md5('f' || pattern), 1, 6))::BIGINT % 4 AS f,
+    ('0x' || substring(md5('g' || pattern), 1, 6))::BIGINT % 2 AS g, ('0x' || substring(md5('a' || pattern), 1, 6))::BIGINT % 500 AS a500
+  FROM n
+), entries(list_name, allows, pattern, action, day) AS (
+  SELECT 'subjects', false, pattern, 'add', a FROM h WHERE kind = 'subject'
+  UNION ALL SELECT 'subjects', false, pattern, 'remove', a + b + 1 FROM h WHERE kind = 'subject'
+  UNION ALL SELECT 'subjects', false, pattern, 'add', a + b + c + 2 FROM h WHERE kind = 'subject'
+  UNION ALL SELECT 'hosts', false, pattern, 'add', a FROM h WHERE kind = 'host' AND d = 0
+  UNION ALL SELECT 'hosts', false, pattern, 'remove', a + b FROM h WHERE kind = 'host' AND d = 0 AND g = 0
+  UNION ALL SELECT 'paths', false, pattern, 'add', a500 FROM h WHERE kind = 'path' AND f = 0
+  UNION ALL SELECT 'trusted', true, pattern, 'add', a FROM h WHERE kind = 'host' AND e = 0
+  UNION ALL SELECT 'trusted', true, pattern, 'remove', a + c + 1 FROM h WHERE kind = 'host' AND e = 0
+), daily AS (
+  SELECT list_name, allows, lower(pattern) AS pattern, DATE '2024-01-01' + day::INT AS entry_date, max(action) AS action FROM entries GROUP BY ALL
+), valid AS (
+  SELECT * FROM (SELECT *, lead(entry_date) OVER (PARTITION BY list_name, allows, pattern ORDER BY entry_date) AS valid_to FROM daily) WHERE action = 'add'
+), lookups AS (
+  SELECT rid, fetched_on, array_to_string(string_split(host, '.')[i:], '.') AS pattern
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+  UNION SELECT rid, fetched_on, concat(host, '/', parts[1]) FROM p WHERE host <> '' AND len(parts) > 0
+), active AS (
+  SELECT rid, list_name, allows, pattern,
+    row_number() OVER (PARTITION BY rid ORDER BY length(pattern) DESC, allows DESC, list_name, pattern) AS k, count(*) OVER (PARTITION BY rid) AS n
+  FROM lookups JOIN valid USING (pattern) WHERE fetched_on >= entry_date AND (valid_to IS NULL OR fetched_on < valid_to)
+)
+SELECT page_id, fetched_on, coalesce(NOT allows, false) AS blocked, list_name, pattern, coalesce(n, 0)::BIGINT AS n_active
+FROM p LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (rid)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table, with the settings the operators need."""
@@ -178,6 +225,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.entries_of(pages))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word", end_id=1)
     return token_files.read(spark, folder)
@@ -187,6 +239,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -209,16 +265,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator and the pipeline."""
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_token_files": op2_token_files,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality_model": op4_quality_model,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
+        "op10_token_counts": op10_token_counts,
     }
 
 
