@@ -295,6 +295,9 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each class left, the one with the smallest doc_id.
 
     Rows without a doc_id have no class and stay."""
-    kept = near_duplicates(documents).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = documents.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(documents).where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = tx.durable(kept, "kept")
+    named = documents.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("rows > 1").limit(1).count():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(documents.where(F.col("doc_id").isNull())).select(*documents.columns)

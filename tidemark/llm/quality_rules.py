@@ -116,13 +116,17 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def ledger(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the measurements and ``failed_bits`` of all rules."""
-    measured = tx.arrow_map(documents.select("doc_id", "text"), _measure, LEDGER_SCHEMA)
+def _bits() -> Column:
     bits = F.lit(0).cast("long")
     for bit, rule in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed_bits", bits)
+    return bits
+
+
+def ledger(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, the measurements and ``failed_bits`` of all rules."""
+    measured = tx.arrow_map(documents.select("doc_id", "text"), _measure, LEDGER_SCHEMA)
+    return measured.withColumn("failed_bits", _bits())
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -172,3 +176,18 @@ def policy_bits(entries: DataFrame, keys: list[str]) -> DataFrame:
 def verdicts(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Ledger with the verdict of one policy."""
     return apply_policy(ledger(documents), policy)
+
+
+def kept_documents(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The documents a policy keeps, with all their columns, in one pass."""
+    names = documents.columns
+    row_type = documents.select(F.struct(*names).alias("row")).schema["row"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.column(0)
+        measured = _measure(tx.batch([pa.nulls(len(row), pa.int64()), row.field(names.index("text"))], ["doc_id", "text"]))
+        return tx.batch([row, *[measured.column(m) for m in MEASURES]], ["row", *MEASURES])
+
+    schema = f"row {row_type}, " + ", ".join(f"{m} long" for m in MEASURES)
+    measured = tx.arrow_map(documents.select(F.struct(*names).alias("row")), run, schema)
+    return apply_policy(measured.withColumn("failed_bits", _bits()), policy).where("kept").select("row.*")
