@@ -238,10 +238,14 @@ def _grouped(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 def _shingle_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    raw, offsets = tx.buffers(batch.column(3))
-    words = tx.hash_words(raw, offsets)
-    sets = [shingles(words.hashes[0][a:b]).tobytes() for a, b in zip(words.row[:-1], words.row[1:])]
-    return tx.batch([batch.column(0), batch.column(1), batch.column(2), pa.array(sets, pa.binary())], ["root", "rep", "copies", "shingles"])
+    """Shingles of the rows whose words are the text's: other rows may share the doc_id."""
+    root, rep, copies, key, text = batch.columns
+    words = tx.hash_words(*tx.buffers(text))
+    found = [words.hashes[0][a:b] for a, b in zip(words.row[:-1], words.row[1:])]
+    same = [k for k, h in enumerate(found) if len(h) and _text_key(h) == key[k].as_py()]
+    at = pa.array(same, pa.int64())
+    sets = pa.array([shingles(found[k]).tobytes() for k in same], pa.binary())
+    return tx.batch([root.take(at), rep.take(at), copies.take(at), sets], ["root", "rep", "copies", "shingles"])
 
 
 def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -258,12 +262,15 @@ def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = _grouped(blocks, _compare_block, "rep long, root long")
     groups = tx.durable(components(met, "rep", "root"), "candidates")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    of_text = texts.select("rep", "copies")
+    of_text = texts.select("rep", "copies", "k1")
     with_text = (
         groups.select("root", F.col("node").alias("rep")).join(of_text, "rep")
-        .join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").select("root", "rep", "copies", "text")
+        .join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").select("root", "rep", "copies", "k1", "text")
     )
-    sets = tx.durable(tx.arrow_map(with_text, _shingle_sets, "root long, rep long, copies long, shingles binary"), "shingle-sets")
+    sets = tx.arrow_map(with_text, _shingle_sets, "root long, rep long, copies long, shingles binary")
+    if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.distinct()  # repeated rows
+    sets = tx.durable(sets, "shingle-sets")
     placed = _in_blocks(sets.select("root", "rep").join(sizes, "root"), "root", "n", "rep")
     compared = placed.join(sets.select("rep", "copies", "shingles"), "rep")
     found = tx.durable(_grouped(compared, _verify_block, "rep long, texts long, docs long, root long"), "links")
