@@ -1,9 +1,12 @@
-"""Encoding whole texts with the tokenizers library, each distinct piece of text only once.
-
-A text is cut where its tokenizer can never join two sides; each piece is encoded by the library
-the first time a worker meets it and looked up afterwards. The ids of a text are the ids of its
-pieces in order, the same as the library's ids for the whole text. Texts for which the cut
-is not certain go to the library whole. Ids must fit in 16 bits.
+"""Encoding whole texts with the tokenizers library, each distinct token string only once.
+
+Both kinds of vocabulary first split a text into pre-tokens by a pattern and then encode each
+pre-token on its own. For texts of common letters, digits, marks and ASCII white space the split
+is made here, and the library's model encodes each pre-token the first time a worker meets it;
+afterwards it is looked up. Other texts are cut where their tokenizer can never join two sides,
+and the pieces with uncommon characters go to the library as they are; where no cut is
+certain the whole text does. The ids are those the library gives for the whole text. Ids must fit
+in 16 bits.
 """
 
 from __future__ import annotations
@@ -13,16 +16,25 @@ from array import array
 
 import numpy as np
 
-CACHE_LIMIT = 600_000  # pieces in a generation of a worker's cache; two generations are kept
-CACHED_LENGTH = 64  # longer pieces are encoded each time
+CACHE_LIMIT = 600_000  # strings in a generation of a worker's cache; two generations are kept
+CACHED_LENGTH = 64  # longer strings are encoded each time
 
 # White space to Python but not to the tokenizers: cut these texts nowhere.
 _ODD_FOR_SPLIT = re.compile("[\x1c-\x1f]")
 # For the byte-level kind only single blanks and line feeds between other characters are sure.
-_ODD_FOR_BYTES = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-# Letters that are single composed code points, then ASCII marks without an apostrophe: two
-# pre-tokens at most, which the model can be given directly.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+_ODD_FOR_BYTES = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|\x01")
+# Composed letters whose lower case is one letter, and marks; none takes part in normalisation.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_MARKS = "!-/:-@\\[-`{-~\u00a1\u00a7\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac"
+_UNCOMMON = re.compile(f"[^{_LETTERS}0-9{_MARKS} \t-\r]")
+# How the strings of special tokens begin; the library finds them inside words too.
+_SPECIAL = "<|"
+# The pre-token patterns of the two kinds (fixed values of the vocabularies) over those characters.
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPLIT = {
+    "word": re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[{_MARKS}]+").findall,
+    "byte": re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\\s+(?!\\S)|\\s+").findall,
+}
 
 
 def _byte_letters() -> list[str]:
@@ -67,52 +79,43 @@ class PieceEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
         self.model = self.tokenizer.model
-        self.kind = kind
-        self.cache = Memo(self.piece)
-        self.cores = Memo(self._core)
-        self.newline = self.whole("\n")
+        self.kind, self.split = kind, _SPLIT[kind]
+        self.tokens = Memo(self._token)
+        self.pieces = Memo(self._piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _core(self, token: str) -> list[int]:
-        """Ids of one pre-token."""
-        mapped = token if token.isascii() and token[0] != " " else "".join([_LETTER[b] for b in token.encode()])
-        return [t.id for t in self.model.tokenize(mapped)]
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece; in the byte kind it starts with its blank, line feed or "\0" for neither."""
-        blank = ""
-        if self.kind == "byte":
-            head, piece = piece[0], piece[1:]
-            if head == "\n":
-                return self.newline + self.piece("\0" + piece)
-            blank = " " if head == " " else ""
-        plain = _PLAIN.fullmatch(piece)
-        if plain is None or len(piece) > CACHED_LENGTH:
-            return self.whole(blank + piece)
-        letters, marks = plain.groups()
-        if self.kind == "word":
-            letters = letters.lower()
-        ids = self.cores[blank + letters] if letters else []
-        if marks:
-            ids = ids + self.cores[marks if letters else blank + marks]
-        return array("H", ids).tobytes()
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token, given to the model in its byte letters."""
+        if not (token.isascii() and token.isprintable() and token[0] != " "):
+            token = "".join([_LETTER[b] for b in token.encode()])
+        return array("H", [t.id for t in self.model.tokenize(token)]).tobytes()
+
+    def _common(self, text: str) -> bytes:
+        """Ids of a text of common characters."""
+        return b"".join(map(self.tokens.__getitem__, self.split(text.lower() if self.kind == "word" else text)))
+
+    def _piece(self, piece: str) -> bytes:
+        return self.whole(piece) if _UNCOMMON.search(piece) or _SPECIAL in piece else self._common(piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
-        self.cache.age()
-        self.cores.age()
+        self.tokens.age()
+        self.pieces.age()
         return [self._encode(t) if t else b"" for t in texts]
 
     def _encode(self, text: str) -> bytes:
-        if self.kind == "word":
-            return self.whole(text) if _ODD_FOR_SPLIT.search(text) else b"".join(map(self.cache.__getitem__, text.split()))
+        if self.kind == "word":  # most words come again, so they are looked up with their marks
+            return self.whole(text) if _ODD_FOR_SPLIT.search(text) else b"".join(map(self.pieces.__getitem__, text.split()))
+        if _SPECIAL in text:
+            return self.whole(text)
+        if not _UNCOMMON.search(text):
+            return self._common(text)
         if _ODD_FOR_BYTES.search(text):
             return self.whole(text)
         # Cut before each blank and line feed, each piece keeping its own.
-        marked = ("\0" + text).replace("\n", "\x01\n").replace(" ", "\x01 ")
-        return b"".join(map(self.cache.__getitem__, marked.split("\x01"))) if "\x01" not in text else self.whole(text)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\x01\n").replace(" ", "\x01 ").split("\x01")))
 
 
 _LOADED: dict[str, PieceEncoder] = {}

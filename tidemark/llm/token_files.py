@@ -37,6 +37,7 @@ from tidemark.llm import text as tx
 MAGIC = b"TVB1"
 BLOCK_IDS = 1_000_000  # ids in a block, unless one document has more
 VOCABULARY = 1 << 16
+TOKENS_SCHEMA = "doc_id long, ids binary, id long, n long"
 HEADER, ENTRY = struct.Struct("<4sIQ"), np.dtype([("has", "u1"), ("doc", "<i8"), ("n", "<u4")])
 
 # Row c: the byte lengths of the four ids a control byte describes.
@@ -45,14 +46,21 @@ LENGTHS = np.stack([((np.arange(256) >> (2 * k)) & 3) + 1 for k in range(4)], ax
 
 def encode_values(values: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    sizes = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    values = values.astype("<u4", copy=False)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = sizes - 1
-    four = codes.reshape(-1, 4)
-    control = four[:, 0] | (four[:, 1] << 2) | (four[:, 2] << 4) | (four[:, 3] << 6)
-    used = np.arange(4, dtype=np.uint8)[None, :] < sizes[:, None]
-    return control.tobytes() + values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    sizes = codes[: len(values)]
+    widths = [w for w in (1, 2, 3) if len(values) and int(values.max()) >> (8 * w)]
+    for w in widths:
+        sizes += values >= np.uint32(1 << (8 * w))
+    control = codes[0::4] | (codes[1::4] << 2) | (codes[2::4] << 4) | (codes[3::4] << 6)
+    begin = np.arange(len(values), dtype=np.int64)
+    begin[1:] += np.cumsum(sizes[:-1], dtype=np.int64)
+    data = np.empty(len(values) + int(sizes.sum(dtype=np.int64)), np.uint8)
+    data[begin] = values
+    for w in widths:
+        longer = np.flatnonzero(sizes >= w)
+        data[begin[longer] + w] = values[longer] >> np.uint32(8 * w)
+    return control.tobytes() + data.tobytes()
 
 
 def decode_values(raw: bytes, n: int, at: int = 0) -> np.ndarray:
@@ -60,15 +68,17 @@ def decode_values(raw: bytes, n: int, at: int = 0) -> np.ndarray:
     n_control = -(-n // 4)
     control = np.frombuffer(raw, np.uint8, n_control, at)
     sizes = LENGTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(sizes, dtype=np.int64)
-    data = np.frombuffer(raw, np.uint8, int(ends[-1]) if n else 0, at + n_control)
-    begin = ends - sizes
-    out = data[begin].astype(np.uint32) if n else np.zeros(0, np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(sizes > k)
-        if not len(more):
+    if not n:
+        return np.zeros(0, np.uint32)
+    begin = np.zeros(n, np.int64)
+    np.cumsum(sizes[:-1], dtype=np.int64, out=begin[1:])
+    data = np.frombuffer(raw, np.uint8, -1, at + n_control)
+    out = data[begin].astype(np.uint32)
+    for w in (1, 2, 3):
+        longer = np.flatnonzero(sizes > w)
+        if not len(longer):
             break
-        out[more] |= data[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[longer] |= data[begin[longer] + w].astype(np.uint32) << np.uint32(8 * w)
     return out
 
 
@@ -93,35 +103,30 @@ def read_block(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def tokenize(documents: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
-    """doc_id and little-endian 16-bit ids of each whole text with the end id."""
-    end = np.array([end_id], "<u2").tobytes()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = encoders.load(tokenizer, kind).encode(batch.column(1).to_pylist())
-        return tx.batch([tx.ids_of(batch.column(0)), pa.array([x + end for x in found], pa.binary())], ["doc_id", "ids"])
-
-    return tx.arrow_map(documents.select("doc_id", "text"), run, "doc_id long, ids binary")
+    """``ids``: little-endian 16-bit ids of each whole text with the end id, and its ``doc_id``.
 
+    After its documents each task adds rows with its own ``counts`` of ids, at most one for each
+    id of the vocabulary.
+    """
+    end = np.array([end_id], "<u2").tobytes()
+    names = ["doc_id", "ids", "id", "n"]
 
-def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents: counted in each task, then summed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=VOCABULARY) if len(x) > 20_000 else 0
-            short = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 20_000)
-            total += np.bincount(np.frombuffer(short, "<u2"), minlength=VOCABULARY)
+            found = [x + end for x in encoders.load(tokenizer, kind).encode(batch.column(1).to_pylist())]
+            total += np.bincount(np.frombuffer(b"".join(found), "<u2"), minlength=VOCABULARY)
+            none = pa.nulls(len(found), pa.int64())
+            yield tx.batch([tx.ids_of(batch.column(0)), pa.array(found, pa.binary()), none, none], names)
         seen = np.flatnonzero(total)
-        yield tx.batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        yield tx.batch([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names)
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return documents.select("doc_id", "text").mapInArrow(run, TOKENS_SCHEMA)
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
-    """Ids by falling count, then rising id. At most one row for each of the 65,536 ids."""
-    rows = counts.orderBy(F.desc("n"), "id").limit(VOCABULARY).collect()
+    """Ids by falling count, then rising id, from the tasks' counts; at most 65,536 rows."""
+    rows = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(VOCABULARY).collect()
     return np.array([r["id"] for r in rows], np.int64)
 
 
@@ -131,8 +136,9 @@ def write(documents: DataFrame, tokenizer: str, kind: str = "word", end_id: int
     path = tx.scratch_path(spark, "token-files")
     tokens_path = f"{path}/tokens"
     tokenize(documents, tokenizer, kind, end_id).write.option("compression", "zstd").parquet(tokens_path)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(tokens_path)
-    by_rank = rank_table(id_counts(tokens))
+    written = spark.read.schema(TOKENS_SCHEMA).parquet(tokens_path)
+    by_rank = rank_table(written.where("id is not null").select("id", "n"))
+    tokens = written.where("id is null").select("doc_id", "ids")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(VOCABULARY, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -150,10 +156,14 @@ def write(documents: DataFrame, tokenizer: str, kind: str = "word", end_id: int
             )
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = batch.column(1).to_pylist()
+            sizes = [len(x) // 2 for x in found]
+            ends = np.cumsum(sizes).tolist()
+            all_ranks = rank[np.frombuffer(b"".join(found), "<u2")]
+            for doc, n, at in zip(batch.column(0).to_pylist(), sizes, ends):
                 docs.append(doc)
-                ranks.append(rank[np.frombuffer(ids, "<u2")])
-                held += len(ranks[-1])
+                ranks.append(all_ranks[at - n : at])
+                held += n
                 if held >= BLOCK_IDS:
                     yield image()
                     before, block, docs, ranks, held = before + held, block + 1, [], [], 0
