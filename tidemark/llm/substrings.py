@@ -3,7 +3,7 @@
 Pass 1 sketches all windows: each task counts its windows in the cells of a two-row count-min
 sketch whose counters stop at 2, and the fragments are merged cell by cell in Spark. A window's
 estimate never falls below its count, so no repeated window is lost. Pass 2 hashes the windows
-again and keeps those estimated at two or more; only they are grouped, by 128-bit window
+again and keeps those estimated at two or more; only they are grouped, by 96-bit window
 fingerprint, to find the smallest document of each.
 
 Before that shuffle each task decides what it can alone: within a task every occurrence beyond
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,16 +42,31 @@ NO_ID = np.iinfo(np.int64).max
 _ROW_FACTOR = (1, 0xD6E8FEB86659FD93)
 
 FRAGMENT_SCHEMA = "block long, once binary, twice binary"
-CANDIDATE_SCHEMA = "doc long, text_key long, start int, stop int, decided boolean, h1 long, h2 long"
+CANDIDATE_SCHEMA = "doc long, text_key int, start int, stop int, h1 long, h2 int"
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h * np.uint64(_ROW_FACTOR[row])) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Rising cell numbers as one byte for each step; 255 means 255 more to come."""
+    steps = np.diff(cells.astype(np.int64), prepend=-1)
+    out = np.full(len(cells) + int((steps // 255).sum()), 255, np.uint8)
+    out[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def _marked(gaps: bytes, size: int) -> np.ndarray:
+    """The packed bits of the cells that ``_gaps`` wrote."""
+    steps = np.frombuffer(gaps, np.uint8)
+    seen = np.zeros(size, bool)
+    seen[(np.cumsum(steps, dtype=np.int64) - 1)[steps != 255]] = True
+    return np.packbits(seen)
+
+
 def _fragment(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """The sketch of some windows: for each block of cells the ones hit, and those hit twice."""
-    pack = zstandard.ZstdCompressor(level=1)
     h = np.concatenate(hashes)
     block_bits = min(BLOCK_BITS, bits)
     size = 1 << block_bits
@@ -61,23 +76,25 @@ def _fragment(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
         blocks, once, twice = [], [], []
         for b in np.flatnonzero(np.diff(edges)):
             part = cells[edges[b] : edges[b + 1]] - np.uint32(b << block_bits)
-            for which, out in ((part, once), (part[1:][part[1:] == part[:-1]], twice)):
-                seen = np.zeros(size, bool)
-                seen[which] = True
-                out.append(pack.compress(np.packbits(seen)))
+            once.append(_gaps(np.unique(part)))
+            twice.append(_gaps(np.unique(part[1:][part[1:] == part[:-1]])))
             blocks.append((row << (bits - block_bits)) + int(b))
         yield tx.batch([pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
 
 
-def _merge(key: tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of one block hit at least twice over all fragments, read one batch at a time."""
-    unpack = zstandard.ZstdDecompressor()
-    once = twice = None
-    for frame in frames:
-        for a, b in zip(frame.column("once").to_pylist(), frame.column("twice").to_pylist()):
-            a, b = (np.frombuffer(unpack.decompress(x), np.uint8) for x in (a, b))
-            once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    yield tx.batch([pa.array([key[0].as_py()], pa.int64()), pa.array([zstandard.ZstdCompressor(1).compress(twice)], pa.binary())], ["block", "twice"])
+def _merge(bits: int):
+    size = 1 << min(BLOCK_BITS, bits)
+
+    def run(key: tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of one block hit at least twice over all fragments, read one batch at a time."""
+        once = twice = np.zeros(size // 8, np.uint8)
+        for frame in frames:
+            for a, b in zip(frame.column("once").to_pylist(), frame.column("twice").to_pylist()):
+                a, b = _marked(a, size), _marked(b, size)
+                once, twice = once | a, twice | b | (once & a)
+        yield tx.batch([pa.array([key[0].as_py()], pa.int64()), pa.array([zstandard.ZstdCompressor(1).compress(twice)], pa.binary())], ["block", "twice"])
+
+    return run
 
 
 def sketch_bits(documents: DataFrame) -> int:
@@ -93,8 +110,8 @@ def _row_windows(batch: pa.RecordBatch, n_lanes: int):
     return words, at, [tx.window_hashes(h, WIDTH)[at] if len(at) else np.zeros(0, np.uint64) for h in words.hashes]
 
 
-def sketch(documents: DataFrame, bits: int) -> np.ndarray:
-    """Merged sketch: packed bits, row after row, set where a cell was hit at least twice."""
+def sketch(documents: DataFrame, bits: int) -> dict[int, bytes]:
+    """Merged sketch: for each block the compressed bits of cells hit at least twice."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -109,13 +126,24 @@ def sketch(documents: DataFrame, bits: int) -> np.ndarray:
             yield from _fragment(held, bits)
 
     parts = documents.select("text").mapInArrow(build, FRAGMENT_SCHEMA)
-    merged = parts.groupBy("block").applyInArrow(_merge, "block long, twice binary")
-    block = (1 << min(BLOCK_BITS, bits)) // 8
-    out = np.zeros((ROWS << bits) // 8, np.uint8)
-    unpack = zstandard.ZstdDecompressor()
-    for r in merged.toLocalIterator():  # at most the bounded sketch, block by block
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(unpack.decompress(bytes(r["twice"])), np.uint8)
-    return out
+    merged = parts.groupBy("block").applyInArrow(_merge(bits), "block long, twice binary")
+    return {r["block"]: bytes(r["twice"]) for r in merged.toLocalIterator()}  # bounded by MAX_BITS
+
+
+_TABLES: dict[int, object] = {}  # 0: blocks of the broadcast at hand, 1: their bits
+
+
+def _table(shared, bits: int) -> np.ndarray:
+    """The sketch of a broadcast as packed bits, row after row; unpacked once in a worker."""
+    if shared.value is not _TABLES.get(0):
+        _TABLES.clear()
+        size = (1 << min(BLOCK_BITS, bits)) // 8
+        out = np.zeros((ROWS << bits) // 8, np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        for block, packed in shared.value.items():
+            out[block * size : (block + 1) * size] = np.frombuffer(unpack.decompress(packed), np.uint8)
+        _TABLES[0], _TABLES[1] = shared.value, out
+    return _TABLES[1]
 
 
 def _ranges(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +173,8 @@ class _Task:
         at, h1, h2 = at[hit], h1[hit], h2[hit]
         row = np.searchsorted(words.row, at, "right") - 1
         doc = np.array(batch.column(0).cast(pa.int64()).fill_null(NO_ID))
-        key = np.array(batch.column(1).cast(pa.int64()))
-        self.parts.append((doc[row], key[row], (at - words.row[row]).astype(np.int32), h1, h2))
+        key = np.array(batch.column(1).cast(pa.int32()))
+        self.parts.append((doc[row], key[row], (at - words.row[row]).astype(np.int32), h1, (h2 >> np.uint64(32)).astype(np.uint32)))
         self.n += len(at)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -167,43 +195,49 @@ class _Task:
         group = np.concatenate([[0], np.cumsum((doc[i][1:] != doc[i][:-1]) | (key[i][1:] != key[i][:-1]))]) if len(i) else i
         g, start, stop = _ranges(group, at[i])
         first = i[np.searchsorted(group, g)] if len(i) else i
-        spread = tx.mix(doc[first].astype(np.uint64) ^ tx.mix(key[first].view(np.uint64) + start.astype(np.uint64)))
-        yield self._out(doc[first], key[first], start, stop, True, spread, ~spread)
+        spread = tx.mix(doc[first].astype(np.uint64) ^ tx.mix(key[first].astype(np.uint64) + start.astype(np.uint64)))
+        yield self._out(doc[first], key[first], start, pa.array(stop, pa.int32()), spread, spread.astype(np.uint32))
         j = np.flatnonzero(~decided)
-        yield self._out(doc[j], key[j], at[j], at[j] + WIDTH, False, h1[j], h2[j])
+        yield self._out(doc[j], key[j], at[j], pa.nulls(len(j), pa.int32()), h1[j], h2[j])
 
     @staticmethod
-    def _out(doc, key, start, stop, decided, h1, h2) -> pa.RecordBatch:
+    def _out(doc, key, start, stop, h1, h2) -> pa.RecordBatch:
         return tx.batch(
-            [
-                pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)),
-                pa.array(np.full(len(doc), decided)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-            ],
-            ["doc", "text_key", "start", "stop", "decided", "h1", "h2"],
+            [pa.array(doc, pa.int64()), pa.array(key, pa.int32()), pa.array(start, pa.int32()), stop, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32))],
+            ["doc", "text_key", "start", "stop", "h1", "h2"],
         )
 
 
-def repeated_ranges(documents: DataFrame) -> DataFrame:
-    """Word ranges to remove: (doc, text_key, ranges array of start and stop). ``doc`` is never null."""
+def text_key(documents: DataFrame) -> Column:
+    """What tells rows with the same doc_id apart: nothing where there are none, else a hash of the text."""
+    repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return F.hash("text") if repeated else F.lit(0)
+
+
+def repeated_ranges(documents: DataFrame, key: Column) -> DataFrame:
+    """What to remove: (doc, text_key, starts of windows, word ranges). ``doc`` is never null."""
     spark = documents.sparkSession
     bits = sketch_bits(documents)
     shared = spark.sparkContext.broadcast(sketch(documents, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = _Task()
+        task, table = _Task(), _table(shared, bits)
         for batch in batches:
-            task.add(batch, shared.value, bits)
+            task.add(batch, table, bits)
             if task.n >= FRAGMENT:
                 yield from task.flush()
         if task.n:
             yield from task.flush()
 
-    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = documents.select("doc_id", key.alias("text_key"), "text")
     found = keyed.mapInArrow(candidates, CANDIDATE_SCHEMA)
-    # A decided range stands alone under a random fingerprint and passes through.
+    # A decided range (it has a stop) stands alone under a random fingerprint and passes through.
     least = F.min("doc").over(Window.partitionBy("h1", "h2"))
-    removed = found.withColumn("least", least).where(F.col("decided") | (F.col("doc") > F.col("least")))
-    return removed.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    removed = found.withColumn("least", least).where(F.col("stop").isNotNull() | (F.col("doc") > F.col("least")))
+    return removed.groupBy("doc", "text_key").agg(
+        F.collect_list(F.when(F.col("stop").isNull(), F.col("start"))).alias("windows"),
+        F.collect_list(F.when(F.col("stop").isNotNull(), F.struct("start", "stop"))).alias("ranges"),
+    )
 
 
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -212,12 +246,14 @@ RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string,
 def _cut(with_text: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, removed, sha, kept_texts = [], [], [], []
-        for text, ranges in zip(tx.binary_column(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
+        for text, windows, ranges in zip(tx.binary_column(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             parts = text.split()
             words.append(len(parts))
-            if ranges:
+            if windows or ranges:
                 keep = np.ones(len(parts), bool)
-                for r in ranges:
+                for k in range(WIDTH if windows else 0):
+                    keep[np.array(windows) + k] = False
+                for r in ranges or ():
                     keep[r["start"] : r["stop"]] = False
                 parts = [w for w, k in zip(parts, keep.tolist()) if k]
             removed.append(words[-1] - len(parts))
@@ -234,10 +270,11 @@ def _cut(with_text: bool):
 
 def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     """Per document: words, removed words, hash of the kept words and, if asked for, their text."""
-    ranges = repeated_ranges(documents).withColumnRenamed("text_key", "range_key")
+    key = text_key(documents)
+    ranges = repeated_ranges(documents, key).withColumnRenamed("text_key", "range_key")
     keyed = documents.select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_key"), F.xxhash64("text").alias("text_key"),
+        "doc_id", "text", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_key"), key.alias("text_key"),
     )
     joined = keyed.join(ranges, (F.col("doc_key") == F.col("doc")) & (F.col("text_key") == F.col("range_key")), "left")
-    return tx.arrow_map(joined.select("doc_id", "text", "ranges"), _cut(with_text), RESULT_SCHEMA)
+    return tx.arrow_map(joined.select("doc_id", "text", "windows", "ranges"), _cut(with_text), RESULT_SCHEMA)
 
