@@ -46,6 +46,7 @@ _STEPS["bars_x"] = """
            w63 as (partition by symbol order by date rows between 62 preceding and current row))
   window w63 as (partition by symbol order by date rows between 62 preceding and current row)
 """
+_STEPS["positions"] = "select symbol, date, close, row_number() over (partition by symbol order by date) as bar_no from bars"
 _STEPS["bars_y"] = """
   select *, lead(adv_dollars) over (partition by symbol order by date) as entry_adv,
          case when bar_no > 6 then lag(adv_dollars, 6) over (partition by symbol order by date)
@@ -113,12 +114,13 @@ _STEPS["profiles"] = """
 """
 _STEPS["changes"] = """
   select distinct
-    case o_orderpriority when '1-URGENT' then 'Large 500' when '2-HIGH' then 'Growth 100' else 'Local 200' end as index_name,
-    case o_orderpriority when '3-MEDIUM' then 'ASX' else 'US' end as market,
+    case o_orderpriority[1] when '1' then 'Large 500' when '2' then 'Growth 100' when '3' then 'Local 200' when '4' then 'Small 600'
+         else 'Local 300' end as index_name,
+    case when o_orderpriority[1] in ('3', '5') then 'ASX' else 'US' end as market,
     case o_orderstatus when 'F' then 'ADD' else 'DEL' end as action, asx_ticker as ticker,
     announcement_date as effective_date
   from ann join orders using (o_orderkey)
-  where o_orderstatus in ('F', 'O') and o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')
+  where o_orderstatus in ('F', 'O')
 """
 _STEPS["fund_edges"] = """
   select h.product_ticker as etf, h.code || '.AX' as asx_ticker, h.constituent_name as name, h.shares,
@@ -403,10 +405,6 @@ def _owned(edges: str) -> str:
 
 
 _STEPS["owned"] = _owned("fund_edges")
-_STEPS["owned_12"] = """
-  select * replace (array_to_string(string_split(etfs, ',')[1:12], ',') as etfs)
-  from (select * from owned)
-"""
 
 
 def _scored(owned: str) -> str:
@@ -432,7 +430,6 @@ def _scored(owned: str) -> str:
 
 
 _STEPS["scored"] = _scored("owned")
-_STEPS["scored_12"] = _scored("owned_12")
 
 # ------------------------------------------------------------------ bootstrap
 _M = 2147483647
@@ -444,17 +441,13 @@ def _stream(unit: str, replicate: str) -> str:
     return h1
 
 
-_STEPS["boot_rows"] = "select *, count(*) over (partition by strategy) as n from ex"
+_STEPS["boot_rows"] = "select *, count(net_return) over (partition by strategy) as n from ex where net_return is not null"
 _STEPS["boot_draws"] = f"""
   select *, (xor(h2, h2 >> 13) * 16807) % {_M} as h3 from (
     select *, (xor(h1, h1 >> 16) * 69621) % {_M} as h2 from (
-      select strategy, n, net_return, r.b as b, null::bigint as j,
+      select strategy, net_return, r.b as b,
              {_stream("('0x' || substr(sha1(event_id), 1, 8))::bigint", "r.b")} as h1
-      from boot_rows, range(2000) r(b) where n > 200
-      union all
-      select strategy, n, null, r.b, d.j, {_stream("d.j * 104729", "r.b")} as h1
-      from (select distinct strategy, n from boot_rows where n between 3 and 200) g, range(2000) r(b), range(1, 201) d(j)
-      where d.j <= g.n))
+      from boot_rows, range(2000) r(b) where n >= 3))
 """
 _STEPS["boot_means"] = f"""
   select strategy, b, sum(w * net_return) / nullif(sum(w), 0) as m from (
@@ -462,13 +455,7 @@ _STEPS["boot_means"] = f"""
            (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int
            + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int
            + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int + (u >= 0.999998874797402)::int as w
-    from (select *, h3 / {_M}.0::double as u from boot_draws where j is null))
-  group by all
-  union all
-  select d.strategy, d.b, avg(r.net_return)
-  from (select * from boot_draws where j is not null) d
-  join (select strategy, net_return, row_number() over (partition by strategy order by event_id) - 1 as i from boot_rows where n <= 200) r
-    on r.strategy = d.strategy and r.i = d.h3 % d.n
+    from (select *, h3 / {_M}.0::double as u from boot_draws))
   group by all
 """
 _STEPS["ci"] = """
@@ -540,8 +527,8 @@ for _name, _op in (
 """
 _Q["shift_bars"] = """
   select source_url, asx_ticker as symbol, y.date as shifted_date, round(y.close, 6) as shifted_close
-  from (select ann.*, b.bar_no from ann asof left join bars_x b on ann.asx_ticker = b.symbol and ann.announcement_date <= b.date) f
-  left join bars_x y on f.asx_ticker = y.symbol and f.bar_no + 5 = y.bar_no
+  from (select ann.*, b.bar_no from ann asof left join positions b on ann.asx_ticker = b.symbol and ann.announcement_date <= b.date) f
+  left join positions y on f.asx_ticker = y.symbol and f.bar_no + 5 = y.bar_no
 """
 _Q["return_between"] = """
   select source_url, asx_ticker as symbol, round(b.close / nullif(a.close, 0) - 1, 6) as ret
@@ -685,15 +672,26 @@ _Q["cost_model"] = """
          round(2 * (8 + 2 * (25 + part * 1000)), 4) as harsh_bps, 100000.0 / adv_dollars > 0.1 as capped
   from (select *, least(100000.0 / adv_dollars, 0.1) as part from bars_x)
 """
-_Q["metrics_by_strategy"] = f"select strategy, {_METRICS} from ex group by 1"
-_Q["max_drawdown"] = """
-  select strategy, round(min(equity / nullif(peak, 0) - 1), 6) as max_drawdown from (
-    select *, max(equity) over (partition by strategy order by exit_date, k rows unbounded preceding) as peak from (
-      select strategy, exit_date, event_id || ':' || theme as k,
-             product(1 + net_return * 0.001) over (partition by strategy order by exit_date, event_id || ':' || theme rows unbounded preceding) as equity
-      from legs))
-  group by 1
+
+
+def _falls(rows: str, keys: str, row_id: str) -> str:
+    """Worst fall of the compounded curve from its peak, per group."""
+    order = f"partition by {keys} order by exit_date, {row_id} rows unbounded preceding"
+    return f"""
+  select {keys}, round(case when min(net_return) <= -1 then -1.0 else exp(min(level - peak)) - 1 end, 5) as max_drawdown from (
+    select *, max(level) over ({order}) as peak from (
+      select {keys}, exit_date, {row_id}, net_return,
+             sum(case when net_return > -1 then ln(1 + net_return) else 0 end) over ({order}) as level
+      from {rows} where net_return is not null))
+  group by {keys}
+"""
+
+
+_Q["metrics_by_strategy"] = f"""
+  select m.*, max_drawdown from (select strategy, {_METRICS} from ex group by 1) m
+  left join ({_falls("ex", "strategy", "event_id")}) f on m.strategy = f.strategy
 """
+_Q["max_drawdown"] = _falls("ex", "strategy", "event_id")
 _Q["bootstrap_ci"] = "select strategy, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high from ci"
 _BUCKETED = """
   select unnest([
@@ -703,10 +701,15 @@ _BUCKETED = """
       {'dimension': 'liquidity_bucket', 'bucket': case when adv_dollars > -1 and adv_dollars <= 2.5e5 then '<250k' when adv_dollars <= 1e6 then '250k-1m' when adv_dollars <= 5e6 then '1-5m' when adv_dollars <= 1e12 then '>5m' end},
       {'dimension': 'immediate_reaction_bucket', 'bucket': case when abs(imm) <= 0.005 then '<0.5%' when abs(imm) <= 0.02 then '0.5-2%' when abs(imm) <= 0.05 then '2-5%' when abs(imm) <= 1 then '>5%' end},
       {'dimension': 'flow_pressure_bucket', 'bucket': case when flow_pressure <= 0.5 then '<0.5x' when flow_pressure <= 1 then '0.5-1x' when flow_pressure <= 3 then '1-3x' when flow_pressure <= 1e9 then '>3x' end}
-    ], recursive := true), net_return, gross_return, harsh_net_return, exposure_days, pnl_net, participation, capped
+    ], recursive := true), net_return, gross_return, harsh_net_return, exposure_days, pnl_net, participation, capped,
+    exit_date, event_id || ':' || strategy as trade_id
   from ex
 """
-_Q["breakdown_buckets"] = f"select dimension, bucket, {_METRICS} from ({_BUCKETED}) where bucket is not null group by all"
+_STEPS["bucketed"] = f"select * from ({_BUCKETED}) where bucket is not null"
+_Q["breakdown_buckets"] = f"""
+  select m.*, max_drawdown from (select dimension, bucket, {_METRICS} from bucketed group by all) m
+  left join ({_falls("bucketed", "dimension, bucket", "trade_id")}) f on m.dimension = f.dimension and m.bucket = f.bucket
+"""
 
 
 def _gate(source: str) -> str:
@@ -741,14 +744,19 @@ for _by in ("provider", "theme"):
 _STEPS["leg_rows"] = """
   select * replace (event_id || ':' || theme as event_id), net_return * 100000.0 as pnl_net, false as capped from legs
 """
+_STEPS["leg_ex"] = "select * from leg_rows"
+for _step in ("boot_rows", "boot_draws", "boot_means", "ci"):
+    _STEPS[f"leg_{_step}"] = re.sub(r"\b(from|join) (ex|boot_rows|boot_draws|boot_means)\b", r"\1 leg_\2", _STEPS[_step])
 _Q["strategy_summary"] = f"""
-  select s.*, g.passed as claim_alpha from (
+  select s.*, round_even(c.ci_low * 100, 3) as ci95_net_low_pct, round_even(c.ci_high * 100, 3) as ci95_net_high_pct,
+         g.passed and coalesce(c.ci_low > 0, false) as claim_alpha from (
     select strategy, count(net_return) as n, round_even(avg(gross_return) * 100, 3) as avg_gross_pct,
            round_even(avg(net_return) * 100, 3) as avg_net_pct, round_even(avg(harsh_net_return) * 100, 3) as avg_harsh_pct,
            round_even(median(net_return) * 100, 3) as median_net_pct, round_even(avg((net_return > 0)::int), 3) as hit_rate,
            round_even(case when count(*) > 2 then avg(net_return) / nullif(stddev_samp(net_return) / sqrt(count(*)), 0) end, 2) as t_stat
     from leg_rows group by 1) s
   join ({_gate('leg_rows')}) g on s.strategy = g.strategy
+  left join leg_ci c on s.strategy = c.strategy
 """
 _Q["run_up_breakdowns"] = """
   select dimension, bucket, count(*) as n, round_even(avg(net_return) * 100, 3) as avg_net_pct,
@@ -819,7 +827,7 @@ _Q["ownership_map"] = """
          round(days_to_exit_20pct_adv, 5) as days_to_exit_at_20pct_adv
   from scored
 """
-for _name, _source in (("forced_flow_score", "scored"), ("universal_map", "scored_12")):
+for _name, _source in (("forced_flow_score", "scored"), ("universal_map", "scored")):
     _Q[_name] = f"""
   select asx_ticker, n_etfs, etfs, etf_shares, round(etf_value_usd, 2) as etf_value_usd, round(inflow5_usd, 2) as inflow5_usd,
          round(last_close_aud, 5) as last_close_aud, round(adv_shares_63d, 5) as adv_shares_63d,

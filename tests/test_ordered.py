@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import diagnostics, ordered
 
@@ -76,6 +77,14 @@ def test_drawdown_matches_sequential_compounding(frame, sample):
         assert got[None if pd.isna(g) else g] == pytest.approx((equity / equity.cummax() - 1).min())
 
 
+def test_a_total_loss_and_a_long_curve_have_a_drawdown(spark):
+    rows = [("ruin", k, f"r{k}", r) for k, r in enumerate((0.1, -1.2, -1.5, 0.3))]
+    rows += [("long", k, f"l{k:05d}", 3.0 if k != 1500 else -0.5) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, n int, id string, v double").withColumn("d", F.date_add(F.lit("2024-01-01"), F.col("n")))
+    got = {r["g"]: r["max_drawdown"] for r in ordered.max_drawdown(df, ["g"], "v", "d", "id").collect()}
+    assert got == {"ruin": -1.0, "long": pytest.approx(-0.5)}
+
+
 def test_positions_are_the_sorted_order(frame, sample):
     rows = ordered.ordered_positions(frame, ["g"], "d", "id").collect()
     got = {r["id"]: (r["pos"], r["n_seq"]) for r in rows}

@@ -161,11 +161,11 @@ def methodology_rules(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def page_mentions(
-    pages: DataFrame, page_id: str, html: str, per_page: int = 50
+    pages: DataFrame, page_id: str, html: str, per_page: int | None = None
 ) -> DataFrame:
-    """Benchmark names and holdings links of every page: distinct, sorted, first 50.
+    """Benchmark names and holdings links of every page: distinct and sorted.
 
-    Names are only searched in the short stretches of name characters that mention one
+    ``per_page`` keeps the first so many of a page, if asked for. Names are only searched in the short stretches of name characters that mention one
     of the closing words, which keeps the scan linear in the page.
     """
     stretches = F.filter(
@@ -178,7 +178,8 @@ def page_mentions(
 
     def found(hits: Column) -> Column:
         tidy = F.array_distinct(F.transform(hits, F.trim))
-        return F.slice(F.array_sort(tidy), 1, per_page)
+        ordered = F.array_sort(tidy)
+        return ordered if per_page is None else F.slice(ordered, 1, per_page)
 
     kinds = F.array(
         F.struct(F.lit("benchmark").alias("kind"), found(names).alias("values")),

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketise, nonzero, percent
+from ..session import durable
 from .backtest import executed
 from .ordered import grouped_medians, grouped_quantiles, join_groups, max_drawdown, ordered_positions
 
 N_BOOT = 2000
 SEED = 7
 ALPHA = 0.05
-# Groups up to this size are resampled draw by draw; larger ones get Poisson weights.
-SMALL_GROUP = 200
+MIN_RESAMPLED = 3
 
 # Bucket edges and labels of the breakdown dimensions.
 BUCKETS: dict[str, tuple[str, list[float], list[str]]] = {
@@ -121,45 +121,32 @@ def bootstrap_means(
 ) -> DataFrame:
     """Resampled means: keys, replicate, boot_mean. Deterministic for given row ids.
 
-    A large group never leaves its partitions: each row draws a Poisson(1) weight per
-    replicate and only partial sums are shuffled. Groups up to ``SMALL_GROUP`` rows are
-    short arrays that are drawn from with replacement.
+    Each row draws a Poisson(1) weight per replicate, whatever the size of its group, so no
+    group leaves its partitions: only partial sums by replicate are shuffled. Weights come from
+    arithmetic on (row, replicate) instead of a random generator so that SQL can repeat them.
+    Groups below ``MIN_RESAMPLED`` rows have no means.
     """
-    rows = ledger.where(F.col(value).isNotNull()).select(*keys, row_id, value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = join_groups(rows, sizes, keys, "inner")
+    rows = ledger.where(F.col(value).isNotNull()).select(*keys, F.col(row_id), F.col(value).alias("v"))
     replicates = F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))
-
     unit = F.conv(F.substring(F.sha1(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")
-    large = (
-        sized.where(F.col("__n") > SMALL_GROUP)
-        .select(*keys, F.col(value).alias("v"), unit.alias("u"))
+    drawn = (
+        rows.select(*keys, "v", unit.alias("u"))
         .select(*keys, "v", "u", F.explode(replicates).alias("replicate"))
         .withColumn("p", _stream(F.col("u"), F.col("replicate"), seed) / F.lit(float(_MODULUS)))
     )
     weight = F.lit(0)
     for step in _POISSON_CDF:
         weight = weight + (F.col("p") >= step).cast("int")
-    by_weight = (
-        large.withColumn("w", weight)
-        .groupBy(*keys, "replicate")
-        .agg((F.sum(F.col("w") * F.col("v")) / nonzero(F.sum("w"))).alias("boot_mean"))
-    )
-
-    draws = (
-        sized.where((F.col("__n") <= SMALL_GROUP) & (F.col("__n") >= 3))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(row_id, F.col(value).alias("v")))).alias("a"))
-        .select(*keys, F.col("a.v").alias("a"), F.explode(replicates).alias("replicate"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.size("a"))).alias("j"))
-    )
-    pick = _stream(F.col("j") * F.lit(104729).cast("long"), F.col("replicate"), seed) % F.size("a")
-    by_draw = (
-        draws.withColumn("v", F.element_at("a", (pick + 1).cast("int")))
+    return (
+        drawn.withColumn("w", weight)
         .groupBy(*keys, "replicate")
-        .agg(F.avg("v").alias("boot_mean"))
+        .agg(
+            (F.sum(F.col("w") * F.col("v")) / nonzero(F.sum("w"))).alias("boot_mean"),
+            F.count(F.lit(1)).alias("__n"),
+        )
+        .where(F.col("__n") >= MIN_RESAMPLED)
+        .drop("__n")
     )
-    return by_weight.unionByName(by_draw)
 
 
 def bootstrap_ci(
@@ -234,9 +221,12 @@ def claims_gate(
     keys: list[str] | None = None,
     min_trades: int = 5,
     single_trade_max_share: float = 0.5,
-    with_bootstrap: bool = True,
+    interval: DataFrame | None = None,
 ) -> DataFrame:
-    """AG12, AG23, WN17: the checks a result must pass before it may be called an edge."""
+    """AG12, AG23, WN17: the checks a result must pass before it may be called an edge.
+
+    ``interval`` is the ledger's ``bootstrap_ci`` by the same keys, where it is at hand.
+    """
 
     def body(ex: DataFrame, by: list[str]) -> DataFrame:
         gains = F.sum(F.when(F.col("pnl_net") > 0, F.col("pnl_net")).otherwise(0.0))
@@ -263,11 +253,11 @@ def claims_gate(
             "survives_costs", "survives_harsh_costs", "enough_events", "multi_event",
             "no_single_trade_dominates", "liquidity_ok",
         ]
-        if with_bootstrap:
-            out = join_groups(out, bootstrap_ci(ex, by), by).withColumn(
-                "bootstrap_ci_positive", F.coalesce(F.col("ci_low") > 0, F.lit(False))
-            )
-            checks.append("bootstrap_ci_positive")
+        known = bootstrap_ci(ex, by) if interval is None else interval
+        out = join_groups(out, known, by).withColumn(
+            "bootstrap_ci_positive", F.coalesce(F.col("ci_low") > 0, F.lit(False))
+        )
+        checks.append("bootstrap_ci_positive")
         verdict = F.coalesce("oos_positive", F.lit(True))
         for c in checks:
             verdict = verdict & F.coalesce(c, F.lit(False))
@@ -276,9 +266,7 @@ def claims_gate(
     return _grouped(executed(ledger), list(keys or []), body)
 
 
-def strategy_summary(
-    ledger: DataFrame, row_id: str = "event_id", with_bootstrap: bool = True
-) -> DataFrame:
+def strategy_summary(ledger: DataFrame, row_id: str = "event_id") -> DataFrame:
     """AG15: means after costs, median, hit rate, t statistic, interval and verdict."""
     by = ["strategy"]
     ex = executed(ledger)
@@ -301,15 +289,14 @@ def strategy_summary(
         "strategy", percent("m", 3).alias("median_net_pct")
     )
     out = join_groups(base, median, by)
-    if with_bootstrap:
-        ci = bootstrap_ci(ledger, by, row_id=row_id).select(
-            "strategy",
-            percent("ci_low", 3).alias("ci95_net_low_pct"),
-            percent("ci_high", 3).alias("ci95_net_high_pct"),
-        )
-        out = join_groups(out, ci, by)
-    gate = claims_gate(ledger, by, with_bootstrap=with_bootstrap).select("strategy", "claim_alpha")
-    return join_groups(out, gate, by)
+    interval = durable(bootstrap_ci(ledger, by, row_id=row_id), "interval")
+    ci = interval.select(
+        "strategy",
+        percent("ci_low", 3).alias("ci95_net_low_pct"),
+        percent("ci_high", 3).alias("ci95_net_high_pct"),
+    )
+    gate = claims_gate(ledger, by, interval=interval).select("strategy", "claim_alpha")
+    return join_groups(join_groups(out, ci, by), gate, by)
 
 
 def grouped_hits(ledger: DataFrame, by: str) -> DataFrame:

@@ -180,10 +180,26 @@ def mean_rank(df: DataFrame, row_id: str, columns: list[str], name: str) -> Data
     ).drop(*[f"__r{i}" for i in range(len(columns))])
 
 
-# Sequences are ordered by (day, id). A day is cut further by the first two characters of
-# the id, which keeps the order because it is a prefix of the order key.
+# Sequences are ordered by (day, id). A day is cut further into ranges of ids; the cuts come
+# from a sample, but every row is placed by comparing its own id, so any cuts give the same order.
+CUT_SAMPLE, CUTS = 2048, 64
+
+
+def _cuts(df: DataFrame, row_id: str) -> list:
+    """At most ``CUTS`` - 1 ids that part a sample of ``CUT_SAMPLE`` ids evenly."""
+    known = df.select(F.col(row_id).alias("id")).where(F.col("id").isNotNull())
+    ids = [r["id"] for r in known.orderBy(F.xxhash64("id")).limit(CUT_SAMPLE).collect()]
+    ids = sorted(set(ids), key=lambda x: x.encode() if isinstance(x, str) else x)
+    if len(ids) < CUTS:
+        return []
+    return [ids[k * len(ids) // CUTS] for k in range(1, CUTS)]
+
+
 def _slots(df: DataFrame, day: str, row_id: str) -> DataFrame:
-    return df.withColumn("__day", F.col(day)).withColumn("__cut", F.substring(row_id, 1, 2))
+    cut = F.lit(0)
+    if cuts := _cuts(df, row_id):
+        cut = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(row_id)))
+    return df.withColumn("__day", F.col(day)).withColumn("__cut", cut)
 
 
 def ordered_positions(df: DataFrame, keys: list[str], day: str, row_id: str) -> DataFrame:
@@ -209,11 +225,16 @@ def ordered_positions(df: DataFrame, keys: list[str], day: str, row_id: str) ->
 
 
 def max_drawdown(df: DataFrame, keys: list[str], ret: str, day: str, row_id: str) -> DataFrame:
-    """AG8: worst fall of the compounded curve from its running peak, per group."""
+    """AG8: worst fall of the compounded curve from its running peak, per group.
+
+    Growth is summed in logarithms, so a long curve neither overflows nor vanishes. A return of
+    -100 % or less leaves nothing to compound: the fall of such a group is total, -1.
+    """
     rows = _slots(df.where(F.col(ret).isNotNull()), day, row_id)
     slot = [*keys, "__day", "__cut"]
     inside = W.partitionBy(*slot).orderBy(row_id).rowsBetween(W.unboundedPreceding, 0)
-    curve = rows.select(*slot, row_id, F.product(1.0 + F.col(ret)).over(inside).alias("__c"), ret)
+    growth = F.when(F.col(ret) > -1, F.log1p(F.col(ret))).otherwise(0.0)
+    curve = rows.select(*slot, row_id, F.sum(growth).over(inside).alias("__c"), ret)
     curve = curve.withColumn("__m", F.max("__c").over(inside))
     # A slot's own growth and its own highest point are order-free summaries of the curve.
     summary = curve.groupBy(*slot).agg(
@@ -221,15 +242,15 @@ def max_drawdown(df: DataFrame, keys: list[str], ret: str, day: str, row_id: str
     )
     seq = W.partitionBy(*keys).orderBy("__day", "__cut")
     earlier = seq.rowsBetween(W.unboundedPreceding, -1)
-    summary = summary.withColumn(
-        "__equity", F.coalesce(F.product("__growth").over(earlier), F.lit(1.0))
-    )
-    summary = summary.withColumn("__peak", F.max(F.col("__equity") * F.col("__high")).over(earlier))
-    level = F.col("__equity") * F.col("__c")
+    summary = summary.withColumn("__level", F.coalesce(F.sum("__growth").over(earlier), F.lit(0.0)))
+    summary = summary.withColumn("__peak", F.max(F.col("__level") + F.col("__high")).over(earlier))
+    level = F.col("__level") + F.col("__c")
     # greatest skips NULL, so the first slot has no earlier peak.
-    peak = F.greatest(F.col("__peak"), F.col("__equity") * F.col("__m"))
+    peak = F.greatest(F.col("__peak"), F.col("__level") + F.col("__m"))
     return (
         _attach(curve, summary.drop("__growth", "__high"), slot)
         .groupBy(*keys)
-        .agg(F.min(level / F.when(peak != 0, peak) - 1.0).alias("max_drawdown"))
+        .agg(
+            F.when(F.min(ret) <= -1, F.lit(-1.0)).otherwise(F.exp(F.min(level - peak)) - 1.0).alias("max_drawdown")
+        )
     )

@@ -137,10 +137,14 @@ def forced_flow_scores(
 
 
 def universal_ownership_map(
-    fund_holdings: DataFrame, funds: DataFrame, bars: DataFrame, profiles: DataFrame
+    fund_holdings: DataFrame,
+    funds: DataFrame,
+    bars: DataFrame,
+    profiles: DataFrame,
+    list_limit: int | None = None,
 ) -> DataFrame:
-    """SN3: every fund, stocks only, the first twelve funds listed."""
-    return forced_flow_scores(fund_holdings, funds, bars, profiles, True, 12)
+    """SN3: every fund, stocks only; all holding funds are listed unless a limit is given."""
+    return forced_flow_scores(fund_holdings, funds, bars, profiles, True, list_limit)
 
 
 def fund_universe(fund_holdings: DataFrame, funds: DataFrame, bars: DataFrame) -> DataFrame:

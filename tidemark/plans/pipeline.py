@@ -8,7 +8,6 @@ from ..operators.backtest import run_strategies
 from ..operators.features import with_features
 from ..operators.flow import enrich_events
 from ..operators.strategies import Strategy, with_stack_count
-from ..session import durable
 
 
 def build_and_enrich(
@@ -39,8 +38,3 @@ def ledger(
     """Entry 2: the stacked ledger of all enabled strategies."""
     events = build_and_enrich(base_events, bars, market_caps, profiles)
     return run_strategies(events, bars, strategies)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a pipeline stage to the shared folder and continue from the table."""
-    return durable(df, name)

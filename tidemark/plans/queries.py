@@ -7,6 +7,7 @@ the daily routine stores its bars, snapshots, events and ledger.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ from ..streaming import jobs
 from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+# Written stages by (application, folder, name), with the version of the folder they are made of.
+_STAGES: dict[tuple[str, str, str], tuple[int, DataFrame]] = {}
 
 # The day the forward-looking screens are run, inside the data's range.
 AS_OF = "2000-06-30"
@@ -57,11 +59,19 @@ TRADED = [
 class Lab(StarSchema):
     """Domain tables plus the written pipeline stages."""
 
+    @cached_property
+    def version(self) -> int:
+        """A hash of the folder's files, their sizes and times: no file is opened for it."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+        seen = files.load(self.path).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+        return int(seen.agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("v")).first()["v"] or 0)
+
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage, written again when the folder's files have changed."""
         key = (self.spark.sparkContext.applicationId, self.path, name)
-        if key not in _STAGES:
-            _STAGES[key] = durable(build(), name)
-        return _STAGES[key]
+        if key not in _STAGES or _STAGES[key][0] != self.version:
+            _STAGES[key] = (self.version, durable(build(), name))
+        return _STAGES[key][1]
 
     def bars(self) -> DataFrame:
         return self._once("bars", self.lazy_bars)
@@ -404,15 +414,13 @@ def _metric_digits(df: DataFrame) -> DataFrame:
 
 
 def metrics_by_strategy(s: Lab) -> DataFrame:
-    return _metric_digits(diagnostics.compute_metrics(s.ledger(), ["strategy"]).drop("max_drawdown"))
+    return _metric_digits(diagnostics.compute_metrics(s.ledger(), ["strategy"]))
 
 
 def max_drawdown(s: Lab) -> DataFrame:
-    """Of the membership legs, each taken with a thousandth of the equity."""
-    legs = s.legs().withColumn("row_id", F.concat_ws(":", "event_id", "theme"))
-    legs = legs.withColumn("sized", F.col("net_return") * 0.001)
-    out = ordered.max_drawdown(legs, ["strategy"], "sized", "exit_date", "row_id")
-    return _rounded(out, {"max_drawdown": 6})
+    """Of the executed trades, in order of exit."""
+    ex = backtest.executed(s.ledger())
+    return _rounded(ordered.max_drawdown(ex, ["strategy"], "net_return", "exit_date", "event_id"), {"max_drawdown": 5})
 
 
 def bootstrap_ci(s: Lab) -> DataFrame:
@@ -422,8 +430,7 @@ def bootstrap_ci(s: Lab) -> DataFrame:
 
 
 def breakdown_buckets(s: Lab) -> DataFrame:
-    out = diagnostics.breakdowns(s.ledger(), s.enriched()).drop("max_drawdown")
-    return _metric_digits(out)
+    return _metric_digits(diagnostics.breakdowns(s.ledger(), s.enriched()))
 
 
 def claims_gate(s: Lab) -> DataFrame:
@@ -442,7 +449,7 @@ def _inefficiency(by: str) -> Callable[[Lab], DataFrame]:
 
 def strategy_summary(s: Lab) -> DataFrame:
     legs = s.legs().withColumn("event_id", F.concat_ws(":", "event_id", "theme"))
-    return diagnostics.strategy_summary(legs, with_bootstrap=False)
+    return diagnostics.strategy_summary(legs)
 
 
 def run_up_breakdowns(s: Lab) -> DataFrame:
@@ -711,11 +718,9 @@ def param_sweep(s: Lab) -> DataFrame:
 
 
 def gbt_cv(s: Lab) -> DataFrame:
-    """Expanding-window scores; ten boosting rounds keep the check short."""
+    """Expanding-window scores, one row for each fold."""
     e = s.enriched()
-    out = learning.train_classifier(
-        feature_ops.feature_matrix(e), feature_ops.labels(e), e, rounds=10, folds=2
-    )
+    out = learning.train_classifier(feature_ops.feature_matrix(e), feature_ops.labels(e), e)
     rows = [(i, float(v)) for i, v in enumerate(out.get("scores", []))]
     return s.spark.createDataFrame(rows, "fold int, auc double")
 
@@ -775,10 +780,12 @@ def stream_watchlist(s: Lab) -> DataFrame:
     e = s.enriched().select(
         "event_id", "asx_ticker", "effective_date", "tradeable_flag", "delayed_flow_opportunity_score"
     )
-    tables.write_parquet(e, f"{path}/landed")
-    stream = jobs.read_stream(s.spark, f"{path}/landed", e.schema)
-    jobs.trailing_watchlist(stream, f"{path}/out", f"{path}/check", AS_OF).awaitTermination()
-    out = jobs.latest_rows(s.spark, f"{path}/out", ["event_id"])
+    # Two deliveries: every event still tradeable, then the events as they are, some closed.
+    for delivery in (e.withColumn("tradeable_flag", F.lit(True)), e):
+        delivery.coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    stream = jobs.read_stream(s.spark, f"{path}/landed", e.schema, files_per_batch=1)
+    jobs.trailing_watchlist(stream, f"{path}/out", f"{path}/check").awaitTermination()
+    out = jobs.current_watchlist(s.spark, f"{path}/out", AS_OF)
     return out.select(
         "event_id", "asx_ticker", "effective_date", _r("delayed_flow_opportunity_score").alias("score")
     )

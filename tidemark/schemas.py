@@ -86,7 +86,7 @@ MEMBERSHIP_CHANGES = _table(
     index_name=_S, market=_S, action=_S, ticker=_S, effective_date=_D, security=_S, reason=_S
 )
 TRIAL_LOG = _table(
-    iteration=_I, timestamp=_S, hypothesis=_S, test=_S, outcome=_S, metric=_S, notes=_S
+    iteration=_I, timestamp=_S, hypothesis=_S, outcome=_S, objective=_F, best_before=_F, n_trades=_I, claim_alpha=_B
 )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean
@@ -85,10 +85,8 @@ class StarSchema:
         held = lines.groupBy("product_ticker", "as_of_date", "l_suppkey").agg(
             F.sum("l_quantity").alias("shares"), F.sum("l_extendedprice").alias("market_value")
         )
-        fund = lines.groupBy("product_ticker", "as_of_date").agg(
-            F.sum("l_extendedprice").alias("fund_value")
-        )
-        return held.join(fund, ["product_ticker", "as_of_date"])
+        of_fund = Window.partitionBy("product_ticker", "as_of_date")
+        return held.withColumn("fund_value", F.sum("market_value").over(of_fund))
 
     def holdings(self) -> DataFrame:
         """Quarter-end snapshots; tickers come in several vendor spellings."""
@@ -217,19 +215,19 @@ class StarSchema:
         return conform(caps, MARKET_CAP_HISTORY)
 
     def membership_changes(self) -> DataFrame:
-        """Index additions and deletions out of the F and O orders of three priorities."""
-        o = self.table("orders").where(
-            F.col("o_orderstatus").isin("F", "O")
-            & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")
-        )
+        """Index additions and deletions out of the F and O orders, an index for each priority."""
+        o = self.table("orders").where(F.col("o_orderstatus").isin("F", "O"))
+        priority = F.substring("o_orderpriority", 1, 1)
         name = (
-            F.when(F.col("o_orderpriority") == "1-URGENT", "Large 500")
-            .when(F.col("o_orderpriority") == "2-HIGH", "Growth 100")
-            .otherwise("Local 200")
+            F.when(priority == "1", "Large 500")
+            .when(priority == "2", "Growth 100")
+            .when(priority == "3", "Local 200")
+            .when(priority == "4", "Small 600")
+            .otherwise("Local 300")
         )
         return o.select(
             name.alias("index_name"),
-            F.when(F.col("o_orderpriority") == "3-MEDIUM", "ASX").otherwise("US").alias("market"),
+            F.when(priority.isin("3", "5"), "ASX").otherwise("US").alias("market"),
             F.when(F.col("o_orderstatus") == "F", "ADD").otherwise("DEL").alias("action"),
             _order_symbol().alias("ticker"),
             F.to_date("o_orderdate").alias("effective_date"),

@@ -69,8 +69,8 @@ def profiles_from_payload(raw: DataFrame) -> DataFrame:
     )
 
 
-def market_caps_from_payload(raw: DataFrame, newest: int | None = 2000) -> DataFrame:
-    """IO15: dated market caps, the newest ``newest`` per symbol."""
+def market_caps_from_payload(raw: DataFrame, newest: int | None = None) -> DataFrame:
+    """IO15: dated market caps; all of them, or the newest ``newest`` per symbol if asked for."""
     out = conform(
         raw.select(
             _field(raw, "symbol").alias("symbol"),
