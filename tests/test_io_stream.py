@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from conftest import RAMP, business_days, event_row, make_bars, make_events
@@ -11,7 +12,7 @@ from tidemark.operators import learning, registry, screens, sweep
 from tidemark.operators.flow import enrich_events
 from tidemark.operators.features import with_features
 from tidemark.operators.strategies import with_stack_count
-from tidemark.schemas import BARS, HOLDINGS, MEMBERSHIP_CHANGES
+from tidemark.schemas import BARS, HOLDINGS, MEMBERSHIP_CHANGES, conform
 from tidemark.session import durable, shared_dir
 from tidemark.sources import holdings_files, payloads, tables
 from tidemark.streaming import jobs
@@ -181,7 +182,7 @@ def test_models_refuse_small_or_flat_data(spark):
                               "event_id string, label_delayed_positive int, label_delayed_return double")
     d = spark.createDataFrame([(str(i), dt.date(2024, 1, 1 + i)) for i in range(10)], "event_id string, announcement_date date")
     assert learning.train_classifier(f, y, d)["trained"] is False
-    assert "rows" in learning.train_regressor(f, y, d)["reason"]
+    assert learning.train_regressor(f, y, d)["reason"] == learning.TOO_FEW_ROWS
 
 
 def test_models_learn_in_time_order(spark):
@@ -260,11 +261,56 @@ def test_bars_and_dedup_streams(spark, tmp_path):
 def test_watchlist_stream(spark, enriched, tmp_path):
     events, _ = enriched
     path = str(tmp_path / "in")
-    events.write.parquet(path)
-    stream = jobs.read_stream(spark, path, events.schema)
+    events.coalesce(1).write.parquet(path)
+    opened = {r["event_id"] for r in screens.watchlist(events).collect()}
+    closed = min(opened)
+    events.where(F.col("event_id") == closed).withColumn("tradeable_flag", F.lit(False)).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_stream(spark, path, events.schema, files_per_batch=1)
     jobs.trailing_watchlist(stream, str(tmp_path / "w"), str(tmp_path / "wc")).awaitTermination()
-    got = {r["event_id"] for r in jobs.latest_rows(spark, str(tmp_path / "w"), ["event_id"]).collect()}
-    assert got == {r["event_id"] for r in screens.watchlist(events).collect()} and got
+    got = {r["event_id"] for r in jobs.current_watchlist(spark, str(tmp_path / "w")).collect()}
+    assert got == opened - {closed}
+
+
+def test_a_lost_state_stops_the_stream(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    lines = [("A", "2024-01-01", "X", 1.0), ("A", "2024-02-01", "X", 2.0)]
+    rows = spark.createDataFrame(lines, "product_ticker string, d string, constituent_ticker string, shares double")
+    rows = conform(rows.withColumn("as_of_date", F.to_date("d")), HOLDINGS)
+    path, out, state, check = (str(tmp_path / x) for x in ("in", "out", "state", "check"))
+    rows.where("as_of_date = date '2024-01-01'").coalesce(1).write.parquet(path)
+
+    def once():
+        jobs.snapshot_changes(jobs.read_stream(spark, path, HOLDINGS), out, state, check).awaitTermination()
+
+    once()
+    os.rename(f"{state}/v0", f"{state}/gone")
+    rows.where("as_of_date = date '2024-02-01'").coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(StreamingQueryException):
+        once()
+    os.rename(f"{state}/gone", f"{state}/v0")
+    once()
+    assert [r["change_type"] for r in spark.read.parquet(f"{out}/changes").collect()] == ["WEIGHT_INCREASE"] or spark.read.parquet(f"{out}/changes").count() == 1
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    _write(
+        tmp_path / "ann" / "a.csv",
+        "provider,index_name,ticker,company_name,action,announcement_date,effective_date\nP1,I1,BHP,Big,ADD,2024-01-02,2024-01-20\n",
+    )
+    _write(tmp_path / "ann" / "b.csv", "ticker,action,index,provider,date,effective_date\nCSL,REMOVE,I2,P2,2024-02-03,2024-02-20\n")
+    _write(tmp_path / "ann" / "_TEMPLATE.csv", "ticker,action\nXXX,ADD\n")
+    got = {r["asx_ticker"]: r for r in tables.read_announcements(spark, str(tmp_path / "ann")).collect()}
+    assert set(got) == {"BHP.AX", "CSL.AX"}
+    assert (got["CSL.AX"]["provider"], got["CSL.AX"]["index_name"], str(got["CSL.AX"]["announcement_date"])) == ("P2", "I2", "2024-02-03")
+    assert got["BHP.AX"]["provider"] == "P1" and str(got["BHP.AX"]["effective_date"]) == "2024-01-20"
+
+
+def test_lines_that_do_not_fit_are_returned(spark, tmp_path):
+    _write(tmp_path / "t.csv", "a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    path = str(tmp_path / "t.csv")
+    assert tables.read_csv(spark, path).count() == 3
+    assert sorted(r["line"] for r in tables.csv_rejects(spark, path).collect()) == ["4,5", "6,7,8,9"]
 
 
 def test_shared_dir_reads_the_session(spark):

@@ -43,10 +43,51 @@ PLACEHOLDER_PREFIXES = ("TODO:", "BENCH:", "PROVIDER:")
 ACQUISITION_ORDER = ("manual", "fmp", "download")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """IO1. Without a schema every column is text; types are set by the normalisers."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).csv(path)
+CORRUPT = "_corrupt_record"
+
+
+def _csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None) -> DataFrame:
+    """Every line of the files, with the ones that do not fit the columns also as they are."""
+    reader = spark.read.option("header", True)
+    wanted = schema or reader.csv(path).schema
+    marked = T.StructType([*wanted.fields, T.StructField(CORRUPT, T.StringType())])
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(marked).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+    """IO1. Without a schema every column is text; types are set by the normalisers.
+
+    The files share one header. No line is dropped: cells that cannot be read, or are not
+    there, are NULL, and ``csv_rejects`` returns the lines concerned.
+    """
+    return _csv(spark, path, schema).drop(CORRUPT)
+
+
+def csv_rejects(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+    """(path, line) of the lines ``read_csv`` could not read whole."""
+    # Every column is asked for: the reader checks a line only against the columns it must give.
+    cells = F.to_json(F.struct("*"))
+    rows = _csv(spark, path, schema).select(F.col("_metadata.file_path").alias("path"), F.col(CORRUPT).alias("line"), cells.alias("cells"))
+    return rows.where(F.col("line").isNotNull() & F.col("cells").isNotNull()).drop("cells")
+
+
+def read_csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Hand-kept files whose headers differ: one frame for each distinct header.
+
+    Templates are skipped. The driver sees the path and first line of each file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("no")
+    )
+    name = F.element_at(F.split("path", "/"), -1)
+    heads = (
+        lines.where((F.trim("value") != "") & ~name.startswith("_TEMPLATE"))
+        .groupBy("path").agg(F.min_by("value", "no").alias("head")).orderBy("path").collect()
+    )
+    by_head: dict[str, list[str]] = {}
+    for row in heads:
+        by_head.setdefault(row["head"], []).append(row["path"])
+    return [read_csv(spark, paths) for paths in by_head.values()]
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -118,9 +159,12 @@ def read_bars(
 
 
 def save_snapshots(holdings: DataFrame, path: str) -> str:
-    """IO5: replaces exactly the (product, date) partitions it carries."""
+    """IO5: replaces exactly the (product, date) partitions it carries; each has one file,
+    however many tasks hold its lines."""
     (
         conform(holdings, HOLDINGS)
+        .repartition("product_ticker", "as_of_date")
+        .sortWithinPartitions("product_ticker", "as_of_date", "constituent_ticker")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("product_ticker", "as_of_date")
@@ -136,21 +180,17 @@ def read_snapshots(spark: SparkSession, path: str, product: str | None = None) -
 
 
 # ------------------------------------------------------------------ manual inputs
-def _without_templates(df: DataFrame) -> DataFrame:
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    return df.where(~name.startswith("_TEMPLATE"))
-
-
 def read_manual_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """IO18: the two registry folders stacked; the folder gives the default type."""
+    """IO18: the two registry folders stacked, each file by its own header; the folder gives
+    the default type."""
     parts = []
     for sub, kind in (("etf_registry", "etf"), ("index_registry", "index")):
-        raw = _without_templates(read_csv(spark, f"{folder}/{sub}/*.csv"))
-        kind_col = (
-            F.coalesce("record_type", F.lit(kind)) if "record_type" in raw.columns else F.lit(kind)
-        )
-        parts.append(registry_from_text(raw.withColumn("record_type", kind_col)))
-    both = reduce(lambda a, b: a.unionByName(b), parts)
+        for raw in read_csv_by_header(spark, f"{folder}/{sub}/*.csv"):
+            kind_col = (
+                F.coalesce("record_type", F.lit(kind)) if "record_type" in raw.columns else F.lit(kind)
+            )
+            parts.append(registry_from_text(raw.withColumn("record_type", kind_col)))
+    both = reduce(lambda a, b: a.unionByName(b), parts, spark.createDataFrame([], REGISTRY))
     return both.withColumn("source", F.lit("manual"))
 
 
@@ -211,8 +251,9 @@ def normalise_announcements(raw: DataFrame) -> DataFrame:
 
 
 def read_announcements(spark: SparkSession, folder: str) -> DataFrame:
-    """IO20: announcement CSVs of one header; templates are skipped."""
-    return normalise_announcements(_without_templates(read_csv(spark, f"{folder}/*.csv")))
+    """IO20: announcement CSVs, each by its own header; templates are skipped."""
+    parts = [normalise_announcements(raw) for raw in read_csv_by_header(spark, f"{folder}/*.csv")]
+    return reduce(lambda a, b: a.unionByName(b), parts, spark.createDataFrame([], ANNOUNCEMENTS))
 
 
 def read_custom_events(spark: SparkSession, path: str) -> DataFrame:
