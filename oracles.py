@@ -118,7 +118,7 @@ _STEPS["changes"] = """
          else 'Local 300' end as index_name,
     case when o_orderpriority[1] in ('3', '5') then 'ASX' else 'US' end as market,
     case o_orderstatus when 'F' then 'ADD' else 'DEL' end as action, asx_ticker as ticker,
-    announcement_date as effective_date
+    announcement_date as effective_date, 'Security ' || asx_ticker as security, 'priority ' || o_orderpriority[1] as reason
   from ann join orders using (o_orderkey)
   where o_orderstatus in ('F', 'O')
 """
@@ -844,7 +844,7 @@ _Q["fund_universe"] = """
     from fund_edges e left join latest b on e.asx_ticker = b.symbol group by 1) c on r.product_ticker = c.etf
 """
 _Q["deletion_rebounds"] = """
-  select ticker, index_name, effective_date, n - no as bars_since_effective, greatest(0, 10 - (n - no)) as days_left_in_window,
+  select ticker, index_name, security as removed_security, reason, effective_date, n - no as bars_since_effective, greatest(0, 10 - (n - no)) as days_left_in_window,
          round_even((l.close / nullif(eclose, 0) - 1) * 100, 2) as ret_since_effective_pct, n - no <= 10 as live
   from (select c.*, b.close as eclose, b.no, b.n from changes c asof join (
           select *, row_number() over (partition by symbol order by date) as no, count(*) over (partition by symbol) as n
@@ -931,7 +931,10 @@ _Q["registry_priority"] = """
 """
 _Q["registry_coverage"] = """
   select record_type, source, count(*) as n_products, round(avg(confidence_score), 6) as avg_confidence,
-         min(confidence_score) as min_confidence, max(confidence_score) as max_confidence from registry group by all
+         round(stddev_samp(confidence_score), 6) as std_confidence, round(min(confidence_score), 6) as min_confidence,
+         round(quantile_cont(confidence_score, 0.25), 6) as q25_confidence, round(quantile_cont(confidence_score, 0.5), 6) as q50_confidence,
+         round(quantile_cont(confidence_score, 0.75), 6) as q75_confidence, round(max(confidence_score), 6) as max_confidence
+  from registry group by all
 """
 _Q["ticker_normalise"] = """
   select constituent_ticker, case when constituent_ticker like '% LN' then null else code || '.AX' end as normalised,

@@ -20,17 +20,18 @@ COST_RT_BPS = {"US": 10.0, "ASX": 40.0}
 COST_RT_BPS_HARSH = {"US": 30.0, "ASX": 100.0}
 
 
-def collect_changes(changes: DataFrame, cutoff: str = "2005-01-01") -> DataFrame:
-    """BT7, ST3, FL9: dated additions and deletions, each once."""
+def collect_changes(changes: DataFrame, cutoff: str = "2005-01-01", details: bool = False) -> DataFrame:
+    """BT7, ST3, FL9: dated additions and deletions, each once.
+
+    ``details`` adds the security's name and the reason; of several the smallest is kept.
+    """
     keys = ["index_name", "market", "action", "ticker", "effective_date"]
-    return (
-        changes.where(
-            (F.col("effective_date") >= F.lit(cutoff).cast("date"))
-            & (F.coalesce("ticker", F.lit("")) != "")
-        )
-        .select(*keys)
-        .distinct()
+    dated = changes.where(
+        (F.col("effective_date") >= F.lit(cutoff).cast("date")) & (F.coalesce("ticker", F.lit("")) != "")
     )
+    if not details:
+        return dated.select(*keys).distinct()
+    return dated.groupBy(*keys).agg(F.min("security").alias("security"), F.min("reason").alias("reason"))
 
 
 def _market_cost(costs: dict[str, float]):

@@ -149,10 +149,13 @@ def registry_splits(registry: DataFrame) -> dict[str, DataFrame]:
 
 
 def registry_coverage(registry: DataFrame) -> DataFrame:
-    """AG20: rows, scored range and mean confidence per record type and source."""
+    """AG20: distribution of the confidence score per record type and source."""
+    score = F.col("confidence_score")
     return registry.groupBy("record_type", "source").agg(
         F.count(F.lit(1)).alias("n_products"),
-        F.avg("confidence_score").alias("avg_confidence"),
-        F.min("confidence_score").alias("min_confidence"),
-        F.max("confidence_score").alias("max_confidence"),
+        F.avg(score).alias("avg_confidence"),
+        F.stddev_samp(score).alias("std_confidence"),
+        F.min(score).alias("min_confidence"),
+        *[F.percentile(score, F.lit(q / 100)).alias(f"q{q}_confidence") for q in (25, 50, 75)],
+        F.max(score).alias("max_confidence"),
     )

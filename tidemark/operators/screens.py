@@ -169,8 +169,12 @@ def fund_universe(fund_holdings: DataFrame, funds: DataFrame, bars: DataFrame) -
 def deletion_rebounds(changes: DataFrame, bars: DataFrame, as_of: str) -> DataFrame:
     """SN5, WN16: recent index deletions and what is left of their rebound window.
 
-    ``changes`` are membership rows; bars after ``as_of`` are not read.
+    ``changes`` are membership rows, with ``security`` and ``reason`` where they are known;
+    bars after ``as_of`` are not read. Live windows first, the longest remaining ahead.
     """
+    for name in ("security", "reason"):
+        if name not in changes.columns:
+            changes = changes.withColumn(name, F.lit(None).cast("string"))
     day = F.lit(as_of).cast("date")
     recent = changes.where(
         (F.col("action") == "DEL")
@@ -185,15 +189,18 @@ def deletion_rebounds(changes: DataFrame, bars: DataFrame, as_of: str) -> DataFr
         "ticker", F.col("close").alias("last_close")
     )
     since = F.col("n_bars") - F.col("bar_no")
-    return found.join(last, "ticker").select(
+    out = found.join(last, "ticker").select(
         "ticker",
         "index_name",
+        F.col("security").alias("removed_security"),
         "effective_date",
         since.alias("bars_since_effective"),
         F.greatest(F.lit(0).cast("long"), F.lit(REBOUND_BARS) - since).alias("days_left_in_window"),
         percent(simple_return("eff_close", "last_close"), 2).alias("ret_since_effective_pct"),
+        "reason",
         (since <= REBOUND_BARS).alias("live"),
     )
+    return out.orderBy(F.desc("live"), F.desc("days_left_in_window"), "ticker", "index_name", "effective_date")
 
 
 def not_rallied(scored: DataFrame, bars: DataFrame, pool: int = 60, top_n: int = 25) -> DataFrame:

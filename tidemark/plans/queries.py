@@ -535,9 +535,8 @@ def fund_universe(s: Lab) -> DataFrame:
 
 
 def deletion_rebounds(s: Lab) -> DataFrame:
-    changes = membership.collect_changes(s.membership_changes(), "1995-01-01")
-    out = screens.deletion_rebounds(changes, s.bars(), AS_OF)
-    return out
+    changes = membership.collect_changes(s.membership_changes(), "1995-01-01", details=True)
+    return screens.deletion_rebounds(changes, s.bars(), AS_OF)
 
 
 def not_rallied(s: Lab) -> DataFrame:
@@ -607,7 +606,7 @@ def registry_priority(s: Lab) -> DataFrame:
 
 def registry_coverage(s: Lab) -> DataFrame:
     out = registry_ops.registry_coverage(s.registry())
-    return _rounded(out, {"avg_confidence": 6})
+    return _rounded(out, {c: 6 for c, k in out.dtypes if k == "double"})
 
 
 def ticker_normalise(s: Lab) -> DataFrame:

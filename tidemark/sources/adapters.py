@@ -231,6 +231,8 @@ class StarSchema:
             F.when(F.col("o_orderstatus") == "F", "ADD").otherwise("DEL").alias("action"),
             _order_symbol().alias("ticker"),
             F.to_date("o_orderdate").alias("effective_date"),
+            F.concat(F.lit("Security "), _order_symbol()).alias("security"),
+            F.concat(F.lit("priority "), priority).alias("reason"),
         ).distinct()
 
     def fund_holdings(self) -> DataFrame:
