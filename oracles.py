@@ -1047,6 +1047,41 @@ _Q["param_sweep"] = f"""
 """
 
 
+# ------------------------------------------------------------------ landed files
+_BARS_OUT = """
+  select symbol, date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close,
+         round(adj_close, 6) as adj_close, volume, round(vwap, 6) as vwap, round(dollar_volume, 3) as dollar_volume from bars
+"""
+_Q["csv_bars"] = _Q["json_bars"] = _BARS_OUT
+_Q["bars_between"] = _BARS_OUT + "  where date between date '1995-06-01' and date '1997-03-31'"
+_Q["saved_snapshots"] = """
+  select product_ticker, as_of_date, constituent_ticker, constituent_name, round(weight_pct, 8) as weight_pct, shares,
+         round(market_value, 2) as market_value from holdings
+"""
+_Q["payload_profiles"] = """
+  select symbol, company_name, sector, industry, round(market_cap, 6) as market_cap, round(price, 6) as price from profiles
+"""
+_Q["payload_market_caps"] = "select symbol, date, round(market_cap, 6) as market_cap from caps"
+_Q["payload_fund_holdings"] = """
+  select h.product_ticker as etf, case when code::int % 2 = 0 then code || '.AX' else code end as asset,
+         case when code::int % 7 = 0 then 'GB000' else 'AU000' || code end as isin, constituent_name as name,
+         round(weight_pct * 100.0, 8) as weight_pct, shares, round(market_value, 2) as market_value
+  from holdings h join (select product_ticker, max(as_of_date) as as_of_date from holdings group by 1) m
+    on h.product_ticker = m.product_ticker and h.as_of_date = m.as_of_date
+"""
+_Q["payload_changes"] = "select distinct index_name as reason, action, ticker, effective_date from changes"
+_Q["announcement_files"] = """
+  select case when confidence >= 0.6 then provider end as provider, index_name, asx_ticker,
+         case when confidence >= 0.6 then company_name end as company_name, announcement_date, effective_date, source_url,
+         round(case when confidence >= 0.6 then 0.9 else confidence end, 6) as confidence
+  from ann
+"""
+_Q["saved_registry"] = """
+  select product_ticker, record_type, product_name, source, round(aum, 2) as aum, round(confidence_score, 6) as confidence_score from registry
+"""
+_Q["scoreboard"] = "select strategy, count(net_return) as n_trades, round(avg(net_return), 6) as avg_return from ex group by 1"
+
+
 def oracle_sql() -> dict[str, str]:
     """Complete statements by query name."""
     return {name: _plain_round(_with(sql)) for name, sql in _Q.items()}

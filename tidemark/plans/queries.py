@@ -38,7 +38,7 @@ from ..session import durable, scratch_path, tune
 from ..sources import tables
 from ..sources.adapters import StarSchema
 from ..streaming import jobs
-from . import pipeline
+from . import landed, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Written stages by (application, folder, name), with the version of the folder they are made of.
@@ -879,7 +879,11 @@ def queries() -> dict[str, Query]:
     def bind(run: Callable[[Lab], DataFrame]) -> Query:
         return lambda spark, path: run(_lab(spark, path))
 
-    return {name: bind(run) for name, run in _RUN.items()}
+    def compared(run: Callable[[Lab], DataFrame]) -> Callable[[Lab], DataFrame]:
+        return lambda lab: _rounded(run(lab), landed.DIGITS)
+
+    out = {name: bind(run) for name, run in _RUN.items()}
+    return out | {name: bind(compared(run)) for name, run in landed.QUERIES.items()}
 
 
 def flagship(spark: SparkSession, path: str) -> DataFrame:
