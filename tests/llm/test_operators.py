@@ -105,15 +105,15 @@ def test_rules_measure_whole_texts(docs):
 
 
 def test_policies_and_ablations_follow_from_the_bits(docs):
-    entries = quality_rules.ledger(docs).collect()
-    bits = [r.failed_bits for r in entries]
+    stored = quality_rules.stored_ledger(docs)
+    bits = [r.failed_bits for r in stored.collect()]
     names = [r.name for r in quality_rules.rules()]
-    for row in quality_rules.ablations(quality_rules.ledger(docs)).collect():
+    for row in quality_rules.ablations(stored).collect():
         mask, bit = quality_rules.mask_of(row.policy), 1 << names.index(row.rule)
         assert row.n_failed == sum(bool(b & bit) for b in bits)
         assert row.n_only_this == sum(b & mask == bit for b in bits)
         assert row.n_kept == sum(b & mask == 0 for b in bits)
-    grouped = quality_rules.policy_bits(quality_rules.ledger(docs), ["n_lines"]).collect()
+    grouped = quality_rules.policy_bits(stored, ["n_lines"]).collect()
     assert sum(r.n for r in grouped) == len(ROWS)
     kept = quality_rules.kept_documents(docs)
     assert kept.columns == docs.columns
@@ -262,7 +262,8 @@ def test_lower_bounds_hold_and_bite():
 def test_packing_places_every_piece(docs, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 8)
     path = queries.tokenizer_file("byte_bpe_50k.json")
-    got = packing.pack_documents(docs, path, capacity=256).collect()
+    packed = packing.pack_documents(docs, path, capacity=256)
+    got = packed.collect()
     tokenizer = encoders.PieceEncoder(path, "byte").tokenizer
     ids = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in ROWS]
     expected = []
@@ -278,7 +279,8 @@ def test_packing_places_every_piece(docs, monkeypatch):
     for spans in sequences.values():
         assert [a for a, _ in sorted(spans)] == np.cumsum([0] + [n for _, n in sorted(spans)])[:-1].tolist()
         assert sum(n for _, n in spans) <= 256
-    assert len(sequences) <= packing.lower_bound(np.array([r.length for r in got]), 256) + 1
+    bound = packing.lower_bound(np.array([r.length for r in got]), 256)
+    assert packing.certificate(packed, 256) == {"sequences": len(sequences), "lower_bound": bound} and len(sequences) <= bound + 1
 
 
 # near duplicates

@@ -68,9 +68,12 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     Two families: thresholds t up to half a sequence (pieces above capacity - t count as a whole
     sequence, those below t as nothing), and rounding to k-th parts of a sequence.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return histogram_bound(np.bincount(sizes, minlength=capacity + 1)) if len(sizes) else 0
+
+
+def histogram_bound(count: np.ndarray) -> int:
+    """The same for the number of pieces of each size from 0 to the capacity."""
+    capacity, count = len(count) - 1, count.astype(np.int64)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     half = capacity // 2
@@ -178,3 +181,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(documents: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
     return pack(tx.durable(pieces(documents, tokenizer, kind, end_id, capacity), "pieces"), capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """Sequences used, and how many no packing of these pieces can go below.
+
+    The bound needs the number of pieces of each length only: at most ``capacity`` rows.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        count[r["length"]] = r["n"]
+    # every sequence has one piece at its start
+    used = packed.where(F.col("offset") == 0).count()
+    return {"sequences": used, "lower_bound": histogram_bound(count) if count.any() else 0}

@@ -129,6 +129,11 @@ def ledger(documents: DataFrame) -> DataFrame:
     return measured.withColumn("failed_bits", _bits())
 
 
+def stored_ledger(documents: DataFrame) -> DataFrame:
+    """The ledger as a written table: policies and ablations then read no text."""
+    return tx.durable(ledger(documents), "quality-ledger")
+
+
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Add ``base_failed`` and ``kept`` under a policy; reads the ledger only."""
     base, mask = mask_of("base"), mask_of(policy) | mask_of("base")
