@@ -71,27 +71,38 @@ EFF_PAYLOAD = [
 ]
 
 
-def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Add ``a_*`` (announcement bar) and ``e_*`` (effective bar) columns to events.
+def priced_points(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """The bar of every (symbol, date) that an event looks at, with all columns both roles need.
 
     Both dates of all events are resolved together: distinct (symbol, date) points and the
     bare bar dates pass one window, and the wide bar columns join the resolved points, not
-    the events. ``a_listed`` tells a symbol without bars from one whose first bar is later.
+    the events. Points of symbols without any bar are not there.
     """
-    dated = events.withColumn("ref_date", reference_date())
-    points = dated.select(
-        "asx_ticker", F.explode(F.array("ref_date", "effective_date")).alias("look_date")
+    points = events.select(
+        "asx_ticker", F.explode(F.array(reference_date(), F.col("effective_date"))).alias("look_date")
     )
+    columns = list(dict.fromkeys([*ANN_PAYLOAD, *EFF_PAYLOAD]))
     wide = study_bars(bars).withColumnsRenamed({"symbol": "__s", "date": "__d"})
-    wide = wide.withColumn("date", F.col("__d"))
+    wide = wide.withColumn("date", F.col("__d")).select("__s", "__d", *columns)
     dates = bars.select(F.col("symbol").alias("asx_ticker"), "date")
     matched = resolve_points(
         points, dates, "asx_ticker", "look_date", "date", {"date": "bar_date"}, known=True
     )
+    same_bar = (F.col("asx_ticker") == F.col("__s")) & (F.col("bar_date") == F.col("__d"))
+    return matched.join(wide, same_bar, "left").select("asx_ticker", "look_date", *columns)
+
+
+def attach_bars(events: DataFrame, bars: DataFrame, priced: DataFrame | None = None) -> DataFrame:
+    """Add ``a_*`` (announcement bar) and ``e_*`` (effective bar) columns to events.
+
+    ``priced`` is ``priced_points`` of the same events as a written table: it is read once for
+    each role, and the bar windows run once. ``a_listed`` tells a symbol without bars from
+    one whose first bar is later.
+    """
+    found = priced_points(events, bars) if priced is None else priced
 
-    def role(prefix: str, columns: list[str], how: str) -> DataFrame:
-        same_bar = (F.col("asx_ticker") == F.col("__s")) & (F.col("bar_date") == F.col("__d"))
-        return matched.join(wide.select("__s", "__d", *columns), same_bar, how).select(
+    def role(prefix: str, columns: list[str]) -> DataFrame:
+        return found.select(
             F.col("asx_ticker").alias("__sym"),
             F.col("look_date").alias("__day"),
             *[F.col(c).alias(f"{prefix}{c}") for c in columns],
@@ -100,10 +111,10 @@ def attach_bars(events: DataFrame, bars: DataFrame) -> DataFrame:
     def on(day: str):
         return (F.col("asx_ticker") == F.col("__sym")) & (F.col(day) == F.col("__day"))
 
-    announced = role("a_", ANN_PAYLOAD, "left").withColumn("a_listed", F.lit(True))
-    effective = role("e_", EFF_PAYLOAD, "inner")
-    out = dated.join(announced, on("ref_date"), "left").drop("__sym", "__day")
-    return out.join(effective, on("effective_date"), "left").drop("__sym", "__day")
+    announced = role("a_", ANN_PAYLOAD).withColumn("a_listed", F.lit(True))
+    out = events.withColumn("ref_date", reference_date())
+    out = out.join(announced, on("ref_date"), "left").drop("__sym", "__day")
+    return out.join(role("e_", EFF_PAYLOAD), on("effective_date"), "left").drop("__sym", "__day")
 
 
 def estimate_flows(events: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -200,7 +211,9 @@ def opportunity_score() -> Column:
     return F.abs("flow_pressure") * p_real * open_flow * tight * remaining / damp
 
 
-def enrich_events(events: DataFrame, bars: DataFrame, as_of: str | None = None) -> DataFrame:
+def enrich_events(
+    events: DataFrame, bars: DataFrame, as_of: str | None = None, priced: DataFrame | None = None
+) -> DataFrame:
     """Flow fields, study windows and opportunity score of every event (FE4, RS5)."""
-    sized = estimate_flows(attach_bars(events, bars), as_of)
+    sized = estimate_flows(attach_bars(events, bars, priced), as_of)
     return study_events(sized).withColumn("delayed_flow_opportunity_score", opportunity_score())

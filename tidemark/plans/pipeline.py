@@ -17,13 +17,15 @@ def build_and_enrich(
     profiles: DataFrame | None = None,
     as_of: str | None = None,
     compat: bool = False,
+    priced: DataFrame | None = None,
 ) -> DataFrame:
     """EV9: flow, study, features and stack counts on top of the base events.
 
     ``base_events`` should be a written table (see ``durable``): it is read once for the
-    rows, once for the as-of points and once for each per-stock count.
+    rows, once for the as-of points and once for each per-stock count. ``priced`` is
+    ``flow.priced_points`` of them as a written table.
     """
-    enriched = enrich_events(base_events, bars, as_of)
+    enriched = enrich_events(base_events, bars, as_of, priced)
     featured = with_features(enriched, market_caps, profiles, base=base_events)
     return with_stack_count(featured, compat=compat, base=base_events)
 

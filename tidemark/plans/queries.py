@@ -95,9 +95,13 @@ class Lab(StarSchema):
 
     def lazy_enriched(self) -> DataFrame:
         return pipeline.build_and_enrich(
-            self.events(), self.bars(), self.market_caps(), self.profiles()
+            self.events(), self.bars(), self.market_caps(), self.profiles(), priced=self.event_bars()
         )
 
+    def event_bars(self) -> DataFrame:
+        return self._once("event-bars", lambda: flow.priced_points(self.events(), self.bars()))
+
+
     def enriched(self) -> DataFrame:
         return self._once("enriched", self.lazy_enriched)
 
@@ -330,7 +334,7 @@ def stack_counts(s: Lab) -> DataFrame:
 
 # ------------------------------------------------------------------ flow, study, features
 def flow_pressure(s: Lab) -> DataFrame:
-    e = flow.estimate_flows(flow.attach_bars(s.events(), s.bars()), AS_OF)
+    e = flow.estimate_flows(flow.attach_bars(s.events(), s.bars(), s.event_bars()), AS_OF)
     return e.select(
         "event_id", _r("estimated_buy_sell_dollars", 3).alias("estimated_buy_sell_dollars"),
         _r("adv_dollars", 3).alias("adv_dollars"), _r("flow_pressure").alias("flow_pressure"),
@@ -340,7 +344,7 @@ def flow_pressure(s: Lab) -> DataFrame:
 
 
 def event_study(s: Lab) -> DataFrame:
-    e = flow.enrich_events(s.events(), s.bars())
+    e = flow.enrich_events(s.events(), s.bars(), priced=s.event_bars())
     wanted = [*flow.STUDY_COLUMNS, "immediate_reaction", "delayed_return", "underreaction_score"]
     return e.select(
         "event_id", "entry_date", *[_r(f"`{c}`", 5).alias(c.replace("-", "m")) for c in wanted],
