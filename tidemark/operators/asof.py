@@ -187,6 +187,23 @@ def return_between(
     return out.withColumn(name, simple_return("__p0", "__p1")).drop("__p0", "__p1")
 
 
+def asof_pair(
+    left: DataFrame, right: DataFrame, by: str, dates: tuple[str, str], column: str, names: tuple[str, str]
+) -> DataFrame:
+    """A column of ``right`` (by, date) on or before each of two dates of a row.
+
+    The points of both dates pass one window; the resolved points are joined once for each.
+    """
+    points = left.select(by, F.explode(F.array(*dates)).alias("__look"))
+    hits = resolve_points(points, right, by, "__look", "date", {column: "__value"})
+    out = left
+    for day, name in zip(dates, names):
+        side = hits.select(F.col(by).alias("__by"), F.col("__look"), F.col("__value").alias(name))
+        match = (F.col(by) == F.col("__by")) & (F.col(day) == F.col("__look"))
+        out = out.join(side, match, "left").drop("__by", "__look")
+    return out
+
+
 def benchmark_return(
     left: DataFrame, benchmark: DataFrame, market: str, start: str, end: str, name: str
 ) -> DataFrame:
@@ -195,6 +212,5 @@ def benchmark_return(
     ``benchmark`` has (market, date, close): one row per market and trading day.
     """
     side = benchmark.withColumnRenamed("market", market)
-    out = asof_join(left, side, market, start, "date", {"close": "__b0"})
-    out = asof_join(out, side, market, end, "date", {"close": "__b1"})
+    out = asof_pair(left, side, market, (start, end), "close", ("__b0", "__b1"))
     return out.withColumn(name, simple_return("__b0", "__b1")).drop("__b0", "__b1")

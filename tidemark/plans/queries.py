@@ -239,8 +239,7 @@ def market_excess_return(s: Lab) -> DataFrame:
     out = asof.benchmark_return(
         rows, s.benchmark_bars(), "market", "announcement_date", "effective_date", "bench"
     )
-    out = asof.asof_join(out, s.bars(), "symbol", "announcement_date", "date", {"close": "p0"})
-    out = asof.asof_join(out, s.bars(), "symbol", "effective_date", "date", {"close": "p1"})
+    out = asof.asof_pair(out, s.bars(), "symbol", ("announcement_date", "effective_date"), "close", ("p0", "p1"))
     return out.select(
         "source_url", _r("bench").alias("bench_return"),
         _r(simple_return("p0", "p1") - F.col("bench")).alias("excess_return"),
