@@ -304,7 +304,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Rows without a doc_id have no class and stay."""
     kept = near_duplicates(documents).where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     kept = tx.durable(kept, "kept")
-    named = documents.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id"), "doc_id", "left_semi")
+    # The same join at every size: a small list of ids is not broadcast.
+    named = documents.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if kept.where("rows > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(documents.where(F.col("doc_id").isNull())).select(*documents.columns)
