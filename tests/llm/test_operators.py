@@ -169,7 +169,7 @@ def fuzz(n):
 
 @pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_pieces_encode_as_whole_texts(name, kind, monkeypatch):
-    monkeypatch.setattr(encoders, "CACHE_LIMIT", 50)
+    monkeypatch.setattr(encoders, "CACHE_LIMIT", {"word": 50, "byte": 50})
     encoder = encoders.PieceEncoder(queries.tokenizer_file(name), kind)
     texts = [t for t in TEXTS if t and len(t) < 100_000] + fuzz(1500)
     for some in (texts, texts[::-1]):

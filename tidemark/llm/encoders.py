@@ -16,7 +16,8 @@ from array import array
 
 import numpy as np
 
-CACHE_LIMIT = 600_000  # strings in a generation of a worker's cache; two generations are kept
+# Strings in a generation of a worker's cache; two generations are kept.
+CACHE_LIMIT = {"word": 600_000, "byte": 400_000}
 CACHED_LENGTH = 64  # longer strings are encoded each time
 
 # White space to Python but not to the tokenizers: cut these texts nowhere.
@@ -51,8 +52,8 @@ _LETTER = _byte_letters()
 class Memo(dict):
     """Values of the pieces met lately; a new piece is computed on first use."""
 
-    def __init__(self, compute) -> None:
-        self.compute, self.older = compute, {}
+    def __init__(self, compute, limit: int) -> None:
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, piece):
         value = self.older.get(piece)
@@ -64,7 +65,7 @@ class Memo(dict):
 
     def age(self) -> None:
         """A full generation becomes the older one, and that is forgotten."""
-        if len(self) > CACHE_LIMIT:
+        if len(self) > self.limit:
             self.older = dict(self)
             self.clear()
 
@@ -80,8 +81,8 @@ class PieceEncoder:
             raise ValueError("ids do not fit in 16 bits")
         self.model = self.tokenizer.model
         self.kind, self.split = kind, _SPLIT[kind]
-        self.tokens = Memo(self._token)
-        self.pieces = Memo(self._piece)
+        self.tokens = Memo(self._token, CACHE_LIMIT[kind])
+        self.pieces = Memo(self._piece, CACHE_LIMIT[kind])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()

@@ -37,6 +37,9 @@ BANDS = HASHES // BAND
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of at least 4 / 5
 TOLERANCE = 1e-6
 BLOCK = 1024
+# Pairs compared at a time, rows of a matrix worked on at a time, and the shingles a text of a
+# block has on average at most: longer texts make smaller blocks.
+PAIRS, ROWS, SHINGLES = 65_536, 256, 2_000
 
 _RNG = np.random.default_rng(20)
 _FACTOR = (_RNG.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)) | np.uint32(1)
@@ -103,8 +106,9 @@ def least_matches() -> list[int]:
 def _pairs(own: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs to compare in a group: all within one block, or those across two."""
     if lo == hi:
-        return np.triu_indices(len(own), 1)
-    i, j = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        i, j = np.triu_indices(len(own), 1)
+        return i.astype(np.int32), j.astype(np.int32)
+    i, j = np.flatnonzero(own == lo).astype(np.int32), np.flatnonzero(own == hi).astype(np.int32)
     return np.repeat(i, len(j)), np.tile(j, len(i))
 
 
@@ -113,7 +117,9 @@ def _surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int])
     matches = np.zeros(len(i), np.int16)
     for step, fewest in enumerate(least):
         part = np.ascontiguousarray(sig[:, step * STEP : (step + 1) * STEP])
-        matches += (part[i] == part[j]).sum(axis=1, dtype=np.int16)
+        for a in range(0, len(i), PAIRS):
+            some = slice(a, a + PAIRS)
+            matches[some] += (part[i[some]] == part[j[some]]).sum(axis=1, dtype=np.int16)
         keep = matches >= fewest
         i, j, matches = i[keep], j[keep], matches[keep]
     return i, j
@@ -208,18 +214,36 @@ def _verify_block(lo: int, hi: int, rows: pa.Table):
         grid = np.zeros((len(sets), width), np.float32)
         grid[row[part], dense[part] - a] = 1
         common += grid @ grid.T
-    common = common.astype(np.int64)
-    union = size[:, None] + size[None, :] - common
-    linked = DENOMINATOR * common >= NUMERATOR * union
+    linked = np.zeros((len(sets), len(sets)), bool)
+    for a in range(0, len(sets), ROWS):
+        some = slice(a, a + ROWS)
+        both = common[some].astype(np.int64)
+        linked[some] = DENOMINATOR * both >= NUMERATOR * (size[some, None] + size[None, :] - both)
     np.fill_diagonal(linked, False)
     if lo != hi:
         linked &= own[:, None] != own[None, :]
-    i, j = np.nonzero(np.triu(linked))
-    if not len(i):
-        return None
-    root = _roots(len(rep), i, j)
     has = linked.any(axis=1)
-    return rep[has], linked.sum(axis=1)[has], (linked @ copies)[has], rep[root[has]]
+    if not has.any():
+        return None
+    docs = np.concatenate([linked[a : a + ROWS] @ copies for a in range(0, len(sets), ROWS)])
+    return rep[has], linked.sum(axis=1)[has], docs[has], rep[_reached(linked)[has]]
+
+
+def _reached(linked: np.ndarray) -> np.ndarray:
+    """The smallest index each row of a matrix of links is connected to."""
+    root = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if root[start] >= 0:
+            continue
+        root[start] = start
+        front = np.array([start])
+        while len(front):
+            near = np.zeros(len(linked), bool)
+            for a in range(0, len(front), ROWS):
+                near |= linked[front[a : a + ROWS]].any(axis=0)
+            front = np.flatnonzero(near & (root < 0))
+            root[front] = start
+    return root
 
 
 def _in_blocks(members: DataFrame, key: str, size: str, node: str) -> DataFrame:
@@ -261,7 +285,6 @@ def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = _in_blocks(members, "key", "n", "rep").join(texts.select("rep", "sig"), "rep")
     met = _grouped(blocks, _compare_block, "rep long, root long")
     groups = tx.durable(components(met, "rep", "root"), "candidates")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     of_text = texts.select("rep", "copies", "k1")
     with_text = (
         groups.select("root", F.col("node").alias("rep")).join(of_text, "rep")
@@ -271,6 +294,8 @@ def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.distinct()  # repeated rows
     sets = tx.durable(sets, "shingle-sets")
+    mean = F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * SHINGLES))
+    sizes = sets.groupBy("root").agg(F.greatest(F.count(F.lit(1)), mean).alias("n"))
     placed = _in_blocks(sets.select("root", "rep").join(sizes, "root"), "root", "n", "rep")
     compared = placed.join(sets.select("rep", "copies", "shingles"), "rep")
     found = tx.durable(_grouped(compared, _verify_block, "rep long, texts long, docs long, root long"), "links")

@@ -31,6 +31,7 @@ from tidemark.llm.encoders import Memo
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+WORDS = 600_000  # words in a generation of a worker's memory
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -57,7 +58,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.words = Memo(self.word)
+        self.words = Memo(self.word, WORDS)
 
     def word(self, word: str) -> int:
         """Pieces of the best path over one word, its leading blank mark included."""
@@ -108,7 +109,7 @@ def load(path: str) -> Counter:
     if path not in _LOADED:
         counter = Counter(vocabulary(path))
         plain = counter.word
-        counter.words = Memo(lambda w: plain(BLANK + w))
+        counter.words = Memo(lambda w: plain(BLANK + w), WORDS)
         _LOADED[path] = counter
     return _LOADED[path]
 
