@@ -35,7 +35,7 @@ from tidemark.llm import text as tx
 
 WIDTH = 13
 ROWS = 2
-MIN_BITS, MAX_BITS = 18, 28  # log2 of the cells of a sketch row
+MIN_BITS, MAX_BITS = 18, 29  # log2 of the cells of a sketch row
 BLOCK_BITS = 18  # cells merged as one record
 FRAGMENT = 4_000_000  # windows held at a time
 NO_ID = np.iinfo(np.int64).max
@@ -65,9 +65,8 @@ def _marked(gaps: bytes, size: int) -> np.ndarray:
     return np.packbits(seen)
 
 
-def _fragment(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+def _fragment(h: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """The sketch of some windows: for each block of cells the ones hit, and those hit twice."""
-    h = np.concatenate(hashes)
     block_bits = min(BLOCK_BITS, bits)
     size = 1 << block_bits
     for row in range(ROWS):
@@ -114,16 +113,18 @@ def sketch(documents: DataFrame, bits: int) -> dict[int, bytes]:
     """Merged sketch: for each block the compressed bits of cells hit at least twice."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _TABLES.clear()  # of an earlier run
         held, n = [], 0
         for batch in batches:
             h = _row_windows(batch, 1)[2][0]
             held.append(h)
             n += len(h)
             if n >= FRAGMENT:
-                yield from _fragment(held, bits)
-                held, n = [], 0
+                whole, held, n = np.concatenate(held), [], 0
+                yield from _fragment(whole, bits)
         if n:
-            yield from _fragment(held, bits)
+            whole, held = np.concatenate(held), []
+            yield from _fragment(whole, bits)
 
     parts = documents.select("text").mapInArrow(build, FRAGMENT_SCHEMA)
     merged = parts.groupBy("block").applyInArrow(_merge(bits), "block long, twice binary")
