@@ -3,13 +3,14 @@
 Documents longer than a sequence are cut into full pieces behind one shorter first piece; full
 pieces are sequences of their own. All other pieces are dealt over buckets and packed there by
 best-fit decreasing. Dual-feasible functions of each bucket's sizes give a number of sequences
-that no packing of them can go below: a bucket that meets its bound is certified. Buckets with a
-gap give up the documents of all sequences that are not full, certified ones those of their
-emptiest sequence; these are exchanged, dealt anew over fewer buckets, and packed again until
-nothing is gained.
+that no packing of them can go below: a bucket that meets its bound is certified. While there is
+more than one bucket, certified ones give up the documents of the sequences that are not full, whose
+room adds up over the buckets; buckets with a gap give up one in ``GIVEN`` of their full
+sequences as well, those of the most pieces, for small pieces fill holes. These documents are exchanged,
+dealt anew over fewer buckets and packed again, until one bucket holds what is left.
 
-Only (doc_id, length, checksum) rows are moved, never text or ids. A bucket has about
-``BUCKET`` pieces however many documents there are.
+Only (doc_id, length, checksum) rows are moved, never text or ids. A bucket has a
+bounded number of pieces however many documents there are.
 
 Defined cases: a null or empty text has only the end id. Repeated rows and null ids are
 documents of their own. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -28,8 +29,10 @@ from tidemark.llm import encoders
 from tidemark.llm import text as tx
 
 CAPACITY = 2048
-BUCKET = 4096  # pieces packed together
-MAX_ROUNDS = 6
+# Pieces packed together in the first round; twice as many in each later one, up to the limit.
+BUCKET, BUCKET_LIMIT = 4096, 1 << 19
+GIVEN = 16
+MAX_ROUNDS = 12
 PIECE_SCHEMA = "doc_id long, pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 PACKED_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, seq long, offset long"
 
@@ -129,10 +132,11 @@ def _pack_bucket(last: bool, capacity: int):
         seq, offset, room = best_fit_decreasing(sizes, capacity)
         given_up = np.zeros(len(room), bool)
         if not last:
+            given_up = room > 0
             if len(room) > lower_bound(sizes, capacity):
-                given_up = room > 0
-            elif room.max() > 0:
-                given_up[room.argmax()] = True
+                full = np.flatnonzero(room == 0)
+                most = np.argsort(-np.bincount(seq)[full], kind="stable")[: -(-len(full) // GIVEN)]
+                given_up[full[most]] = True
         free = given_up[seq]
         ids = key[0].as_py() * (1 << 32) + seq
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -153,25 +157,20 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         found.where(F.col("length") >= capacity).withColumns({"seq": -1 - row, "offset": F.lit(0).cast("long")}).select(*columns, "seq", "offset")
     ]
     todo = found.where(F.col("length") < capacity)
-    n, wasted = todo.count(), None
+    n = todo.count()
     for round_no in range(MAX_ROUNDS):
         if not n:
             break
-        buckets = -(-n // BUCKET)
-        last = buckets == 1 and round_no > 0 or round_no == MAX_ROUNDS - 1
+        buckets = -(-n // min(BUCKET << round_no, BUCKET_LIMIT))
+        last = buckets == 1 or round_no == MAX_ROUNDS - 1
         dealt = todo.withColumn("bucket", F.pmod(F.xxhash64(row, F.lit(round_no)), F.lit(buckets)) + F.lit(round_no << 24).cast("long"))
         packed = dealt.select("bucket", *columns).groupBy("bucket").applyInArrow(_pack_bucket(last, capacity), PACKED_SCHEMA)
         packed = tx.durable(packed, f"packed-{round_no}")
         done.append(packed.where(F.col("seq").isNotNull()))
-        todo = tx.durable(packed.where(F.col("seq").isNull()).select(*columns), f"exchange-{round_no}")
-        left = todo.count()
-        if wasted is not None and left >= wasted and left:
-            # nothing gained by the last exchange: place what is left for good
-            buckets = -(-left // BUCKET)
-            dealt = todo.withColumn("bucket", F.pmod(F.xxhash64(row, F.lit(99)), F.lit(buckets)) + F.lit(99 << 24).cast("long"))
-            done.append(tx.durable(dealt.select("bucket", *columns).groupBy("bucket").applyInArrow(_pack_bucket(True, capacity), PACKED_SCHEMA), "packed-last"))
+        if last:
             break
-        n = wasted = left
+        todo = tx.durable(packed.where(F.col("seq").isNull()).select(*columns), f"exchange-{round_no}")
+        n = todo.count()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
