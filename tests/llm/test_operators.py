@@ -446,6 +446,48 @@ def test_secrets_against_brute_force(spark):
         assert r.text == (None if text is None else out + text[at:])
 
 
+def with_upper_runs(text):
+    """The spans of ``spans_of`` and the candidates with an upper hex run that is random by itself."""
+    base, every = spans_of(text)
+    c, n = secret_scan.CLASSES[1], secret_scan.WINDOW
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        if any(a <= m.start() and b >= m.end() for a, _, b in every) or any(re.search(p, m[0]) for p in secret_scan.ALLOWED):
+            continue
+        for run in re.finditer("[0-9A-F]{20,}", m[0]):
+            a, b = m.start() + run.start(), m.start() + run.end()
+            held = any(x <= a and y >= b for x, _, y in base)
+            windows = [run[0][i : i + n] for i in range(len(run[0]) - n + 1)]
+            best = max(secret_scan.term(n) - sum(secret_scan.term(w.count(x)) for x in set(w)) for w in windows)
+            if not held and re.search("[A-F]", run[0]) and re.search("[0-9]", run[0]) and best >= round(c.bits * n * secret_scan.SCALE):
+                every = sorted([*every, (m.start(), 3, m.end())])
+                break
+    return base, every
+
+
+def test_upper_hex_keys_joined_to_words(spark):
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+    texts = [f"{before}{key(n)}{after}" for before, n in (("sk_", 32), ("key/", 40), ("id-", 20), ("é a_b ", 24)) for after in ("", " end", "-x/y_z") for _ in range(30)]
+    missed = [t for t in texts if not spans_of(t)[1]]
+    assert len(missed) > 100
+    # 16 different digits at 20 places are more than 3.7 bits in any class; these have fewer
+    weak, key16 = "ABAB1212ABAB1212ABAB1212", "AABBCCDD112233445566"
+    nothing = [f"id-{weak}", "id-" + "ABCDEF" * 4, f"sample/{key16}", f"id-{key16[:19]}"]
+    texts += nothing + [
+        f"id-{key16}", f"id-{weak}/{key16}", f"{key16}_{key16} {key16}-z", f"x/AKIA{key16}", f"x/AKIA{key16}/{key16}", f"token = a_{key16}", f"id-{key16.lower()}", "id-" + "0123" * 6,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    line = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    got = {r.doc_id: r for r in secret_scan.report(df).collect()}
+    for i, t in enumerate(texts):
+        base, every = with_upper_runs(t)
+        assert (got[i].base_sha256, got[i].spans, got[i].n_entropy) == (hashlib.sha256(line(base).encode()).hexdigest(), line(every), len(every) - len(base)), t
+    left = [t for t in texts if not with_upper_runs(t)[1]]
+    assert set(nothing) <= set(left) and len(left) - len(nothing) < 5  # few random keys of 20 are below 3 bits
+    clean = {r.doc_id: r.text for r in secret_scan.mask(df).collect()}
+    assert all((clean[i] == t) if t in left else not re.search("[0-9A-F]{20}", clean[i]) for i, t in enumerate(texts))
+
+
 def test_masking_keeps_columns(docs):
     masked = secret_scan.mask(docs)
     assert masked.columns == docs.columns

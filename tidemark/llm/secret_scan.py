@@ -5,7 +5,8 @@ strings of one character class, over which a window of ``WINDOW`` characters sli
 keeps a count for each character of the class and the sum of c log2 c over the counts; a step
 changes two counts and two terms. Terms are whole numbers (``SCALE`` units a bit), so every
 engine gets the same sum. A candidate whose best window reaches the class's threshold is a span,
-unless the allow list suppresses it or a base span holds it already.
+unless the allow list suppresses it or a base span holds it already. So is a candidate with a run
+of upper hex that reaches that class's threshold, unless a base span holds the run.
 
 Positions follow from the lengths of the matches and of the text between them, in code points.
 
@@ -52,6 +53,8 @@ CLASSES = (
     CharacterClass("base 64", _UPPER + _UPPER.lower() + _DIGITS + "+/_-", r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9+/_-]+$", 3.7),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"
+# Runs inside a candidate of a wider class, such as a key after a word and "_". Lower hex runs are base spans already.
+RUN, RUN_CLASS = rf"[0-9A-F]{{{WINDOW},}}", CLASSES[1]
 # Suppressed candidates: placeholders, alphabets in order, checksums of nothing, dated or path-like names.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}",
@@ -114,16 +117,32 @@ def best_window(candidate: Column, alphabet: str) -> Column:
     return F.aggregate(characters, start, step, lambda s: s["best"])
 
 
-def high_entropy(candidate: Column) -> Column:
-    """Whether a candidate's class, if it has one, finds it random and nothing allows it."""
+def _reaches(candidate: Column, c: CharacterClass) -> Column:
+    """Whether a candidate of this class has a window at the class's threshold."""
+    return best_window(candidate, c.alphabet) >= round(c.bits * WINDOW * SCALE)
+
+
+def _held(base: Column, start: Column, stop: Column) -> Column:
+    """Whether a base span holds this range."""
+    return F.exists(base, lambda b: (b["start"] <= start) & (b["stop"] >= stop))
+
+
+def high_entropy(candidate: Column, at: Column, base: Column) -> Column:
+    """Whether a candidate's class, if it has one, or that of a run inside it that no base span
+    holds finds it random and nothing allows it; ``at`` is the candidate's place in the text."""
     verdict = F.lit(False)
     for c in reversed(CLASSES):
-        least = round(c.bits * WINDOW * SCALE)
-        verdict = F.when(candidate.rlike(c.needs), best_window(candidate, c.alphabet) >= least).otherwise(verdict)
+        verdict = F.when(candidate.rlike(c.needs), _reaches(candidate, c)).otherwise(verdict)
+
+    def random_run(span: Column) -> Column:
+        run = F.substring(candidate, span["start"] + 1, span["stop"] - span["start"])
+        return ~_held(base, at + span["start"], at + span["stop"]) & run.rlike(RUN_CLASS.needs) & _reaches(run, RUN_CLASS)
+
+    runs = _located(candidate, RUN, RUN, 0, WINDOW, len(BASE))
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(verdict)
+    return F.when(allowed, F.lit(False)).otherwise(verdict | F.exists(runs, random_run))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -134,8 +153,8 @@ def scan(documents: DataFrame) -> DataFrame:
     out = out.withColumn("candidates", _located(F.col("text"), CANDIDATE, CANDIDATE, 0, WINDOW, len(BASE)))
 
     def is_new(span: Column) -> Column:
-        held = F.exists("base", lambda b: (b["start"] <= span["start"]) & (b["stop"] >= span["stop"]))
-        return ~held & high_entropy(F.substring("text", span["start"] + 1, span["stop"] - span["start"]))
+        candidate = F.substring("text", span["start"] + 1, span["stop"] - span["start"])
+        return ~_held(F.col("base"), span["start"], span["stop"]) & high_entropy(candidate, span["start"], F.col("base"))
 
     return out.withColumn("added", F.filter("candidates", is_new)).drop("candidates")
 
