@@ -338,6 +338,19 @@ def test_one_document_of_each_class_stays(spark, docs):
     assert not {6, 7, 14, 16} & set(ids) and {0, 1, 2, 3, 4, 12, 15} <= set(ids)
 
 
+def test_copies_under_a_shared_id_go(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (8, c, 4), (8, c, 5), (9, c, 6), (9, "", 7), (8, " ", 8), (4, a + " end", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 int").repartition(3)
+    got = [tuple(r) for r in jaccard.keep_one(df).collect()]
+    assert order(r[:2] for r in got) == order([(3, a), (7, b), (8, c), (9, ""), (8, " ")]) and set(got) <= set(rows)
+    # different texts first under one id: the one with copies stays, so that the class is not lost
+    rows = [(7, a), (7, b), (9, a), (9, a + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [tuple(r) for r in jaccard.keep_one(df).collect()] == [(7, a)]
+
+
 def test_pruning_bounds_follow_the_posterior():
     least = jaccard.least_matches()
     assert least == sorted(least) and least[-1] < 0.8 * jaccard.HASHES

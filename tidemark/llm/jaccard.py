@@ -312,25 +312,44 @@ def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, known
 
 
+def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and per document its text key, its class and its links."""
+    signed, known = similar_texts(documents)
+    able = F.col("doc_id").isNotNull() & F.col("k1").isNotNull()
+    names = ["doc_id", "k1", "k2", "class_id"]
+    rows = signed.where(able).join(known, ["k1", "k2"]).select(*names, F.col("rep").alias("copy_of"), F.col("copies").alias("n_copies"), "n_links", "n_text_links")
+    zero, one, own = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("doc_id")
+    alone = signed.where(~able).select(*names[:3], own.alias("class_id"), own.alias("copy_of"), one.alias("n_copies"), zero.alias("n_links"), zero.alias("n_text_links"))
+    return signed, rows.unionByName(alone)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: its class (the smallest doc_id in it), the document its exact copies
     are named by, their number, linked documents, and linked texts other than its own."""
-    signed, known = similar_texts(documents)
-    able = F.col("doc_id").isNotNull() & F.col("k1").isNotNull()
-    rows = signed.where(able).join(known, ["k1", "k2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), F.col("copies").alias("n_copies"), "n_links", "n_text_links")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    alone = signed.where(~able).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), one.alias("n_copies"), zero.alias("n_links"), zero.alias("n_text_links"))
-    return rows.unionByName(alone)
+    return _classed(documents)[1].drop("k1", "k2")
+
+
+def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words = tx.hash_words(*tx.buffers(batch.column(2)), 2)
+    keys = [[_text_key(h[a:b]) if b > a else None for a, b in zip(words.row[:-1], words.row[1:])] for h in words.hashes]
+    return tx.batch([batch.column(0), batch.column(1), *[pa.array(k, pa.int64()) for k in keys]], ["row", "doc_id", "k1", "k2"])
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each class left, the one with the smallest doc_id.
 
-    Rows without a doc_id have no class and stay."""
-    kept = near_duplicates(documents).where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = tx.durable(kept, "kept")
+    Rows without a doc_id have no class and stay. Of different texts that share a doc_id only one
+    that is in the class of that id stays, the one with most links; a row without words is apart."""
+    signed, classed = _classed(documents)
+    text = F.when(F.col("k1").isNotNull(), F.struct((-F.col("n_links")).alias("fewer"), "k1", "k2"))
+    kept = classed.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min(text).alias("best"))
+    kept = tx.durable(kept.select("doc_id", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2")), "kept")
     # The same join at every size: a small list of ids is not broadcast.
     named = documents.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if kept.where("rows > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
+    if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        packed = named.select(F.struct(*documents.columns).alias("row"), "doc_id", "text")
+        schema = packed.select("row", "doc_id", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2")).schema
+        keyed = tx.arrow_map(packed, _keyed, schema).join(kept.hint("merge"), "doc_id")
+        keyed = keyed.where("k1 is null or (k1 = b1 and k2 = b2)").dropDuplicates(["doc_id", "k1", "k2"])
+        named = keyed.select(*[F.col("row").getField(n).alias(n) for n in documents.columns])
     return named.unionByName(documents.where(F.col("doc_id").isNull())).select(*documents.columns)
