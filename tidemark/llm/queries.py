@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, packing, quality_model, quality_rules, secret_scan, substrings, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, decontaminate, jaccard, merkle, packing, quality_model, quality_rules, secret_scan, substrings, token_counts, token_files, url_filter
 from tidemark.llm import text as tx
 
 
@@ -213,6 +214,74 @@ FROM p LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (rid)
 """
 
 
+
+def _levels_sql(name: str, levels: int) -> str:
+    """From {name}0 (tree, idx, n, h): nodes of the levels above, and the siblings of each node."""
+    out = []
+    for k in range(levels):
+        run = f"OVER (PARTITION BY tree, idx // 16 ORDER BY idx ROWS BETWEEN "
+        out.append(f"""{name}{k + 1} AS (
+  SELECT tree, idx // 16 AS idx, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY idx)) AS h FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 16, n
+), {name}_step{k} AS (
+  SELECT tree, idx, coalesce(string_agg(h, '') {run}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') {run}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}{k} WHERE n > 1
+)""")
+    every = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join([*out, f"{name}_root AS ({every})"])
+
+
+def _fold_sql(start: str, name: str, levels: int, out: str) -> str:
+    """Walk up: the table ``start`` has (tree, idx, node, proof) of each row, and so has ``out``."""
+    steps, last = [], start
+    for k in range(levels):
+        steps.append(f"""{out}_at{k} AS (
+  SELECT x.* REPLACE (CASE WHEN s.tree IS NULL THEN node ELSE sha256(concat(before, node, after)) END AS node, concat(proof, before, after) AS proof)
+  FROM {last} x LEFT JOIN {name}_step{k} s ON s.tree = x.tree AND s.idx = x.idx // {16**k}
+)""")
+        last = f"{out}_at{k}"
+    return ", ".join([*steps, f"{out} AS (SELECT * FROM {last})"])
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Level by level: enough levels for 16 ** 8 leaves a tree; finished trees stop growing."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ 0xEDB88320 * (b & 1)
+        table.append(b)
+
+    def digest(text: str) -> str:
+        parts = (f"coalesce(concat(strlen({f}::VARCHAR), ':', {f}::VARCHAR), '-')" for f in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256(concat({', '.join(parts)}))"
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH d AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, x: xor(({table}::BIGINT[])[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {digest("text")} AS leaf,
+    CASE WHEN crc % 5 = 0 THEN {digest(f"translate(text, '{letters}', '{letters.lower()}')")} ELSE {digest("text")} END AS presented
+  FROM d
+), s0 AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, presented) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), {_levels_sql("s", levels)}, t0 AS (
+  SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM s_root
+), {_levels_sql("t", levels)}, lower_walk AS (
+  SELECT doc_id, leaf, tree, idx, presented AS node, '' AS proof FROM s0
+), {_fold_sql("lower_walk", "s", levels, "lower_end")}, upper_walk AS (
+  SELECT doc_id, leaf, t0.h AS subroot, '' AS tree, t0.idx AS idx, node, proof FROM lower_end x JOIN t0 ON t0.name = x.tree
+), {_fold_sql("upper_walk", "t", levels, "upper_end")}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+FROM upper_end JOIN t_root r USING (tree)
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table, with the settings the operators need."""
     return tx.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -269,6 +338,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def digest(text: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", digest(F.col("text")).alias("digest"), F.when(tampered, digest(lowered)).alias("presented"))
+    proofs = merkle.prove(merkle.build(leaves, "source", "doc_id", "presented string"), "presented string")
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("presented", "leaf"), F.col("proof")))
+    return folded.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module in turn
 
@@ -288,6 +385,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_counts": op10_token_counts,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": pipeline,
     }
 
