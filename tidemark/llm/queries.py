@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, jaccard, merkle, packing, quality_model, quality_rules, secret_scan, substrings, token_counts, token_files, url_filter
+from tidemark.llm import alignment, byte_bpe, decontaminate, jaccard, merkle, packing, quality_model, quality_rules, secret_scan, substrings, token_counts, token_files, url_filter
 from tidemark.llm import text as tx
 
 
@@ -366,6 +366,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), with_groups=False).withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module in turn
 
@@ -387,6 +392,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_byte_bpe": op11_byte_bpe,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": pipeline,
     }
 
