@@ -441,21 +441,30 @@ def _stream(unit: str, replicate: str) -> str:
     return h1
 
 
-_STEPS["boot_rows"] = "select *, count(net_return) over (partition by strategy) as n from ex where net_return is not null"
+# k rows of one value draw one Poisson(k) weight a replicate: cumulative probabilities for each k.
+_STEPS["boot_values"] = """
+  select strategy, floor(net_return * 1e9 + 0.5)::bigint as unit, count(*) as k, avg(net_return) as v,
+         sum(count(*)) over (partition by strategy) as n
+  from ex where net_return is not null group by 1, 2
+"""
+_STEPS["boot_steps"] = """
+  select k, list(c order by w) as steps from (
+    select k, w, sum(exp(w * ln(k) - k - lgamma(w + 1))) over (partition by k order by w) as c
+    from (select k, unnest(range(ceil(k + 12 * sqrt(k) + 12)::bigint)) as w from (select distinct k from boot_values where k <= 256)))
+  group by k
+"""
 _STEPS["boot_draws"] = f"""
-  select *, (xor(h2, h2 >> 13) * 16807) % {_M} as h3 from (
-    select *, (xor(h1, h1 >> 16) * 69621) % {_M} as h2 from (
-      select strategy, net_return, r.b as b,
-             {_stream("('0x' || substr(sha1(event_id), 1, 8))::bigint", "r.b")} as h1
-      from boot_rows, range(2000) r(b) where n >= 3))
+  select *, (xor(h2, h2 >> 13) * 16807) % {_M} as h3, (xor(g2, g2 >> 13) * 16807) % {_M} as g3 from (
+    select *, (xor(h1, h1 >> 16) * 69621) % {_M} as h2, (xor(g1, g1 >> 16) * 69621) % {_M} as g2 from (
+      select strategy, v, k, r.b as b, {_stream("u0", "r.b")} as h1, {_stream("(u0 + 7919)", "r.b")} as g1
+      from (select *, (unit % {_M} + {_M}) % {_M} as u0 from boot_values where n >= 3), range(2000) r(b)))
 """
 _STEPS["boot_means"] = f"""
-  select strategy, b, sum(w * net_return) / nullif(sum(w), 0) as m from (
-    select strategy, b, net_return,
-           (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int
-           + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int
-           + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int + (u >= 0.999998874797402)::int as w
-    from (select *, h3 / {_M}.0::double as u from boot_draws))
+  select strategy, b, sum(w * v) / nullif(sum(w), 0) as m from (
+    select strategy, b, v,
+           case when d.k <= 256 then len(list_filter(steps, lambda c: c <= h3 / {_M}.0::double))::double
+                else greatest(0, floor(d.k + sqrt(d.k) * sqrt(-2 * ln((h3 + 1) / {_M + 1}.0::double)) * cos(2 * pi() * g3 / {_M}.0::double) + 0.5)) end as w
+    from boot_draws d left join boot_steps s on d.k = s.k)
   group by all
 """
 _STEPS["ci"] = """
@@ -745,8 +754,8 @@ _STEPS["leg_rows"] = """
   select * replace (event_id || ':' || theme as event_id), net_return * 100000.0 as pnl_net, false as capped from legs
 """
 _STEPS["leg_ex"] = "select * from leg_rows"
-for _step in ("boot_rows", "boot_draws", "boot_means", "ci"):
-    _STEPS[f"leg_{_step}"] = re.sub(r"\b(from|join) (ex|boot_rows|boot_draws|boot_means)\b", r"\1 leg_\2", _STEPS[_step])
+for _step in ("boot_values", "boot_steps", "boot_draws", "boot_means", "ci"):
+    _STEPS[f"leg_{_step}"] = re.sub(r"\b(from|join) (ex|boot_values|boot_steps|boot_draws|boot_means)\b", r"\1 leg_\2", _STEPS[_step])
 _Q["strategy_summary"] = f"""
   select s.*, round_even(c.ci_low * 100, 3) as ci95_net_low_pct, round_even(c.ci_high * 100, 3) as ci95_net_high_pct,
          g.passed and coalesce(c.ci_low > 0, false) as claim_alpha from (
@@ -1030,9 +1039,9 @@ _STEPS["sw_trades"] = " union all ".join(
     for n, (imm, fp, out) in _VARIANTS.items()
 )
 _STEPS["sw_ledger"] = _ledger("sw_trades", "feat")
-for _step in ("ex", "boot_rows", "boot_draws", "boot_means", "ci"):
+for _step in ("ex", "boot_values", "boot_steps", "boot_draws", "boot_means", "ci"):
     _STEPS[f"sw_{_step}"] = re.sub(
-        r"\b(from|join) (ledger|ex|boot_rows|boot_draws|boot_means)\b", r"\1 sw_\2", _STEPS[_step]
+        r"\b(from|join) (ledger|ex|boot_values|boot_steps|boot_draws|boot_means)\b", r"\1 sw_\2", _STEPS[_step]
     )
 _Q["param_sweep"] = f"""
   select v.strategy, coalesce(n, 0) as n_trades, round(net, 6) as avg_net, round(harsh, 6) as avg_harsh,

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diagnostics, ordered
+from tidemark.operators import diagnostics, ordered, resample
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +167,83 @@ def test_claims_gate(spark):
     assert one["no_single_trade_dominates"] is False and one["claim_alpha"] is False
     few = diagnostics.claims_gate(_ledger(spark, [0.01, 0.02, 0.01])).first()
     assert few["enough_events"] is False and few["oos_positive"] is None
+
+
+@pytest.mark.parametrize("limit", [1, 7, 60])
+def test_quantiles_narrow_large_ranges(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "MAX_RANGE", limit)
+    monkeypatch.setattr(ordered, "CELLS", 4)
+    rng = np.random.default_rng(3)
+    # crowded around one value, ties, both signs, an outlier
+    values = np.concatenate([100 + rng.normal(0, 1e-3, 400), np.full(50, 100.0), -rng.random(30), [1e12, 0.0, 100.00000001]])
+    df = spark.createDataFrame([("a" if i % 3 else None, float(v)) for i, v in enumerate(values)], "g string, v double")
+    probs = (0.0, 0.1, 0.5, 0.77, 1.0)
+    got = {(r["g"], r["prob"]): r["quantile"] for r in ordered.grouped_quantiles(df, ["g"], ["v"], probs).collect()}
+    frame = df.toPandas()
+    for g in ("a", None):
+        mine = frame[frame.g.isna() if g is None else frame.g == g].v
+        for p in probs:
+            assert got[g, p] == pytest.approx(mine.quantile(p), rel=1e-12)
+
+
+def test_only_values_of_wanted_ranges_are_shuffled(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(200_000).select((F.col("id") % 3).alias("g"), F.exp(F.rand(5) * 20).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    out = ordered.grouped_quantiles(df, ["g"], ["v"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan()
+
+    def shuffled(node) -> list[int]:
+        found = []
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return shuffled(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return shuffled(node.plan())
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            found += shuffled(children.apply(i))
+        return found
+
+    # three buckets of some 5,100 hold the medians
+    assert shuffled(plan) and max(shuffled(plan)) < 1000
+
+
+@pytest.mark.parametrize("bits,fan_in", [(1, 2), (3, 4), (16, 1024)])
+def test_drawdown_and_positions_of_any_segments(spark, monkeypatch, bits, fan_in):
+    monkeypatch.setattr(ordered, "SEGMENT_BITS", bits)
+    monkeypatch.setattr(ordered, "FAN_IN", fan_in)
+    rng = np.random.default_rng(4)
+    rows = [(["a", None, "b"][i % 7 % 3], dt.date(2024, 1, 1) + dt.timedelta(days=int(rng.integers(0, 20))), f"e{i:04d}", float(rng.normal(0.001, 0.05))) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, d date, id string, v double").repartition(5)
+    got = {r["g"]: r["max_drawdown"] for r in ordered.max_drawdown(df, ["g"], "v", "d", "id").collect()}
+    places = {(r["g"], r["id"]): (r["pos"], r["n_seq"]) for r in ordered.ordered_positions(df, ["g"], "d", "id").collect()}
+    for g in ("a", None, "b"):
+        mine = sorted((d, i, v) for h, d, i, v in rows if h == g)
+        curve = np.cumprod([1 + v for _, _, v in mine])
+        assert got[g] == pytest.approx((curve / np.maximum.accumulate(curve) - 1).min(), abs=1e-12)
+        assert [places[g, i] for _, i, _ in mine] == [(k, len(mine)) for k in range(len(mine))]
+
+
+@pytest.mark.parametrize("k", [1, 2, 40, 1000])
+def test_a_value_that_occurs_k_times_draws_poisson_k(k):
+    drawn = resample.weights(np.arange(400) * 7_654_321, np.full(400, k), 2000, 7)
+    assert drawn.mean() == pytest.approx(k, rel=0.01)
+    assert drawn.var() == pytest.approx(k, rel=0.03)
+    assert np.corrcoef(drawn[:50])[np.triu_indices(50, 1)].__abs__().max() < 0.12
+
+
+def test_bootstrap_rows_are_not_multiplied(spark):
+    rows = [("a" if i % 2 else None, float(v)) for i, v in enumerate(np.random.default_rng(2).normal(0, 1, 60).round(1))] + [("a", None), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    means = resample.bootstrap_means(df, ["g"], "v", 50, 7, 3)
+    assert "explode(sequence" not in means._jdf.queryExecution().toString().lower()
+    got = {(r["g"], r["replicate"]): r["boot_mean"] for r in means.collect()}
+    assert len(got) == 100
+    for g in ("a", None):
+        values, counts = np.unique([v for h, v in rows if h == g and v is not None], return_counts=True)
+        drawn = resample.weights(np.floor(values * 1e9 + 0.5).astype(np.int64), counts, 50, 7)
+        expected = (values @ drawn) / drawn.sum(axis=0)
+        assert [got[g, r] for r in range(50)] == pytest.approx(expected.tolist())

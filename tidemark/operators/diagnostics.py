@@ -15,6 +15,7 @@ from ..functions.scalars import bucketise, nonzero, percent
 from ..session import durable
 from .backtest import executed
 from .ordered import grouped_medians, grouped_quantiles, join_groups, max_drawdown, ordered_positions
+from .resample import bootstrap_means
 
 N_BOOT = 2000
 SEED = 7
@@ -91,69 +92,10 @@ def scoreboard(ledger: DataFrame) -> DataFrame:
     return compute_metrics(ledger, ["strategy"]).orderBy(F.desc("avg_return"), "strategy")
 
 
-# Modulus and multipliers of the portable pseudo-random stream, and the
-# cumulative Poisson(1) probabilities that turn a uniform number into a weight.
-_MODULUS = 2147483647
-_STRIDE = 1566083941
-_MULTIPLIERS = (48271, 69621, 16807)
-_POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402,
-)
-
-
-def _stream(unit: Column, replicate: Column, seed: int) -> Column:
-    """Pseudo-random integer below the modulus for a (unit, replicate) pair."""
-    x = (unit + replicate * F.lit(_STRIDE) + F.lit(seed * 7919)) % _MODULUS
-    x = (x * F.lit(_MULTIPLIERS[0])) % _MODULUS
-    x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_MULTIPLIERS[1])) % _MODULUS
-    return (x.bitwiseXOR(F.shiftright(x, 13)) * F.lit(_MULTIPLIERS[2])) % _MODULUS
-
-
-def bootstrap_means(
-    ledger: DataFrame,
-    keys: list[str],
-    value: str = "net_return",
-    row_id: str = "event_id",
-    n_boot: int = N_BOOT,
-    seed: int = SEED,
-) -> DataFrame:
-    """Resampled means: keys, replicate, boot_mean. Deterministic for given row ids.
-
-    Each row draws a Poisson(1) weight per replicate, whatever the size of its group, so no
-    group leaves its partitions: only partial sums by replicate are shuffled. Weights come from
-    arithmetic on (row, replicate) instead of a random generator so that SQL can repeat them.
-    Groups below ``MIN_RESAMPLED`` rows have no means.
-    """
-    rows = ledger.where(F.col(value).isNotNull()).select(*keys, F.col(row_id), F.col(value).alias("v"))
-    replicates = F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))
-    unit = F.conv(F.substring(F.sha1(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")
-    drawn = (
-        rows.select(*keys, "v", unit.alias("u"))
-        .select(*keys, "v", "u", F.explode(replicates).alias("replicate"))
-        .withColumn("p", _stream(F.col("u"), F.col("replicate"), seed) / F.lit(float(_MODULUS)))
-    )
-    weight = F.lit(0)
-    for step in _POISSON_CDF:
-        weight = weight + (F.col("p") >= step).cast("int")
-    return (
-        drawn.withColumn("w", weight)
-        .groupBy(*keys, "replicate")
-        .agg(
-            (F.sum(F.col("w") * F.col("v")) / nonzero(F.sum("w"))).alias("boot_mean"),
-            F.count(F.lit(1)).alias("__n"),
-        )
-        .where(F.col("__n") >= MIN_RESAMPLED)
-        .drop("__n")
-    )
-
-
 def bootstrap_ci(
     ledger: DataFrame,
     keys: list[str] | None = None,
     value: str = "net_return",
-    row_id: str = "event_id",
     n_boot: int = N_BOOT,
     alpha: float = ALPHA,
     seed: int = SEED,
@@ -161,7 +103,7 @@ def bootstrap_ci(
     """AG9: percentile interval of the mean; groups below three trades have none."""
 
     def body(ex: DataFrame, by: list[str]) -> DataFrame:
-        means = bootstrap_means(ex, by, value, row_id, n_boot, seed)
+        means = bootstrap_means(ex, by, value, n_boot, seed, MIN_RESAMPLED)
         # At most n_boot values per group reach the percentile.
         q = means.groupBy(*by).agg(
             F.percentile("boot_mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")
@@ -185,17 +127,19 @@ def breakdowns(
     ledger: DataFrame, events: DataFrame, dimensions: list[str] | None = None
 ) -> DataFrame:
     """AG10: metrics per (dimension, bucket), all dimensions from one pass."""
-    df = with_dimensions(ledger, events)
+    measures = [
+        "event_id", "strategy", "exit_date", "net_return", "gross_return", "harsh_net_return",
+        "exposure_days", "pnl_net", "participation", "capped", "rejected",
+    ]
+    wanted = list(dict.fromkeys([*measures, *(dimensions or DIMENSIONS)]))
+    # read several times, each time with all dimensions of a row side by side
+    df = durable(with_dimensions(ledger, events).select(*wanted), "dimensions")
     slots = F.array(
         *[
             F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket"))
             for d in dimensions or DIMENSIONS
         ]
     )
-    measures = [
-        "event_id", "strategy", "exit_date", "net_return", "gross_return", "harsh_net_return",
-        "exposure_days", "pnl_net", "participation", "capped", "rejected",
-    ]
     long = df.select(*measures, F.explode(slots).alias("__s")).select(
         *measures, "__s.dimension", "__s.bucket"
     )
@@ -266,7 +210,7 @@ def claims_gate(
     return _grouped(executed(ledger), list(keys or []), body)
 
 
-def strategy_summary(ledger: DataFrame, row_id: str = "event_id") -> DataFrame:
+def strategy_summary(ledger: DataFrame) -> DataFrame:
     """AG15: means after costs, median, hit rate, t statistic, interval and verdict."""
     by = ["strategy"]
     ex = executed(ledger)
@@ -289,7 +233,7 @@ def strategy_summary(ledger: DataFrame, row_id: str = "event_id") -> DataFrame:
         "strategy", percent("m", 3).alias("median_net_pct")
     )
     out = join_groups(base, median, by)
-    interval = durable(bootstrap_ci(ledger, by, row_id=row_id), "interval")
+    interval = durable(bootstrap_ci(ledger, by), "interval")
     ci = interval.select(
         "strategy",
         percent("ci_low", 3).alias("ci95_net_low_pct"),
