@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +42,7 @@ NO_ID = np.iinfo(np.int64).max
 _ROW_FACTOR = (1, 0xD6E8FEB86659FD93)
 
 FRAGMENT_SCHEMA = "block long, once binary, twice binary"
-CANDIDATE_SCHEMA = "doc long, text_key int, start int, stop int, h1 long, h2 int"
+CANDIDATE_SCHEMA = "doc long, text_key long, start int, stop int, h1 long, h2 int"
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -174,7 +174,7 @@ class _Task:
         at, h1, h2 = at[hit], h1[hit], h2[hit]
         row = np.searchsorted(words.row, at, "right") - 1
         doc = np.array(batch.column(0).cast(pa.int64()).fill_null(NO_ID))
-        key = np.array(batch.column(1).cast(pa.int32()))
+        key = np.array(batch.column(1))
         self.parts.append((doc[row], key[row], (at - words.row[row]).astype(np.int32), h1, (h2 >> np.uint64(32)).astype(np.uint32)))
         self.n += len(at)
 
@@ -204,18 +204,24 @@ class _Task:
     @staticmethod
     def _out(doc, key, start, stop, h1, h2) -> pa.RecordBatch:
         return tx.batch(
-            [pa.array(doc, pa.int64()), pa.array(key, pa.int32()), pa.array(start, pa.int32()), stop, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32))],
+            [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), stop, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32))],
             ["doc", "text_key", "start", "stop", "h1", "h2"],
         )
 
 
-def text_key(documents: DataFrame) -> Column:
-    """What tells rows with the same doc_id apart: nothing where there are none, else a hash of the text."""
-    repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return F.hash("text") if repeated else F.lit(0)
+def with_keys(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): the key tells rows with the same doc_id apart.
 
+    It is 0 where no doc_id occurs twice. Else the rows are numbered and written, so every later
+    reading gives a row the number it has.
+    """
+    rows = documents.select("doc_id", "text")
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows.withColumn("text_key", F.lit(0).cast("long"))
+    return tx.durable(rows.withColumn("text_key", F.monotonically_increasing_id()), "numbered")
 
-def repeated_ranges(documents: DataFrame, key: Column) -> DataFrame:
+
+def repeated_ranges(documents: DataFrame) -> DataFrame:
     """What to remove: (doc, text_key, starts of windows, word ranges). ``doc`` is never null."""
     spark = documents.sparkSession
     bits = sketch_bits(documents)
@@ -230,7 +236,7 @@ def repeated_ranges(documents: DataFrame, key: Column) -> DataFrame:
         if task.n:
             yield from task.flush()
 
-    keyed = documents.select("doc_id", key.alias("text_key"), "text")
+    keyed = documents.select("doc_id", "text_key", "text")
     found = keyed.mapInArrow(candidates, CANDIDATE_SCHEMA)
     # A decided range (it has a stop) stands alone under a random fingerprint and passes through.
     least = F.min("doc").over(Window.partitionBy("h1", "h2"))
@@ -271,11 +277,9 @@ def _cut(with_text: bool):
 
 def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     """Per document: words, removed words, hash of the kept words and, if asked for, their text."""
-    key = text_key(documents)
-    ranges = repeated_ranges(documents, key).withColumnRenamed("text_key", "range_key")
-    keyed = documents.select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_key"), key.alias("text_key"),
-    )
+    keyed = with_keys(documents)
+    ranges = repeated_ranges(keyed).withColumnRenamed("text_key", "range_key")
+    keyed = keyed.withColumn("doc_key", F.coalesce("doc_id", F.lit(int(NO_ID))))
     joined = keyed.join(ranges, (F.col("doc_key") == F.col("doc")) & (F.col("text_key") == F.col("range_key")), "left")
     return tx.arrow_map(joined.select("doc_id", "text", "windows", "ranges"), _cut(with_text), RESULT_SCHEMA)
 
