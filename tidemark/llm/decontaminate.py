@@ -5,7 +5,8 @@ an item are candidates when they share a seed of ``SEED`` tokens. Tiling then ma
 match between unmarked tokens of both, again and again down to ``SEED`` tokens; windows of the
 current length are looked up by their running hash. Because tiles may stand in any order, a
 passage whose sentences were moved around is covered as well as a verbatim one. A document is
-contaminated when the tiles cover at least ``COVERAGE`` of an item.
+contaminated when the tiles cover at least ``COVERAGE`` of an item. Several texts under one id are
+items of their own, and the best of them counts.
 
 A benchmark of up to ``BROADCAST_BYTES`` of text goes to every task. A larger one is joined by
 seed hashes instead, so neither side has to fit anywhere; results are the same.
@@ -30,7 +31,6 @@ from tidemark.llm import text as tx
 
 SEED = 5
 COVERAGE = 0.5
-FIRST_LENGTH = 20
 BROADCAST_BYTES = 64 << 20
 RESULT = "doc_id long, contaminated boolean, item_id long, coverage double, item_ids array<long>"
 
@@ -45,48 +45,93 @@ def tokens_of(column: pa.Array) -> tx.Words:
     return tx.hash_words(*tx.buffers(lowered), 1, SEPARATORS)
 
 
-def _open_windows(free: np.ndarray, width: int) -> np.ndarray:
-    """Whether the ``width`` tokens from each place on are all unmarked."""
-    sums = np.concatenate([[0], np.cumsum(free)])
-    return sums[width:] - sums[:-width] == width
+class _Tokens:
+    """Tokens of one side: which are unmarked, and running hashes of their windows."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.tokens, self.free = tokens, np.ones(len(tokens), bool)
+        power, inverse = _powers(len(tokens))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power, dtype=np.uint64)])
+        self.inverse = inverse
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where ``width`` unmarked tokens follow each other, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[width:] == marked[: len(marked) - width])
+        return at, (self.sums[at + width] - self.sums[at]) * self.inverse[at]
+
+    def longest_run(self) -> int:
+        edges = np.flatnonzero(np.concatenate([[True], ~self.free, [True]]))
+        return int(np.diff(edges).max()) - 1
+
+    def mark(self, at: int, width: int) -> None:
+        self.free[at : at + width] = False
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        for x in (base, pow(base, -1, 1 << 64)):
+            series = np.full(max(2 * n, 4096), x, np.uint64)
+            series[0] = 1
+            _POWERS.append(np.multiply.accumulate(series))
+        del _POWERS[:-2]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _longest(doc: _Tokens, item: _Tokens, shortest: int, longest: int) -> int:
+    """Length of the longest match of unmarked tokens, or less than ``shortest``; found by bisection."""
+    low, high = shortest - 1, longest
+    while low < high:
+        width = (low + high + 1) // 2
+        if np.isin(doc.windows(width)[1], item.windows(width)[1]).any():
+            low = width
+        else:
+            high = width - 1
+    return low
 
 
 def tile(doc: np.ndarray, item: np.ndarray, shortest: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (place in the document, place in the item, length), longest first within a pass."""
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    """Tiles (place in the document, place in the item, length): always a longest match of unmarked
+    tokens, of several the first in the document and then in the item.
+
+    Places are never paired: matches of the greatest length are met in one walk over the
+    document, and the places of a window in the item are used up from left to right.
+    """
+    left, right = _Tokens(doc), _Tokens(item)
     tiles: list[tuple[int, int, int]] = []
-    width = max(shortest, min(FIRST_LENGTH, len(item), len(doc)))
-    while len(doc) >= width and len(item) >= width:
-        in_item = tx.window_hashes(item, width)
-        in_doc = tx.window_hashes(doc, width)
-        places: dict[int, list[int]] = {}
-        for j in np.flatnonzero(_open_windows(free_item, width)).tolist():
-            places.setdefault(int(in_item[j]), []).append(j)
-        able = _open_windows(free_doc, width)
-        able &= np.isin(in_doc, np.fromiter(places, np.uint64, len(places)))
-        matches, longest = [], 0
-        for i in np.flatnonzero(able).tolist():
-            for j in places[int(in_doc[i])]:
-                n = 0
-                end = min(len(doc) - i, len(item) - j)
-                while n < end and doc[i + n] == item[j + n] and free_doc[i + n] and free_item[j + n]:
-                    n += 1
-                if n >= width:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * width:
-            width = longest  # a much longer match than looked for: start over with it
-            continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_doc[i : i + n].all() and free_item[j : j + n].all():
-                free_doc[i : i + n] = free_item[j : j + n] = False
-                tiles.append((i, j, n))
-        if any(free_doc[i : i + width].all() and free_item[j : j + width].all() for _, i, j in matches):
-            continue  # parts of matches cut by a longer tile are still open
-        if width == shortest:
-            break
-        width = max(shortest, width // 2 if width > 2 * shortest else shortest)
-    return tiles
+    width = min(len(doc), len(item))
+    while True:
+        width = _longest(left, right, shortest, min(width, left.longest_run(), right.longest_run()))
+        if width < shortest:
+            return tiles
+        at_item, in_item = right.windows(width)
+        at_doc, in_doc = left.windows(width)
+        order = np.argsort(in_item, kind="stable")
+        at_item, in_item = at_item[order], in_item[order]
+        hit = np.isin(in_doc, in_item)
+        at_doc, in_doc = at_doc[hit], in_doc[hit]
+        first = np.searchsorted(in_item, in_doc, "left").tolist()
+        last = np.searchsorted(in_item, in_doc, "right").tolist()
+        places, used, end, marked = at_item.tolist(), {}, 0, False
+        for i, a, b in zip(at_doc.tolist(), first, last):
+            if i < end:
+                continue  # inside the tile just made
+            k = used.get(a, a)
+            while k < b and not (right.free[places[k]] and right.free[places[k] + width - 1]):
+                k += 1
+            used[a] = k
+            if k < b and (doc[i : i + width] == item[places[k] : places[k] + width]).all():
+                left.mark(i, width)
+                right.mark(places[k], width)
+                tiles.append((i, places[k], width))
+                end, marked = i + width, True
+        if not marked:
+            width -= 1  # equal hashes of different windows
 
 
 @dataclass
@@ -116,7 +161,7 @@ class Benchmark:
 
 def covered(doc: np.ndarray, item: np.ndarray) -> float:
     """Part of an item's tokens that tiles cover."""
-    return sum(n for _, _, n in tile(doc, item)) / len(item)
+    return sum(n for _, _, n in tile(doc, item)) / len(item) if len(item) else 0.0
 
 
 def _verdict(best: list[tuple[float, int]]) -> tuple:
@@ -172,9 +217,11 @@ def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The same for a benchmark of any size: seeds, candidates and texts meet in joins."""
     keyed = tx.durable(documents.withColumn("key", F.monotonically_increasing_id()), "documents")
     left = tx.arrow_map(keyed.select("key", "text"), _seeds, "key long, seed long")
-    right = tx.arrow_map(items.select("item_id", "item_text"), _seeds, "key long, seed long").withColumnRenamed("key", "item_id")
-    pairs = left.join(right, "seed").select("key", "item_id").distinct()
-    texts = pairs.join(keyed.select("key", "text"), "key").join(items, "item_id").select("key", "item_id", "text", "item_text")
+    # an id may have several texts, each an item of its own
+    items = tx.durable(items.withColumn("item_key", F.monotonically_increasing_id()), "items")
+    right = tx.arrow_map(items.select("item_key", "item_text"), _seeds, "key long, seed long").withColumnRenamed("key", "item_key")
+    pairs = left.join(right, "seed").select("key", "item_key").distinct()
+    texts = pairs.join(keyed.select("key", "text"), "key").join(items, "item_key").select("key", "item_id", "text", "item_text")
     best = tx.arrow_map(texts, _cover_pairs, "key long, item_id long, coverage double").groupBy("key").agg(
         F.max(F.struct("coverage", (-F.col("item_id")).alias("neg"))).alias("top"),
         F.sort_array(F.collect_set(F.when(F.col("coverage") >= COVERAGE, F.col("item_id")))).alias("item_ids"),
