@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -29,6 +33,16 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("blocked", ["tidemark.llm", "corpus_pipeline", "zstandard"])
+def test_without_the_text_part_the_rest_still_imports(blocked):
+    code = (
+        f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e;"
+        "assert not [q for q in e.queries() if q == 'pipeline' or q.startswith('op1')], 'text queries';"
+        "assert 'event_study' in e.queries() and 'event_study' in e.oracle_sql()"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
