@@ -120,17 +120,13 @@ def test_a_lower_rank_that_a_merge_makes_goes_first():
     # "b"+"c" (rank 256) makes "a"+"bc" (257) and that "abc"+"d" (258); "x"+"y" (300) waits
     import tiktoken
 
-    vocabulary = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
-    for trial in range(50):
+    for _trial in range(50):
         letters = "abcd"
         made = {bytes([b]): b for b in range(256)}
         while len(made) < 290:
             made.setdefault("".join(RNG.choice(letters) for _ in range(RNG.randint(2, 4))).encode(), len(made))
         own = byte_bpe.Vocabulary.__new__(byte_bpe.Vocabulary)
-        own.__dict__ |= vocabulary.__dict__
-        own.ranks, own.queue = made, byte_bpe.RankQueue(1000)
-        own.byte = np.arange(256, dtype=np.int32)
-        own.pair = np.array([made.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        own.use(made)
         library = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made, special_tokens={})
         words = ["".join(RNG.choice(letters) for _ in range(RNG.randint(1, 30))) for _ in range(40)]
         assert [ids_of(x) for x in own.encode_matches(words)] == [library.encode_ordinary(w) for w in words]

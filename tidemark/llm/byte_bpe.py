@@ -9,7 +9,7 @@ pairs on both sides and leaves their old entries behind; an entry whose pair has
 now is stale and skipped. So a match of n bytes takes about n log n steps, also one of millions.
 
 All new matches of a batch share one list and one queue, as no pair reaches across two matches.
-Matches, and words between single blanks, that come again are looked up.
+Matches that come again are looked up.
 
 Defined cases: a null or empty text has no ids and no bytes. Repeated rows and null ids are
 documents of their own. An empty table gives no rows. Special tokens are plain text. Only
@@ -19,23 +19,22 @@ documents of their own. An empty table gives no rows. Special tokens are plain t
 from __future__ import annotations
 
 import base64
-import re
 import unicodedata
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm import encoders
 from tidemark.llm import text as tx
 
 CACHE_LIMIT = 500_000  # strings in a generation of a worker's cache; two are kept
 CACHED_LENGTH = 64  # longer strings are encoded each time
 WORD, SHIFT = 64, 6  # bits of a bitmap word
-# A blank between two other characters begins a match, whatever the characters are.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-FIRST = "\n"  # marks the word a text starts with; no other word starts with white space
+# Fixed value: the pattern of byte-level vocabularies, for which ``encoders`` has a faster form over
+# texts of common characters.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENCODED_SCHEMA, DECODED_SCHEMA = "doc_id long, ids array<int>", "doc_id long, ids array<int>, decoded binary"
 
 
@@ -47,7 +46,7 @@ class RankQueue:
         self.low = [0] * words  # a bit for each rank
         self.mid = [0] * -(-words // WORD)  # a bit for each word of ``low``
         self.top = 0  # a bit for each word of ``mid``
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[list[int] | None] = [None] * (words * WORD)
 
     def fill(self, rank: int, places: list[int]) -> None:
         """Add a bucket for a rank that has none."""
@@ -58,7 +57,7 @@ class RankQueue:
         self.top |= 1 << above
 
     def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket is None:
             self.fill(rank, [place])
         else:
@@ -76,7 +75,7 @@ class RankQueue:
             self.mid[above] = bits = self.mid[above] & self.mid[above] - 1
             if not bits:
                 self.top &= self.top - 1
-        places = self.buckets.pop(rank)
+        places, self.buckets[rank] = self.buckets[rank], None
         places.sort()
         return rank, places
 
@@ -87,24 +86,27 @@ class Recent(dict):
     def __init__(self) -> None:
         self.older: dict = {}
 
-    def missing(self, keys: set) -> list:
-        """Those of the keys that neither generation has; the others are ready afterwards."""
+    def age(self) -> None:
         if len(self) > CACHE_LIMIT:
             self.older = dict(self)
             self.clear()
+
+    def learn(self, new: set[str], compute) -> list[str]:
+        """Make the strings ready; returns those that neither generation had."""
         out = []
-        for key in keys - self.keys():
-            value = self.older.get(key)
+        for s in new:
+            value = self.older.get(s)
             if value is None:
-                out.append(key)
+                out.append(s)
             else:
-                self[key] = value
+                self[s] = value
+        self.update(zip(out, compute(out)))
         return out
 
-    def forget_long(self, keys: list) -> None:
-        for key in keys:
-            if len(key) > CACHED_LENGTH:
-                del self[key]
+    def forget_long(self, strings: list[str]) -> None:
+        for s in strings:
+            if len(s) > CACHED_LENGTH:
+                del self[s]
 
 
 class Vocabulary:
@@ -112,81 +114,100 @@ class Vocabulary:
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.token = {rank: token for token, rank in self.ranks.items()}
+            self.use({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
         self.pattern, self._split = pattern, regex.compile(pattern)
+        self._common = encoders._SPLIT["byte"] if pattern == BYTE_LEVEL else None
+        self.matches, self.stand_ins = Recent(), {}
+
+    def use(self, ranks: dict[bytes, int]) -> None:
+        """Tables of the ranks: what each pair of tokens merges to."""
+        self.ranks, self.token = ranks, {rank: token for token, rank in ranks.items()}
         self.queue = RankQueue(max(self.token) + 1)
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
-        self.pair = np.array(pairs, np.int32)
-        self.words, self.matches, self.stand_ins = Recent(), Recent(), {}
-
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each match, starting from its bytes."""
-        joined = b"".join(pieces)
-        n = len(joined)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # for each token, what it makes with the token behind it
+        self.pairs: list[dict[int, int]] = [{} for _ in range(max(self.token) + 1)]
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left][right] = rank
+        byte = self.byte.tolist()
+        self.byte_pair = np.array([self.pairs[a].get(b, -1) for a in byte for b in byte], np.int64)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """32-bit ids of each match, starting from its bytes."""
+        n = sum(map(len, pieces))
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
-        raw = np.frombuffer(joined, np.uint8)
-        first = self.pair[raw[:-1].astype(np.int64) << 8 | raw[1:]] if n > 1 else np.zeros(0, np.int32)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        first = np.full(n, -1)
+        first[:-1] = self.byte_pair[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        first[ends - 1] = -1
         back = np.arange(-1, n)
         back[0] = back[ends] = -1
-        first[ends[:-1] - 1] = -1
         due = first.tolist()  # rank of the pair that starts at a place
-        due.append(-1)
         before = back.tolist()  # the token before, -1 at the start of a match
-        follow = list(range(1, n + 1))  # where the token at a place ends and the next one starts
+        follow = list(range(1, n + 1))  # where the next token starts
         token = self.byte[raw].tolist()
-        rank_of, queue = self.ranks.get, self.queue
+        alive = bytearray(b"\1") * n
+        queue, pairs = self.queue, self.pairs
+        buckets, fill, pop = queue.buckets, queue.fill, queue.pop
         some = np.flatnonzero(first >= 0)
         some = some[np.argsort(first[some], kind="stable")]
         present, at = np.unique(first[some], return_index=True)
         for rank, places in zip(present.tolist(), np.split(some, at[1:])):
-            queue.fill(rank, places.tolist())
+            fill(rank, places.tolist())
         while queue.top:
-            rank, places = queue.pop()
+            rank, places = pop()
+            behind = pairs[rank].get
             for at, i in enumerate(places):
                 if due[i] != rank:
-                    continue
-                lowest = rank
+                    continue  # stale
+                lower = False
                 j = follow[i]
                 k = follow[i] = follow[j]
                 token[i] = rank
+                alive[j] = 0
                 due[j] = due[i] = -1
                 if before[k] >= 0:
                     before[k] = i
-                    found = rank_of(joined[i : follow[k]])
+                    found = behind(token[k])
                     if found is not None:
                         due[i] = found
-                        queue.push(found, i)
-                        lowest = found if found < lowest else lowest
+                        bucket = buckets[found]
+                        if bucket is None:
+                            fill(found, [i])
+                        else:
+                            bucket.append(i)
+                        lower = found < rank
                 h = before[i]
                 if h >= 0:
-                    found = rank_of(joined[h:k])
+                    found = pairs[token[h]].get(rank)
                     if found is None:
                         due[h] = -1
                     else:
                         due[h] = found
-                        queue.push(found, h)
-                        lowest = found if found < lowest else lowest
-                if lowest < rank:  # that pair comes before the rest of this bucket
+                        bucket = buckets[found]
+                        if bucket is None:
+                            fill(found, [h])
+                        else:
+                            bucket.append(h)
+                        lower = lower or found < rank
+                if lower:  # that pair comes before the rest of this bucket
                     for place in places[at + 1 :]:
                         queue.push(rank, place)
                     break
-        out, i = [], 0
-        for end in ends.tolist():
-            ids = []
-            while i < end:
-                ids.append(token[i])
-                i = follow[i]
-            out.append(ids)
-        return out
+        kept = np.frombuffer(alive, np.uint8)
+        ids = np.array(token, np.int32)[kept == 1].tobytes()
+        until = (4 * np.cumsum(kept, dtype=np.int64)[ends - 1]).tolist()
+        return [ids[a:b] for a, b in zip([0, *until], until)]
 
     def encode_matches(self, matches: list[str]) -> list[bytes]:
         """32-bit ids of each match of the pattern."""
         raw = [m.encode() for m in matches]
-        whole = [self.ranks.get(p) for p in raw]
-        merged = iter(self.merge([p for p, rank in zip(raw, whole) if rank is None]) if None in whole else ())
-        return [array("i", next(merged) if rank is None else [rank]).tobytes() for rank in whole]
+        whole = list(map(self.ranks.get, raw))
+        left = [p for p, rank in zip(raw, whole) if rank is None]
+        merged = iter(self.merge(left) if left else ())
+        return [next(merged) if rank is None else rank.to_bytes(4, "little") for rank in whole]
 
     def split(self, text: str) -> list[str]:
         """Matches of the pattern as the library finds them.
@@ -194,6 +215,8 @@ class Vocabulary:
         The library's character tables are of another Unicode version than those here. A character
         without a category here is asked for there, and one of the same class stands in for it.
         """
+        if self._common and not encoders._UNCOMMON.search(text):
+            return self._common(text)
         doubtful = set() if text.isascii() else {c for c in text if unicodedata.category(c) == "Cn"}
         if not doubtful:
             return self._split.findall(text)
@@ -213,15 +236,17 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """32-bit ids of each whole text; null is empty."""
-        words = [_CUT.split(FIRST + t) if t and not t[0].isspace() else [FIRST + t] if t else [] for t in texts]
-        new = self.words.missing(set().union(*words))
-        split = [self.split(w[1:] if w[0] == FIRST else " " + w) for w in new]
-        fresh = self.matches.missing(set().union(*split))
-        self.matches.update(zip(fresh, self.encode_matches(fresh)))
-        self.words.update(zip(new, [b"".join(map(self.matches.__getitem__, ms)) for ms in split]))
-        out = [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+        self.matches.age()
+        get = self.matches.get
+        split = [self.split(t) if t else [] for t in texts]
+        found = [list(map(get, matches)) for matches in split]
+        new = {m for matches, ids in zip(split, found) if None in ids for m, x in zip(matches, ids) if x is None}
+        fresh = self.matches.learn(new, self.encode_matches)
+        out = [
+            b"".join([get(m) if x is None else x for m, x in zip(matches, ids)] if None in ids else ids)
+            for matches, ids in zip(split, found)
+        ]
         self.matches.forget_long(fresh)
-        self.words.forget_long(new)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
