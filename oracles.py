@@ -534,10 +534,17 @@ for _name, _op in (
   select source_url, asx_ticker as symbol, announcement_date, b.date as bar_date, round(b.close, 6) as bar_close
   from ann asof left join bars b on ann.asx_ticker = b.symbol and ann.announcement_date {_op} b.date
 """
+# Without as-of joins: bars and days in one ordered list, and a running maximum of the bar numbers.
+_STEPS["shift_days"] = """
+  select symbol, day, kind, max(no) over (partition by symbol order by day, kind rows between unbounded preceding and current row) as seen
+  from (
+    select symbol, date as day, bar_no as no, 1 as kind from positions
+    union all select distinct asx_ticker, announcement_date, null::bigint, 0 from ann)
+"""
 _Q["shift_bars"] = """
-  select source_url, asx_ticker as symbol, y.date as shifted_date, round(y.close, 6) as shifted_close
-  from (select ann.*, b.bar_no from ann asof left join positions b on ann.asx_ticker = b.symbol and ann.announcement_date <= b.date) f
-  left join positions y on f.asx_ticker = y.symbol and f.bar_no + 5 = y.bar_no
+  select source_url, asx_ticker as symbol, n.date as shifted_date, round(n.close, 6) as shifted_close
+  from ann left join (select symbol as s, day, coalesce(seen, 0) + 6 as no from shift_days where kind = 0) w on s = asx_ticker and day = announcement_date
+  left join positions n on n.symbol = s and n.bar_no = no
 """
 _Q["return_between"] = """
   select source_url, asx_ticker as symbol, round(b.close / nullif(a.close, 0) - 1, 6) as ret
@@ -816,11 +823,20 @@ _STEPS["incl"] = """
          f + ((4 - (isodow(f) - 1) + 7) % 7)::int as announcement_date
   from (select *, date_trunc('month', effective_date)::date as f from changes where action = 'ADD')
 """
+_STEPS["incl_days"] = """
+  select symbol, day, kind, max(no) over (partition by symbol order by day, kind desc rows between unbounded preceding and current row) as seen
+  from (
+    select symbol, date as day, bar_no as no, 1 as kind from positions
+    union all select asx_ticker, announcement_date, null::bigint, 0 from incl
+    union select asx_ticker, effective_date, null::bigint, 0 from incl)
+"""
+_STEPS["incl_seen"] = "select symbol, day, seen from incl_days where kind = 0"
 _STEPS["incl_x"] = """
-  select e.*, a.bar_no as a_no, a.n_bars as a_n, a.next_date, a.next_open, a.entry_adv, f.bar_no as e_no,
+  select e.*, a.bar_no as a_no, a.n_bars as a_n, a.next_date, a.next_open, a.entry_adv, f.seen as e_no,
          null::varchar as theme, null::double as market_cap, null::double as imm, null::double as flow_pressure
-  from incl e asof left join bars_y a on e.asx_ticker = a.symbol and e.announcement_date >= a.date
-  asof left join bars_y f on e.asx_ticker = f.symbol and e.effective_date >= f.date
+  from incl e left join incl_seen s on e.asx_ticker = s.symbol and e.announcement_date = s.day
+  left join bars_y a on a.symbol = s.symbol and a.bar_no = s.seen
+  left join incl_seen f on e.asx_ticker = f.symbol and e.effective_date = f.day
 """
 _STEPS["incl_trades"] = """
   select 'IndexInclusionDrift' as strategy, event_id, asx_ticker, 1 as direction, 'effective' as exit_spec, 30 as max_hold_days from incl

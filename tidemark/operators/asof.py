@@ -1,9 +1,11 @@
 """As-of joins on a key and an ordered column (JN1-JN6, JN8).
 
-The lookup points are reduced to their distinct (key, time) pairs before anything is
-ordered, so a key that owns a third of the left rows costs the window no more than its
-distinct dates. The left rows come back by an equi-join on (key, time), which spreads a
-hot key over its dates and leaves the rest to AQE's skew split.
+The right side is packed: one row per key and year holds its rows as arrays in time order, so
+nothing orders all of its rows. The lookup points are reduced to their distinct (key, time)
+pairs and join the one pack of their year; built-in array functions find the neighbour by
+bisection. Where it lies in another year, the pack carries it: only packs are windowed, a few
+rows a key. The left rows come back by an equi-join on (key, time), which spreads a hot key
+over its dates and leaves the rest to AQE's skew split.
 """
 
 from __future__ import annotations
@@ -11,57 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from ..functions.scalars import simple_return
 
-_TS, _ROW, _POINT, _SLOT, _KNOWN = "__ts", "__row", "__point", "__slot", "__known"
+_TS, _ROW, _SLOT, _TIMES, _ROWS, _BASE = "__ts", "__row", "__slot", "__times", "__rows", "__base"
+YEAR_BITS, SLOT_BITS = 9, 24  # steps of the bisection: a year of days, or any slot
 
 
-def _lookup(
-    points: DataFrame, facts: DataFrame, by: list[str], forward: bool, strict: bool, known: bool
-) -> DataFrame:
-    """Resolve each (by, ts) point to the payload struct of the neighbouring fact.
+def pack(right: DataFrame, by: str | list[str], ts: str, columns: list[str] | None = None, slot: Column | None = None) -> DataFrame:
+    """Rows of ``right`` as arrays in time order, one pack per key and slot (a year of ``ts``).
 
-    With ``known`` the points of keys that have any fact are kept, resolved or not.
+    ``(by, ts)`` must be unique, so a pack of days has at most 366. A table of packs may take the
+    place of ``right`` in every function of this module; written once, it serves many lookups.
     """
-    tagged = facts.withColumn(_POINT, F.lit(False)).unionByName(
-        points.withColumn(_ROW, F.lit(None).cast(facts.schema[_ROW].dataType)).withColumn(
-            _POINT, F.lit(True)
-        )
-    )
-    # At equal times an inclusive lookup reads the fact first, a strict one the point.
-    tie = F.col(_POINT).desc() if strict else F.col(_POINT).asc()
-    time = F.col(_TS).desc() if forward else F.col(_TS).asc()
-    seen = W.partitionBy(*by).orderBy(time, tie).rowsBetween(W.unboundedPreceding, 0)
-    hits = tagged.withColumn(_ROW, F.last(_ROW, ignorenulls=True).over(seen))
-    if known:
-        hits = hits.withColumn(_KNOWN, F.max(~F.col(_POINT)).over(W.partitionBy(*by)))
-        return hits.where(F.col(_POINT) & F.col(_KNOWN)).drop(_POINT)
-    return hits.where(F.col(_POINT) & F.col(_ROW).isNotNull()).drop(_POINT)
+    keys = [by] if isinstance(by, str) else list(by)
+    held = [c for c in dict.fromkeys(columns or right.columns) if c not in keys]
+    entry = F.struct(F.col(ts).alias(_TS), F.struct(*held).alias(_ROW))
+    known = right.where(F.col(ts).isNotNull()).withColumn(_TS, F.col(ts))
+    slots = (F.year(_TS) if slot is None else slot).alias(_SLOT)
+    packs = known.groupBy(*keys, slots).agg(F.sort_array(F.collect_list(entry)).alias("__pack"))
+    return packs.select(*keys, _SLOT, F.col(f"__pack.{_TS}").alias(_TIMES), F.col(f"__pack.{_ROW}").alias(_ROWS))
 
 
-def _with_carry(
-    points: DataFrame, facts: DataFrame, by: list[str], slot: Column, forward: bool
-) -> DataFrame:
-    """Facts plus one carried row per (by, slot): the neighbour from outside the slot.
+def with_base(packs: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the number of rows in earlier packs of the key."""
+    earlier = W.partitionBy(*keys).orderBy(_SLOT).rowsBetween(W.unboundedPreceding, -1)
+    return packs.withColumn(_BASE, F.coalesce(F.sum(F.size(_TIMES)).over(earlier), F.lit(0)))
 
-    Only one summary row per slot is ordered per key, so the rows of a hot key are
-    windowed slot by slot in different tasks.
-    """
-    pick = F.min_by if forward else F.max_by
-    per_slot = facts.groupBy(*by, slot.alias(_SLOT)).agg(pick(_ROW, _TS).alias(_ROW))
-    slots = per_slot.unionByName(
-        points.select(*by, slot.alias(_SLOT))
-        .distinct()
-        .withColumn(_ROW, F.lit(None).cast(facts.schema[_ROW].dataType))
-    )
-    merged = slots.groupBy(*by, _SLOT).agg(F.first(_ROW, ignorenulls=True).alias(_ROW))
-    order = F.col(_SLOT).desc() if forward else F.col(_SLOT).asc()
-    before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    carried = merged.withColumn(_ROW, F.last(_ROW, ignorenulls=True).over(before)).where(
-        F.col(_ROW).isNotNull()
-    )
-    return facts.withColumn(_SLOT, slot).unionByName(carried.withColumn(_TS, F.col(f"{_ROW}.{_TS}")))
+
+def _count_until(strict: bool, bits: int) -> Column:
+    """Entries of the pack before ``__ts``, or up to it: bisection in steps of powers of two."""
+    size, steps = F.coalesce(F.size(_TIMES), F.lit(0)), F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+
+    def step(k: Column, width: Column) -> Column:
+        time = F.get(_TIMES, k + width - 1)
+        before = time < F.col(_TS) if strict else time <= F.col(_TS)
+        return F.when((k + width <= size) & before, k + width).otherwise(k)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def resolve_points(
@@ -84,29 +74,33 @@ def resolve_points(
     """
     keys = [by] if isinstance(by, str) else list(by)
     names = payload if isinstance(payload, dict) else {c: c for c in payload}
-    facts = right.where(F.col(right_ts).isNotNull()).select(
-        *keys,
-        F.col(right_ts).alias(_TS),
-        F.struct(
-            F.col(right_ts).alias(_TS), *[F.col(c).alias(n) for c, n in names.items()]
-        ).alias(_ROW),
-    )
-    wanted = (
-        points.where(F.col(point_ts).isNotNull()).select(*keys, F.col(point_ts).alias(_TS)).distinct()
-    )
-    if slot is None:
-        hits = _lookup(wanted, facts, keys, forward, strict, known)
+    packs = right
+    if _TIMES not in right.columns:
+        packs = pack(right, keys, right_ts, list(dict.fromkeys([right_ts, *names])), slot)
+    days = isinstance(packs.schema[_TIMES].dataType.elementType, DateType) and slot is None
+    wanted = points.where(F.col(point_ts).isNotNull()).select(*keys, F.col(point_ts).alias(_TS)).distinct()
+    wanted = wanted.withColumn(_SLOT, F.year(_TS) if slot is None else slot)
+    # a pack for every slot that is asked for, with the neighbour from outside of it
+    filled = packs.select(*keys, _SLOT, _TIMES, _ROWS).join(wanted.select(*keys, _SLOT).distinct(), [*keys, _SLOT], "full")
+    order = W.partitionBy(*keys).orderBy(_SLOT)
+    if forward:
+        edge = F.first(F.get(_ROWS, F.lit(0)), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
     else:
-        if known:
-            raise ValueError("known needs the whole key in one window; leave slot out")
-        carried = _with_carry(wanted, facts, keys, slot, forward)
-        hits = _lookup(
-            wanted.withColumn(_SLOT, slot), carried, [*keys, _SLOT], forward, strict, False
-        )
+        edge = F.last(F.element_at(_ROWS, -1), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    filled = filled.withColumn("__edge", edge)
+    if known:
+        filled = filled.withColumn("__known", F.max(F.col(_ROWS).isNotNull()).over(W.partitionBy(*keys)))
+    hits = wanted.join(filled, [*keys, _SLOT])
+    # forward and strict look behind the equal times, as backward and not strict does
+    place = _count_until(forward != strict, YEAR_BITS if days else SLOT_BITS)
+    hits = hits.withColumn("__place", place)
+    inside = F.get(_ROWS, F.col("__place") if forward else F.col("__place") - 1)
+    hits = hits.withColumn(_ROW, F.coalesce(inside, F.col("__edge")))
+    hits = hits.where(F.col("__known") if known else F.col(_ROW).isNotNull())
     return hits.select(
         *keys,
         F.col(_TS).alias(point_ts),
-        *[F.col(f"{_ROW}.{n}").alias(n) for n in names.values()],
+        *[F.col(f"{_ROW}.{c}").alias(n) for c, n in names.items()],
     )
 
 
@@ -126,8 +120,8 @@ def asof_join(
     """``left`` plus the payload of the last right row at or before ``left_ts``.
 
     ``forward`` takes the first row at or after; ``strict`` excludes equal times.
-    ``payload`` maps right columns to output names. ``(by, right_ts)`` must be unique in
-    ``right``. ``slot`` (an expression over ``__ts``, e.g. its month) splits the window of
+    ``payload`` maps right columns to output names. ``right`` has unique ``(by, right_ts)`` or is
+    a table of packs. ``slot`` (an expression over ``__ts``, e.g. its month) makes smaller packs of
     a key whose right rows are not bounded by a calendar. ``points`` supplies the lookup
     points ``(by, left_ts)`` when a cheaper plan than ``left`` has them.
     """
@@ -151,11 +145,22 @@ def asof_join(
 def shift_bars(
     left: DataFrame, bars: DataFrame, by: str, ts: str, offset: Column, payload: dict[str, str]
 ) -> DataFrame:
-    """JN4: the bar ``offset`` trading days from the bar on or after ``ts``."""
-    found = asof_join(left, bars, by, ts, "date", {"bar_no": "__no"}, forward=True)
-    return at_position(
-        found.withColumn("__no", F.col("__no") + offset), bars, by, "__no", payload
-    ).drop("__no")
+    """JN4: the bar ``offset`` trading days from the bar on or after ``ts``.
+
+    ``bars`` has (symbol, date) rows, or their packs. A bar's number is the number of bars in
+    earlier packs and its place in its own.
+    """
+    packs = bars if _TIMES in bars.columns else pack(bars, "symbol", "date", ["date", *payload])
+    numbered = with_base(packs, ["symbol"]).select("symbol", _BASE, F.posexplode(_ROWS).alias("__at", _ROW))
+    number = (F.col(_BASE) + F.col("__at") + 1).alias("bar_no")
+    numbered = numbered.select("symbol", number, F.col(f"{_ROW}.date").alias("date"), *[F.col(f"{_ROW}.{c}") for c in payload if c != "date"])
+    points = left.select(F.col(by).alias("symbol"), F.col(ts).alias("__from"))
+    found = resolve_points(points, packs, "symbol", "__from", "date", {"date": "__day"}, forward=True)
+    # the number of the found bar, then the bar that many further on
+    found = found.join(numbered.select(F.col("symbol").alias("__s"), F.col("date").alias("__d"), F.col("bar_no").alias("__no")), (F.col("symbol") == F.col("__s")) & (F.col("__day") == F.col("__d")))
+    found = found.select(F.col("symbol").alias("__s"), "__from", "__no")
+    out = left.join(found, (F.col(by) == F.col("__s")) & (F.col(ts) == F.col("__from")), "left").drop("__s", "__from")
+    return at_position(out.withColumn("__no", F.col("__no") + offset), numbered, by, "__no", payload).drop("__no")
 
 
 def at_position(

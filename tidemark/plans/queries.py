@@ -79,6 +79,9 @@ class Lab(StarSchema):
     def lazy_bars(self) -> DataFrame:
         return super().bars()
 
+    def packed_bars(self) -> DataFrame:
+        return self._once("packed-bars", lambda: asof.pack(self.bars(), "symbol", "date", ["date", "close"]))
+
     def holdings(self) -> DataFrame:
         return self._once("holdings", self.lazy_holdings)
 
@@ -195,7 +198,7 @@ def _orders(s: Lab) -> DataFrame:
 def _asof_query(forward: bool, strict: bool) -> Callable[[Lab], DataFrame]:
     def run(s: Lab) -> DataFrame:
         out = asof.asof_join(
-            _orders(s), s.bars(), "symbol", "announcement_date", "date",
+            _orders(s), s.packed_bars(), "symbol", "announcement_date", "date",
             {"date": "bar_date", "close": "bar_close"}, forward=forward, strict=strict,
         )
         return out.select(
@@ -206,7 +209,7 @@ def _asof_query(forward: bool, strict: bool) -> Callable[[Lab], DataFrame]:
 
 
 def asof_slotted(s: Lab) -> DataFrame:
-    """The backward as-of with a hot key's window split by month."""
+    """The backward as-of with a hot key's packs split by month."""
     out = asof.asof_join(
         _orders(s), s.bars(), "symbol", "announcement_date", "date",
         {"date": "bar_date", "close": "bar_close"}, slot=F.trunc("__ts", "month"),
@@ -217,9 +220,8 @@ def asof_slotted(s: Lab) -> DataFrame:
 
 
 def shift_bars(s: Lab) -> DataFrame:
-    positioned = bar_ops.with_positions(s.bars())
     out = asof.shift_bars(
-        _orders(s), positioned, "symbol", "announcement_date", F.lit(5),
+        _orders(s), s.packed_bars(), "symbol", "announcement_date", F.lit(5),
         {"date": "shifted_date", "close": "shifted_close"},
     )
     return out.select(
@@ -229,7 +231,7 @@ def shift_bars(s: Lab) -> DataFrame:
 
 def return_between(s: Lab) -> DataFrame:
     out = asof.return_between(
-        _orders(s), s.bars(), "symbol", "announcement_date", "effective_date", "ret"
+        _orders(s), s.packed_bars(), "symbol", "announcement_date", "effective_date", "ret"
     )
     return out.select("source_url", "symbol", _r("ret").alias("ret"))
 
@@ -239,7 +241,7 @@ def market_excess_return(s: Lab) -> DataFrame:
     out = asof.benchmark_return(
         rows, s.benchmark_bars(), "market", "announcement_date", "effective_date", "bench"
     )
-    out = asof.asof_pair(out, s.bars(), "symbol", ("announcement_date", "effective_date"), "close", ("p0", "p1"))
+    out = asof.asof_pair(out, s.packed_bars(), "symbol", ("announcement_date", "effective_date"), "close", ("p0", "p1"))
     return out.select(
         "source_url", _r("bench").alias("bench_return"),
         _r(simple_return("p0", "p1") - F.col("bench")).alias("excess_return"),
