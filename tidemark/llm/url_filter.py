@@ -4,7 +4,8 @@ A list is a log of dated entries that add or remove a pattern: a domain ("exampl
 also covers its sub-domains) or a host with the first parts of a path ("example.com/a/b"). The
 entries of a pattern become validity intervals, from an addition to the removal after it. A
 capture is looked up under every pattern it could match, as of the day it was fetched: it meets
-an entry when the interval holds that day. Of the active entries the longest pattern decides,
+an entry when the interval holds that day; each (pattern, day) that occurs is resolved once, by an
+as-of join with the starts of the intervals. Of the active entries the longest pattern decides,
 on equal length an allowing one, then the first list by name.
 
 Captures are numbered once in a written narrow table; only lookups that meet an entry go on to the
@@ -64,6 +65,24 @@ def patterns_of(name: Column, parts: Column, depth: Column) -> Column:
     return F.when(name == "", F.array().cast("array<string>")).otherwise(F.concat(domains, paths))
 
 
+def active_on(days: DataFrame, valid: DataFrame) -> DataFrame:
+    """(listed, day, list_name, allows): the entries that hold a pattern on each of its (pattern, day)s.
+
+    An as-of join: the days asked for, each once for a list that has the pattern at all, follow the
+    starts of that list's intervals in time, and each takes the last start before or on it. It is
+    active if that interval has not ended by then. A window has a pattern's days and starts only,
+    so a list that changed often costs its changes once, not once for each capture.
+    """
+    keys = ["list_name", "allows", "pattern"]
+    points = days.distinct().join(valid.select(*keys).distinct(), "pattern").select(*keys, "day", F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until"))
+    starts = valid.select(*keys, F.col("valid_from").alias("day"), F.col("valid_from").alias("since"), F.col("valid_to").alias("until"))
+    order = Window.partitionBy(*keys).orderBy("day", F.col("since").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("since").isNotNull(), F.struct("since", "until")), ignorenulls=True).over(order)
+    met = starts.unionByName(points).withColumn("last", last).where(F.col("since").isNull() & F.col("last").isNotNull())
+    held = met.where(F.col("last.until").isNull() | (F.col("day") < F.col("last.until")))
+    return held.select(F.col("pattern").alias("listed"), "day", "list_name", "allows")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, fetched_on, blocked, and the deciding list_name and pattern with n_active entries.
 
@@ -76,7 +95,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     lookups = numbered.where("fetched_on is not null").select(
         "row", "fetched_on", F.explode(F.array_distinct(patterns_of(F.col("host"), F.col("parts"), F.lit(deepest)))).alias("pattern")
     )
-    active = lookups.join(valid, "pattern").where("fetched_on >= valid_from and (valid_to is null or fetched_on < valid_to)")
+    active = lookups.join(active_on(lookups.select("pattern", F.col("fetched_on").alias("day")), valid), (lookups["pattern"] == F.col("listed")) & (lookups["fetched_on"] == F.col("day")))
     # longest pattern, then allowing, then the first list: the maximum, with names in falling order
     best = F.min(F.struct((-F.length("pattern")).alias("size"), (~F.col("allows")).alias("blocks"), "list_name", "pattern"))
     decided = active.groupBy("row").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
