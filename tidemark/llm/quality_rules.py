@@ -183,6 +183,25 @@ def verdicts(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
     return apply_policy(ledger(documents), policy)
 
 
+def explained(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A stored ledger with the verdicts of a policy and what leaving a rule out would change.
+
+    ``sole_rule`` is the only rule of the policy a document fails, if it is just one, and
+    ``n_kept_without`` the documents the policy would keep without that rule.
+    """
+    mask = mask_of(policy)
+    failed = F.col("failed_bits").bitwiseAND(F.lit(mask))
+    sole = F.lit(None).cast("string")
+    for bit, rule in enumerate(rules()):
+        if mask >> bit & 1:
+            sole = F.when(failed == 1 << bit, F.lit(rule.name)).otherwise(sole)
+    # a row for each rule of one policy
+    effects = ablations(entries).where(F.col("policy") == policy).select(
+        F.col("rule").alias("sole_rule"), (F.col("n_kept") + F.col("n_only_this")).alias("n_kept_without")
+    )
+    return apply_policy(entries, policy).withColumn("sole_rule", sole).join(F.broadcast(effects), "sole_rule", "left")
+
+
 def kept_documents(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents a policy keeps, with all their columns, in one pass."""
     names = documents.columns

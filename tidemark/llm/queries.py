@@ -49,10 +49,15 @@ WITH d AS (
     + CASE WHEN 100 * n_alpha_words < 60 * n_words THEN 64 ELSE 0 END
     + CASE WHEN n_words > 100000 THEN 128 ELSE 0 END AS bits
   FROM m
+), patterns AS (
+  SELECT bits & 127 AS p, count(*) AS n FROM f GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (bits & 3) <> 0 AS base_failed, (bits & 127) = 0 AS kept, bits::BIGINT AS failed_bits
-FROM f
+  (bits & 3) <> 0 AS base_failed, (bits & 127) = 0 AS kept, bits::BIGINT AS failed_bits,
+  CASE p WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+    WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' WHEN 64 THEN 'few_letters' END AS sole_rule,
+  CASE WHEN p IN (1, 2, 4, 8, 16, 32, 64) THEN n + (SELECT coalesce(sum(n), 0) FROM patterns WHERE p = 0) END::BIGINT AS n_kept_without
+FROM f JOIN patterns ON p = bits & 127
 """
 
 # Every 13-word window of every document against the smallest document that has it.
@@ -329,8 +334,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits",
+    stored = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.explained(stored).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", "sole_rule", "n_kept_without",
     )
 
 
