@@ -125,16 +125,30 @@ def _span_sql(kind: int, pattern: str, group: int, least: int) -> str:
 
 
 def _secret_sql() -> str:
-    """The base patterns, then every window of the remaining candidates counted afresh."""
+    """The base patterns, then every window of each part of the remaining candidates counted afresh."""
     s = secret_scan
     base = " UNION ALL ".join(_span_sql(k, p, g, n) for k, (p, _, g, n) in enumerate(s.BASE.values()))
     candidates = _span_sql(len(s.BASE), s.CANDIDATE, 0, s.WINDOW)
-    # RE2 has no look-ahead: each class in words of its own
+    # RE2 has no look-ahead: what a class needs is asked for one by one
+    letters = "regexp_matches(part, '[a-z].*[A-Z].*[a-z].*[A-Z]')"
+    asked = ("regexp_matches(part, '[a-f]') AND regexp_matches(part, '[0-9]')", "regexp_matches(part, '[A-F]') AND regexp_matches(part, '[0-9]')",
+             "regexp_matches(part, '[A-Za-z]') AND regexp_matches(part, '[0-9]')", letters)
+    units = [round(c.bits * s.WINDOW * s.SCALE) for c in s.CLASSES]
     classes = " ".join(
-        f"WHEN regexp_full_match(piece, '{run}') AND regexp_matches(piece, '{some}') AND regexp_matches(piece, '[0-9]') THEN {round(c.bits * s.WINDOW * s.SCALE)}"
-        for c, run, some in zip(s.CLASSES, ("[0-9a-f]+", "[0-9A-F]+", "[A-Za-z0-9+/_-]+"), ("[a-f]", "[A-F]", "[A-Za-z]"))
+        f"WHEN regexp_full_match(part, '{run}') AND {some} THEN {least}"
+        for run, some, least in zip(("[0-9a-f]+", "[0-9A-F]+", "[A-Za-z0-9+/_-]+", "[A-Za-z]+"), asked, units)
     )
-    allowed = " OR ".join(f"regexp_matches(piece, '{p}')" for p in s.ALLOWED)
+
+    def pieces(source: str, text: str, pattern: str, which: str) -> str:
+        """Rows (rid, start, stop, a, part): the matches inside a text, or the gaps between them, with their places."""
+        lengths = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+        before = f"{lengths.format('gaps[1:i' + ('' if which == 'found' else ' - 1') + ']')} + {lengths.format('found[1:i - 1]')}"
+        return f"""
+  SELECT rid, start, stop, place + {before} AS a, {which}[i] AS part
+  FROM (SELECT *, regexp_split_to_array({text}, '{pattern}') AS gaps, regexp_extract_all({text}, '{pattern}', 0) AS found,
+          unnest(range(1, len({which}) + 1)) AS i FROM {source}) q"""
+
+    held = "EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.a AND b.stop >= c.a + length(c.part))"
     terms = "[" + ", ".join(str(s.term(c)) for c in range(s.WINDOW + 1)) + "]"
     names = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "]"
     return f"""
@@ -142,19 +156,24 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), base AS (SELECT rid, start::BIGINT AS start, kind, (start + length(piece))::BIGINT AS stop FROM ({base})),
 candidates AS (
-  SELECT rid, start::BIGINT AS start, kind, (start + length(piece))::BIGINT AS stop, piece, CASE {classes} END AS least
-  FROM ({candidates}) c WHERE NOT ({allowed})
+  SELECT rid, start::BIGINT AS start, start::BIGINT AS place, (start + length(piece))::BIGINT AS stop, piece
+  FROM ({candidates}) c WHERE NOT regexp_matches(piece, '{s.NAME}')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.start + length(piece))
+), parts AS (
+  SELECT *, a AS place FROM ({pieces("candidates", "piece", s.ALLOWED, "gaps")}) c WHERE length(part) >= {s.WINDOW} AND NOT {held}
+), runs AS (
+  SELECT * FROM ({pieces("parts", "part", s.RUN, "found")}) c WHERE NOT {held}
 ), fresh AS (
-  SELECT * FROM candidates c WHERE least IS NOT NULL
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)
+  SELECT rid, start, stop, a, part, CASE {classes} END AS least FROM parts
+  UNION ALL SELECT rid, start, stop, a, part, {units[1]} FROM runs WHERE {asked[1]}
 ), windows AS (
-  SELECT rid, start, stop, least, i, unnest(string_split(substring(piece, i, {s.WINDOW}), '')) AS ch
-  FROM (SELECT *, unnest(range(1, length(piece) - {s.WINDOW - 2})) AS i FROM fresh)
+  SELECT rid, start, stop, a, length(part) AS size, least, i, unnest(string_split(substring(part, i, {s.WINDOW}), '')) AS ch
+  FROM (SELECT *, unnest(range(1, length(part) - {s.WINDOW - 2})) AS i FROM fresh WHERE least IS NOT NULL)
 ), counted AS (
-  SELECT rid, start, stop, least, i, ({terms})[count(*) + 1] AS t FROM windows GROUP BY rid, start, stop, least, i, ch
+  SELECT rid, start, stop, a, size, least, i, ({terms})[count(*) + 1] AS t FROM windows GROUP BY rid, start, stop, a, size, least, i, ch
 ), added AS (
   SELECT DISTINCT rid, start, {len(s.BASE)} AS kind, stop
-  FROM (SELECT rid, start, stop, least, i, {s.term(s.WINDOW)} - sum(t) AS h FROM counted GROUP BY ALL) WHERE h >= least
+  FROM (SELECT rid, start, stop, a, size, least, i, {s.term(s.WINDOW)} - sum(t) AS h FROM counted GROUP BY ALL) WHERE h >= least
 ), every_span AS (SELECT * FROM base UNION ALL SELECT * FROM added),
 base_text AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -4,9 +4,10 @@ Three base kinds are plain patterns. The entropy scan adds spans the patterns mi
 strings of one character class, over which a window of ``WINDOW`` characters slides. The window
 keeps a count for each character of the class and the sum of c log2 c over the counts; a step
 changes two counts and two terms. Terms are whole numbers (``SCALE`` units a bit), so every
-engine gets the same sum. A candidate whose best window reaches the class's threshold is a span,
-unless the allow list suppresses it or a base span holds it already. So is a candidate with a run
-of upper hex that reaches that class's threshold, unless a base span holds the run.
+engine gets the same sum. The allow list takes known stretches (placeholders, alphabets, dates)
+out of a candidate, and names made of lower-case words whole; what is left between the stretches is
+judged part by part. A candidate is a span when a part that no base span holds has a window at
+the threshold of the part's class, or holds a run of upper hex that reaches that class's threshold.
 
 Positions follow from the lengths of the matches and of the text between them, in code points.
 
@@ -32,7 +33,7 @@ ASSIGN_WORD, VALUE = "(?i:password|passwd|secret|token|api_?key)", "[A-Za-z0-9+/
 BASE = {
     "assign": (rf"""{ASSIGN_WORD}["']?\x20*[:=]\x20*["']?({VALUE}+)""", rf"""{ASSIGN_WORD}["']?\x20*[:=]""", 1, 12),
     "access": (r"AKIA[A-Z0-9]+", r"AKIA", 0, 18),
-    "hex": (r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 0, 16),  # runs are maximal, so shorter ones never take part
+    "hex": (r"[0-9a-f]{16,}", r"(?<![0-9a-f])[0-9a-f]{16}", 0, 16),  # runs are maximal, so shorter ones never take part
 }
 
 
@@ -51,18 +52,19 @@ CLASSES = (
     CharacterClass("lower hex", _DIGITS + "abcdef", r"^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$", 3.0),
     CharacterClass("upper hex", _DIGITS + "ABCDEF", r"^(?=.*[A-F])(?=.*[0-9])[0-9A-F]+$", 3.0),
     CharacterClass("base 64", _UPPER + _UPPER.lower() + _DIGITS + "+/_-", r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9+/_-]+$", 3.7),
+    CharacterClass("letters", _UPPER + _UPPER.lower(), r"^(?=.*[a-z].*[A-Z].*[a-z].*[A-Z])[A-Za-z]+$", 4.0),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"
-# Runs inside a candidate of a wider class, such as a key after a word and "_". Lower hex runs are base spans already.
+# Runs inside a part of a wider class, such as a key after a word and "_". Lower hex runs are base spans already.
 RUN, RUN_CLASS = rf"[0-9A-F]{{{WINDOW},}}", CLASSES[1]
-# Suppressed candidates: placeholders, alphabets in order, checksums of nothing, dated or path-like names.
+# Stretches that are no part of a key: placeholders, alphabets in order, checksums of nothing, dates.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}",
-    r"(?i)0123456789|123456789a|abcdefghijk",
-    r"d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^([a-z]+[/_-])+[a-z]+[0-9]{0,4}$",
+    r"(?i:example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|0123456789|123456789a|abcdefghijk)"
+    r"|d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
 )
+# Whole candidates that are names: lower-case words, at most a number at the end.
+NAME = r"^([a-z]+[/_-])+[a-z]+[0-9]{0,4}$"
 
 
 def term(count: int) -> int:
@@ -71,55 +73,57 @@ def term(count: int) -> int:
 
 
 def _located(text: Column, pattern: str, guard: str, group: int, least: int, kind: int) -> Column:
-    """Spans of the matches whose group has at least ``least`` characters."""
+    """Spans of the matches whose group has at least ``least`` characters.
+
+    One pass marks the matches; ``text`` has no zero characters (see ``scan``), so they part matches
+    and gaps, which then alternate.
+    """
     able = text.rlike(guard)
     empty = F.array().cast("array<string>")
-    matches = F.when(able, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty)
-    values = F.when(able, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(empty) if group else matches
-    between = F.when(able, F.split(text, pattern, -1)).otherwise(empty)
-    sizes = F.transform(matches, F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    steps = F.arrays_zip(F.slice(F.transform(between, F.length), 1, F.size(matches)).alias("gap"), sizes.alias("size"), F.transform(values, F.length).alias("value"))
-
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        stop = begin + m["size"]
+    pieces = F.when(able, F.split(F.regexp_replace(text, f"({pattern})", "\x00$1\x00"), "\x00", -1)).otherwise(empty)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPANS).alias("spans"))
+
+    def step(state: Column, piece: Column) -> Column:
+        begin, stop = state["at"], state["at"] + F.length(piece)
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(m["value"] >= least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        value = F.regexp_extract(piece, pattern, group) if group else piece
+        found = state["match"] & (F.length(value) >= least)
+        return F.struct(stop.alias("at"), (~state["match"]).alias("match"), F.when(found, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(steps, start, step, lambda s: s["spans"])
+    return F.aggregate(pieces, start, step, lambda s: s["spans"])
 
 
-def best_window(candidate: Column, alphabet: str) -> Column:
-    """Most entropy of any window of a candidate of this class, in units a window."""
+def best_window(candidate: Column) -> Column:
+    """Most entropy of any window of a candidate, in units a window.
+
+    A step adds the next character and drops the oldest: the counts of these two in the window are
+    all that changes in the sum.
+    """
     terms = F.array(*[F.lit(term(c)).cast("long") for c in range(WINDOW + 2)])
-    characters = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    whole = term(WINDOW)
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("best"),
-        F.lit(0).alias("i"), F.array().cast("array<int>").alias("held"),
-    )
+    whole = F.lit(term(WINDOW)).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("best"))
 
-    def step(s: Column, c: Column) -> Column:
-        full = s["i"] >= WINDOW
-        gone = F.when(full, F.element_at(s["held"], 1)).otherwise(F.lit(-1))
-        n_in, added = F.get(s["counts"], c), F.lit(1)
-        n_out = F.when(full, F.get(s["counts"], gone) + F.when(gone == c, added).otherwise(0)).otherwise(F.lit(0))
-        total = (
-            s["sum"] + F.get(terms, n_in + 1) - F.get(terms, n_in)
-            + F.when(full, F.get(terms, n_out - 1) - F.get(terms, n_out)).otherwise(F.lit(0).cast("long"))
-        )
-        counts = F.transform(s["counts"], lambda n, k: n + F.when(k == c, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        held = F.concat(F.when(full, F.slice(s["held"], 2, WINDOW)).otherwise(s["held"]), F.array(c))
-        best = F.when(s["i"] >= WINDOW - 1, F.greatest(s["best"], F.lit(whole).cast("long") - total)).otherwise(s["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"), (s["i"] + 1).alias("i"), held.alias("held"))
+    def count(window: Column, c: Column) -> Column:
+        return F.length(window) - F.length(F.replace(window, c, F.lit("")))
+
+    def step(s: Column, i: Column) -> Column:
+        c = F.substring(candidate, i, F.lit(1))
+        full = i > WINDOW
+        # the characters between the one that goes and the one that comes
+        between = F.when(full, F.substring(candidate, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(F.substring(candidate, F.lit(1), i - 1))
+        gone = F.when(full, F.substring(candidate, i - WINDOW, F.lit(1)))
+        n_in, n_out = count(between, c), count(between, gone)
+        dropped = F.when(full, F.get(terms, n_out + 1) - F.get(terms, n_out)).otherwise(F.lit(0).cast("long"))
+        total = s["sum"] - dropped + F.get(terms, n_in + 1) - F.get(terms, n_in)
+        best = F.when(i >= WINDOW, F.greatest(s["best"], whole - total)).otherwise(s["best"])
+        return F.struct(total.alias("sum"), best.alias("best"))
 
-    return F.aggregate(characters, start, step, lambda s: s["best"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda s: s["best"])
 
 
 def _reaches(candidate: Column, c: CharacterClass) -> Column:
     """Whether a candidate of this class has a window at the class's threshold."""
-    return best_window(candidate, c.alphabet) >= round(c.bits * WINDOW * SCALE)
+    return best_window(candidate) >= round(c.bits * WINDOW * SCALE)
 
 
 def _held(base: Column, start: Column, stop: Column) -> Column:
@@ -128,29 +132,38 @@ def _held(base: Column, start: Column, stop: Column) -> Column:
 
 
 def high_entropy(candidate: Column, at: Column, base: Column) -> Column:
-    """Whether a candidate's class, if it has one, or that of a run inside it that no base span
-    holds finds it random and nothing allows it; ``at`` is the candidate's place in the text."""
-    verdict = F.lit(False)
-    for c in reversed(CLASSES):
-        verdict = F.when(candidate.rlike(c.needs), _reaches(candidate, c)).otherwise(verdict)
+    """Whether a part of the candidate between allowed stretches, not held by a base span, is random
+    by its class or by a run inside it; ``at`` is the candidate's place in the text."""
+
+    def random_run(part: Column, place: Column, span: Column) -> Column:
+        run = F.substring(part, span["start"] + 1, span["stop"] - span["start"])
+        return ~_held(base, place + span["start"], place + span["stop"]) & run.rlike(RUN_CLASS.needs) & _reaches(run, RUN_CLASS)
 
-    def random_run(span: Column) -> Column:
-        run = F.substring(candidate, span["start"] + 1, span["stop"] - span["start"])
-        return ~_held(base, at + span["start"], at + span["stop"]) & run.rlike(RUN_CLASS.needs) & _reaches(run, RUN_CLASS)
+    def random_part(span: Column) -> Column:
+        part, place = F.substring(candidate, span["start"] + 1, span["stop"] - span["start"]), at + span["start"]
+        verdict = F.lit(False)
+        for c in reversed(CLASSES):
+            verdict = F.when(part.rlike(c.needs), _reaches(part, c)).otherwise(verdict)
+        runs = _located(part, RUN, RUN, 0, WINDOW, len(BASE))
+        long = span["stop"] - span["start"] >= WINDOW
+        return long & ~_held(base, place, at + span["stop"]) & (verdict | F.exists(runs, lambda r: random_run(part, place, r)))
 
-    runs = _located(candidate, RUN, RUN, 0, WINDOW, len(BASE))
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | candidate.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(verdict | F.exists(runs, random_run))
+    taken = _located(candidate, ALLOWED, ALLOWED, 0, 1, len(BASE))
+    begins = F.concat(F.array(F.lit(0)), F.transform(taken, lambda s: s["stop"]))
+    ends = F.concat(F.transform(taken, lambda s: s["start"]), F.array(F.length(candidate)))
+    parts = F.arrays_zip(begins.alias("start"), ends.alias("stop"))
+    return ~candidate.rlike(NAME) & F.exists(parts, random_part)
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, text, ``base`` and ``added``: arrays of (start, kind, stop) in order."""
-    out = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, ``base`` and ``added``: arrays of (start, kind, stop) in order; ``text`` as it was searched."""
+    # a zero character is in no pattern and marks matches later, so another one takes its place
+    text = F.coalesce("text", F.lit(""))
+    zero, other = F.lit("\x00"), F.lit("\x01")
+    out = documents.select("doc_id", F.when(F.contains(text, zero), F.replace(text, zero, other)).otherwise(text).alias("text"))
     out = out.withColumns({f"found_{name}": _located(F.col("text"), *BASE[name], kind) for kind, name in enumerate(BASE)})
     out = out.withColumn("base", F.array_sort(F.concat(*[f"found_{name}" for name in BASE])))
-    out = out.withColumn("candidates", _located(F.col("text"), CANDIDATE, CANDIDATE, 0, WINDOW, len(BASE)))
+    out = out.withColumn("candidates", _located(F.col("text"), CANDIDATE, rf"(?<![A-Za-z0-9+/_-]){CANDIDATE}", 0, WINDOW, len(BASE)))
 
     def is_new(span: Column) -> Column:
         candidate = F.substring("text", span["start"] + 1, span["stop"] - span["start"])
@@ -181,7 +194,7 @@ def mask(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     but ``n_chars``, where there is one, follows the new text. Null texts stay null."""
     names = documents.columns
     packed = documents.select(F.struct(*names).alias("doc_id"), "text")
-    found = scan(packed).withColumn("all", F.array_sort(F.concat("base", "added")))
+    found = scan(packed).withColumns({"all": F.array_sort(F.concat("base", "added")), "text": F.col("doc_id.text")})
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, span: Column) -> Column:
