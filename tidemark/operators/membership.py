@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,54 +177,79 @@ def caar_path(
     day it lacks takes the last value inside the event's window. The first day has no
     benchmark return and stays raw unless ``strict_benchmark`` drops it.
     """
+    width = pre + post + 1
     positioned = with_positions(bars)
-    wide = positioned.withColumn("prev_close", at("close", -1)).withColumnRenamed("symbol", "ticker")
-    dated = asof_join(changes, wide, "ticker", "effective_date", "date", ["bar_no", "n_bars"])
+    dated = asof_join(changes, positioned.withColumnRenamed("symbol", "ticker"), "ticker", "effective_date", "date", ["bar_no", "n_bars"])
     # Events that share stock and bar have the same path: price it once, weight it.
     windows = (
         dated.where((F.col("bar_no") > pre + 1) & (F.col("bar_no") + post <= F.col("n_bars")))
         .groupBy("action", "ticker", "bar_no")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    path = windows.withColumn("k", F.explode(F.sequence(F.lit(-pre), F.lit(post)))).withColumn(
-        "pos", F.col("bar_no") + F.col("k")
+    stretches = bar_stretches(positioned, benchmark, pre, post)
+    here = (F.col("ticker") == F.col("__t")) & (F.floor(F.col("bar_no") / STRETCH) == F.col("__stretch"))
+    begin = (F.col("bar_no") - pre - F.col("__bars")[0]["bar_no"] + 1).cast("int")
+    path = windows.join(stretches, here).select("action", "n", F.slice("__bars", begin, F.lit(width)).alias("path"))
+    path = path.withColumn("ab", _abnormal(F.col("path"), strict_benchmark))
+    # One sum and one weight for each day of the window: the paths are added element by element.
+    known = [F.col("ab")[k].isNotNull() for k in range(width)]
+    sums = [F.sum(F.col("ab")[k] * F.col("n")).alias(f"s{k}") for k in range(width)]
+    weights = [F.sum(F.when(known[k], F.col("n"))).alias(f"w{k}") for k in range(width)]
+    days = F.array(
+        *[
+            F.struct(
+                F.lit(k - pre).alias("day_rel_effective"),
+                (F.col(f"s{k}") / nonzero(f"w{k}")).alias("mean_abnormal"),
+                F.col(f"w{k}").alias("n_events"),
+            )
+            for k in range(width)
+        ]
     )
-    prices = wide.select(
-        F.col("ticker").alias("__t"),
-        F.col("bar_no").alias("pos_"),
-        F.col("date").alias("day"),
-        simple_return("prev_close", "close").alias("stock_return"),
-    )
-    path = path.join(prices, (F.col("ticker") == F.col("__t")) & (F.col("pos") == F.col("pos_")))
-    path = path.join(
-        benchmark.select(F.col("date").alias("day"), F.col("close").alias("bench")), "day", "left"
-    )
-    window = W.partitionBy("action", "ticker", "bar_no").orderBy("k")
-    filled = F.last("bench", ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, 0))
-    path = path.withColumn("bench", filled)
-    path = path.withColumn("bench_return", simple_return(F.lag("bench").over(window), F.col("bench")))
-    abnormal = F.col("stock_return") - (
-        F.col("bench_return") if strict_benchmark else F.coalesce("bench_return", F.lit(0.0))
-    )
-    daily = (
-        path.withColumn("ab", abnormal)
-        .groupBy("action", "k")
-        .agg(
-            (F.sum(F.col("ab") * F.col("n")) / nonzero(F.sum(F.when(F.col("ab").isNotNull(), F.col("n"))))).alias(
-                "mean_abnormal"
-            ),
-            F.sum(F.when(F.col("ab").isNotNull(), F.col("n"))).alias("n_events"),
-        )
-    )
-    running = W.partitionBy("action").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    daily = path.groupBy("action").agg(*sums, *weights).select("action", F.explode(days).alias("d")).select("action", "d.*")
+    running = W.partitionBy("action").orderBy("day_rel_effective").rowsBetween(W.unboundedPreceding, 0)
     return daily.select(
         "action",
-        F.col("k").alias("day_rel_effective"),
+        "day_rel_effective",
         (F.sum(F.coalesce("mean_abnormal", F.lit(0.0))).over(running) * 100.0).alias("caar_pct"),
         "n_events",
     )
 
 
+# Bars of a stretch, without those it shares with its neighbours.
+STRETCH = 256
+
+
+def bar_stretches(positioned: DataFrame, benchmark: DataFrame, pre: int, post: int) -> DataFrame:
+    """Arrays of (bar_no, stock_return, bench) by symbol and stretch of ``STRETCH`` bar numbers.
+
+    A stretch also has the ``pre`` bars before and the ``post`` bars after it, so the window of any
+    of its bars is a slice of one row.
+    """
+    number = F.col("bar_no")
+    stretches = F.array_distinct(F.array(*[F.floor(c / STRETCH) for c in (number - post, number, number + pre)]))
+    side = benchmark.select(F.col("date").alias("__day"), F.col("close").alias("bench"))
+    return (
+        positioned.withColumn("stock_return", simple_return(at("close", -1), "close"))
+        .join(side, F.col("date") == F.col("__day"), "left")
+        .select(F.col("symbol").alias("__t"), F.explode(stretches).alias("__stretch"), F.struct("bar_no", "stock_return", "bench").alias("bar"))
+        .groupBy("__t", "__stretch")
+        .agg(F.sort_array(F.collect_list("bar")).alias("__bars"))
+    )
+
+
+def _abnormal(path: Column, strict: bool) -> Column:
+    """Return of each bar of a path minus the benchmark's, which lacking days carry on."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+
+    def step(state: Column, bar: Column) -> Column:
+        bench = F.coalesce(bar["bench"], state["last"])
+        market = simple_return(state["last"], bench)
+        value = bar["stock_return"] - (market if strict else F.coalesce(market, F.lit(0.0)))
+        return F.struct(bench.alias("last"), F.concat(state["out"], F.array(value)).alias("out"))
+
+    return F.aggregate(path, start, step, lambda s: s["out"])
+
+
 def review_windows(changes: DataFrame, bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """RS7: returns before, into and after a review, raw and minus one benchmark series."""
     wide = (
