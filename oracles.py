@@ -1048,30 +1048,87 @@ _VARIANTS = {
     "round 1: higher pressure": (0.03, 0.75, "effective"),
     "round 1: later exit": (0.03, 0.5, "eff_close_plus:5"),
 }
-_STEPS["sw_trades"] = " union all ".join(
-    f"select '{n}' as strategy, event_id, asx_ticker, 1 as direction, '{out}' as exit_spec, 25 as max_hold_days from feat"
-    f" where tradeable and {_LONG} and (abs(imm) <= {imm} or imm is null)"
-    f" and (flow_pressure >= {fp} or flow_pressure is null) and (confidence_score >= 0.4 or confidence_score is null)"
-    for n, (imm, fp, out) in _VARIANTS.items()
-)
-_STEPS["sw_ledger"] = _ledger("sw_trades", "feat")
-for _step in ("ex", "boot_values", "boot_steps", "boot_draws", "boot_means", "ci"):
-    _STEPS[f"sw_{_step}"] = re.sub(
-        r"\b(from|join) (ledger|ex|boot_values|boot_steps|boot_draws|boot_means)\b", r"\1 sw_\2", _STEPS[_step]
+
+
+def _variant_trades(variants: dict[str, tuple]) -> str:
+    return " union all ".join(
+        f"select '{n}' as strategy, event_id, asx_ticker, 1 as direction, '{out}' as exit_spec, 25 as max_hold_days from feat"
+        f" where tradeable and {_LONG} and (abs(imm) <= {imm} or imm is null)"
+        f" and (flow_pressure >= {fp} or flow_pressure is null) and (confidence_score >= 0.4 or confidence_score is null)"
+        for n, (imm, fp, out) in variants.items()
     )
+
+
+def _variant_steps(prefix: str, variants: dict[str, tuple]) -> None:
+    """The ledger, interval and gate chain over some variants, under names of its own."""
+    _STEPS[f"{prefix}_trades"] = _variant_trades(variants)
+    _STEPS[f"{prefix}_ledger"] = _ledger(f"{prefix}_trades", "feat")
+    for step in ("ex", "boot_values", "boot_steps", "boot_draws", "boot_means", "ci"):
+        _STEPS[f"{prefix}_{step}"] = re.sub(
+            r"\b(from|join) (ledger|ex|boot_values|boot_steps|boot_draws|boot_means)\b", rf"\1 {prefix}_\2", _STEPS[step]
+        )
+
+
+_OBJECTIVE = """case when coalesce(n, 0) < 3 then -9.0 + coalesce(n, 0)
+                    else coalesce(harsh - case when net <= 0 then 0.05 else 0 end + case when ci_low > 0 then 0.02 else 0 end, -5.0) end"""
+
+
+def _variant_scores(prefix: str, variants: dict[str, tuple]) -> str:
+    return f"""(select unnest([{", ".join(f"'{n}'" for n in variants)}]) as strategy) v
+  left join (select strategy, count(net_return) as n, avg(net_return) as net, avg(harsh_net_return) as harsh from {prefix}_ex group by 1) m
+    on v.strategy = m.strategy
+  left join {prefix}_ci c on v.strategy = c.strategy"""
+
+
+_variant_steps("sw", _VARIANTS)
 _Q["param_sweep"] = f"""
   select v.strategy, coalesce(n, 0) as n_trades, round(net, 6) as avg_net, round(harsh, 6) as avg_harsh,
-         round(case when coalesce(n, 0) < 3 then -9.0 + coalesce(n, 0)
-                    else coalesce(harsh - case when net <= 0 then 0.05 else 0 end + case when ci_low > 0 then 0.02 else 0 end, -5.0) end, 6) as objective,
+         round({_OBJECTIVE}, 6) as objective,
          coalesce(g.passed and coalesce(c.ci_low > 0, false), false) as claim_alpha
-  from (select unnest([{", ".join(f"'{n}'" for n in _VARIANTS)}]) as strategy) v
-  left join (select strategy, count(net_return) as n, avg(net_return) as net, avg(harsh_net_return) as harsh from sw_ex group by 1) m
-    on v.strategy = m.strategy
-  left join sw_ci c on v.strategy = c.strategy
+  from {_variant_scores("sw", _VARIANTS)}
   left join ({_gate('sw_ex')}) g on v.strategy = g.strategy
 """
 
 
+def _rounded_often(value: float, factor: float, times: int, digits: int, floor: float = 0.0) -> float:
+    for _ in range(times):
+        value = round(max(floor, value * factor), digits)
+    return value
+
+
+# Every parameter set five rounds can reach: a times tighter, b times higher, c times later.
+_SETS = {
+    f"{a}-{b}-{c}": (_rounded_often(0.03, 0.7, a, 4, 0.005), _rounded_often(0.5, 1.5, b, 3), "eff_close_plus:5" if c else "effective")
+    for a in range(6) for b in range(6) for c in range(2) if a + b + c <= 5
+}
+_variant_steps("rh", _SETS)
+_STEPS["rh_scores"] = f"""
+  select split_part(v.strategy, '-', 1)::int as a, split_part(v.strategy, '-', 2)::int as b, split_part(v.strategy, '-', 3)::int as c,
+         coalesce(n, 0) as n, {_OBJECTIVE} as score
+  from {_variant_scores("rh", _SETS)}
+"""
+_STEPS["rh_walk0"] = "select 0 as round, a, b, c, score as best, true as going from rh_scores where a = 0 and b = 0 and c = 0"
+for _round in range(1, 6):
+    _STEPS[f"rh_try{_round}"] = f"""
+  select {_round} as round, w.a, w.b, w.c, w.best, x.n as n1, x.score as s1, y.n as n2, y.score as s2, z.n as n3, z.score as s3,
+         case when greatest(x.score, y.score, z.score) <= w.best + 1e-6 then 0
+              when x.score >= greatest(y.score, z.score) then 1 when y.score >= z.score then 2 else 3 end as winner
+  from rh_walk{_round - 1} w join rh_scores x on x.a = w.a + 1 and x.b = w.b and x.c = w.c
+  join rh_scores y on y.a = w.a and y.b = w.b + 1 and y.c = w.c join rh_scores z on z.a = w.a and z.b = w.b and z.c = 1
+  where w.going
+"""
+    _STEPS[f"rh_walk{_round}"] = f"""
+  select round, a + (winner = 1)::int as a, b + (winner = 2)::int as b, case when winner = 3 then 1 else c end as c,
+         case winner when 1 then s1 when 2 then s2 when 3 then s3 else best end as best, winner > 0 as going
+  from rh_try{_round}
+"""
+_Q["research_history"] = "select 0 as round, 'baseline' as trial, n as n_trades, round(score, 6) as objective, true as adopted from rh_scores where a = 0 and b = 0 and c = 0" + "".join(
+    f" union all select round, '{label}', n{k}, round(s{k}, 6), winner = {k} from rh_try{r}"
+    for r in range(1, 6)
+    for k, label in enumerate(("tighter reaction", "higher pressure", "later exit"), 1)
+)
+
+
 # ------------------------------------------------------------------ landed files
 _BARS_OUT = """
   select symbol, date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close,

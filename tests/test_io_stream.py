@@ -176,6 +176,24 @@ def test_research_loop(spark, enriched, tmp_path):
     assert spark.read.parquet(str(tmp_path / "trials")).count() >= 8
 
 
+def test_research_history_is_the_loop(spark, enriched):
+    events, bars = enriched
+    table = [tuple(r) for r in sweep.research_history(events, bars, max_rounds=2).collect()]
+    trials = sweep.research_loop(events, bars, max_rounds=2)["trials"]
+    assert [(r, adopted) for r, _, _, _, adopted in table] == [(t["iteration"], t["outcome"] != "rejected") for t in trials]
+    assert [x[3] for x in table] == pytest.approx([t["objective"] for t in trials])
+
+
+def test_greedy_walk_adopts_and_stops():
+    sets = sweep._lattice({"max_immediate_reaction_pct": 0.03, "min_flow_pressure": 0.5}, 5)
+    assert len(sets) == 36 and sets[(2, 0, 0)]["max_immediate_reaction_pct"] == 0.0147 and sets[(0, 1, 1)]["exit"] == "eff_close_plus5"
+    value = {s: (9, 0.1 * min(s[0], 2) + 0.05 * s[2]) for s in sets}
+    walk = sweep._walk(value, 5)
+    assert [(r, t) for r, t, _, _, adopted in walk if adopted] == [(0, "baseline"), (1, "tighter reaction"), (2, "tighter reaction"), (3, "later exit")]
+    assert walk[-1][0] == 4 and len(walk) == 13
+    assert len(sweep._walk({s: (9, 1.0 * sum(s)) for s in sets}, 5)) == 16
+
+
 def test_models_refuse_small_or_flat_data(spark):
     f = spark.createDataFrame([(str(i), float(i)) for i in range(10)], "event_id string, mom_1m double")
     y = spark.createDataFrame([(str(i), i % 2, float(i)) for i in range(10)],

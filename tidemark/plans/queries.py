@@ -721,6 +721,11 @@ def param_sweep(s: Lab) -> DataFrame:
     return _rounded(out, {"avg_net": 6, "avg_harsh": 6, "objective": 6})
 
 
+def research_history(s: Lab) -> DataFrame:
+    """All rounds with adoption and stop; objectives compared to six decimals as printed."""
+    return _rounded(sweep.research_history(s.enriched(), s.bars()), {"objective": 6})
+
+
 def gbt_cv(s: Lab) -> DataFrame:
     """Expanding-window scores, one row for each fold."""
     e = s.enriched()
@@ -871,6 +876,7 @@ _RUN: dict[str, Callable[[Lab], DataFrame]] = {
     "page_links": page_links,
     "page_text": page_text,
     "param_sweep": param_sweep,
+    "research_history": research_history,
     "gbt_cv": gbt_cv,
     "candidate_dataset": candidate_dataset,
     "stream_daily_bars": stream_daily_bars,
