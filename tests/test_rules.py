@@ -204,6 +204,19 @@ def test_ownership_map_golden_formula(spark):
     assert kept[0]["inflow5_usd"] == pytest.approx(0.01 * 1e9 * 0.05)
 
 
+def test_fund_list_keeps_the_first_names_before_the_shuffle(spark):
+    rows = [(f"F{k % 40:02d}", f"S{k % 3}.AX", "n", 1.0, 2.0, 3.0) for k in range(400)] + [("A", "S9.AX", "n", 1.0, 2.0, 3.0)]
+    edges = spark.createDataFrame(rows, "etf string, asx_ticker string, name string, shares double, market_value double, inflow5_usd double")
+    out = screens.ownership(edges.repartition(5), 12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    whole = {r["asx_ticker"]: r for r in screens.ownership(edges).collect()}
+    for r in out.collect():
+        full = whole[r["asx_ticker"]]
+        assert r["etfs"] == full["etfs"][:12] and r["n_etfs"] == full["n_etfs"] == len(full["etfs"])
+        assert r["etf_value_usd"] == full["etf_value_usd"]
+
+
 def test_rebounds_read_nothing_after_the_day(spark):
     from conftest import business_days, make_bars
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
@@ -53,7 +54,8 @@ def ownership(edges: DataFrame, list_limit: int | None = None) -> DataFrame:
     """AG2, AG3: funds, shares, value and inflow per stock.
 
     Edges are first reduced per (stock, fund), so the fund list holds each fund once and
-    is bounded by the fund universe.
+    is bounded by the fund universe. With a limit only the first names of each stock leave a
+    task: the engine keeps that many rows a stock before the shuffle, and again after it.
     """
     per_fund = edges.groupBy("asx_ticker", "etf").agg(
         F.min("name").alias("company"),
@@ -61,21 +63,24 @@ def ownership(edges: DataFrame, list_limit: int | None = None) -> DataFrame:
         F.sum("market_value").alias("market_value"),
         F.sum("inflow5_usd").alias("inflow5_usd"),
     )
-    listed: Column = F.sort_array(F.collect_list("etf"))
-    if list_limit is not None:
-        listed = F.slice(listed, 1, list_limit)
+    listed_all = F.sort_array(F.collect_list("etf")).alias("etfs")
 
     def total(c: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0.0))
 
-    return per_fund.groupBy("asx_ticker").agg(
+    sums = per_fund.groupBy("asx_ticker").agg(
         F.min("company").alias("company"),
         F.count(F.lit(1)).alias("n_etfs"),
-        listed.alias("etfs"),
+        *([listed_all] if list_limit is None else []),
         total("shares").alias("etf_shares"),
         total("market_value").alias("etf_value_usd"),
         total("inflow5_usd").alias("inflow5_usd"),
     )
+    if list_limit is None:
+        return sums
+    place = F.row_number().over(W.partitionBy("asx_ticker").orderBy("etf"))
+    first = per_fund.select("asx_ticker", "etf", place.alias("__place")).where(F.col("__place") <= list_limit)
+    return sums.join(first.groupBy("asx_ticker").agg(listed_all), "asx_ticker")
 
 
 def with_market(owned: DataFrame, bars: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -532,7 +532,9 @@ def forced_flow_score(s: Lab) -> DataFrame:
 
 
 def universal_map(s: Lab) -> DataFrame:
-    return _flow_table(screens.universal_ownership_map(*_own(s)))
+    """Stocks only: no cash lines, no funds held by funds; the first twelve holders by name."""
+    out = screens.universal_ownership_map(s.vendor_lines(), s.listed_funds(), s.bars(), s.profiles(), list_limit=12)
+    return _flow_table(out)
 
 
 def fund_universe(s: Lab) -> DataFrame:

@@ -250,6 +250,22 @@ class StarSchema:
             "market_value",
         )
 
+    def vendor_lines(self) -> DataFrame:
+        """Vendor holdings as delivered: with a cash line for each fund, a hundredth of its value."""
+        held = self.fund_holdings()
+        cash = held.groupBy("etf").agg((F.sum("market_value") / 100.0).alias("value")).select(
+            "etf", F.lit("USD.AX").alias("asset"), F.lit(None).cast("string").alias("isin"), F.lit("Cash").alias("name"),
+            F.lit(1.0).alias("weight_pct"), F.col("value").alias("shares"), F.col("value").alias("market_value"),
+        )
+        return held.unionByName(cash)
+
+    def listed_funds(self) -> DataFrame:
+        """All funds, and every 25th stock as a fund that is listed itself and held by others."""
+        listed = self.table("supplier").where(F.col("s_suppkey") % 25 == 0).select(
+            stock_symbol(F.col("s_suppkey")).alias("etf"), F.col("s_name").alias("etf_name"), F.lit(None).cast("double").alias("aum")
+        )
+        return self.funds().unionByName(listed)
+
     def funds(self) -> DataFrame:
         return self.registry_rows().select(
             F.col("product_ticker").alias("etf"), F.col("product_name").alias("etf_name"), "aum"
