@@ -1176,6 +1176,20 @@ _Q["announcement_files"] = """
 _Q["saved_registry"] = """
   select product_ticker, record_type, product_name, source, round(aum, 2) as aum, round(confidence_score, 6) as confidence_score from registry
 """
+_Q["manual_registry"] = """
+  select 'etf' as record_type, product_ticker, product_name, issuer, theme, round(aum, 2) as aum,
+         regexp_extract(product_name, '(\\d+)', 1)::int % 2 = 1 as asx_exposure_flag, 'manual' as source, '3,6,12' as months
+  from registry_rows
+  union all
+  select case when aum is not null then 'benchmark' else 'index' end, product_ticker, benchmark_index_name, null, 'a "quoted", ' || theme,
+         null, null, 'manual', ''
+  from registry_rows where benchmark_index_name is not null
+"""
+_Q["hand_entered_events"] = """
+  select event_id, max(case when k % 100 = 0 then date '1999-12-31' end) as effective_date, max(case when k % 200 = 50 then 'confirmed' end) as notes
+  from (select event_id, split_part(source_url_or_file, ':', 2)::bigint as k from ev_ann) where k % 50 = 0 and k >= 50
+  group by 1
+"""
 _Q["scoreboard"] = "select strategy, count(net_return) as n_trades, round(avg(net_return), 6) as avg_return from ex group by 1"
 
 

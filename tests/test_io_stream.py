@@ -164,6 +164,27 @@ def test_reports(spark, enriched, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ledger").count() == ledger.count()
 
 
+def test_any_number_of_headers_is_one_branch(spark, tmp_path):
+    for k in range(12):
+        names = [f"extra{k}", "Ticker " if k % 2 else "symbol", "ACTION", "ann_date"] + (["confidence"] if k % 3 == 0 else [])
+        cells = [f"x{k}", f"A{k:02d}", "Added", "2024-01-02"] + (["0.4"] if k % 3 == 0 else [])
+        text = "\n" * (k % 2) + ",".join(names) + "\r\n\n" + ",".join(cells) + "\n" + ",".join([f'"x,{k}"', f'"A{k:02d}"', ""]) + "\n"
+        (tmp_path / f"f{k}.csv").write_text(("\ufeff" if k == 0 else "") + text)
+    (tmp_path / "_TEMPLATE.csv").write_text("ticker,action\nZZZ,ADD\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "only_header.csv").write_text("ticker,action\n")
+    out = tables.read_announcements(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Union") == 0 and "Join" in plan
+    rows = {(r["asx_ticker"], r["action"]): r for r in out.collect()}
+    assert len(rows) == 24
+    for k in range(12):
+        first, second = rows[f"A{k:02d}.AX", "ADD"], next(r for (t, a), r in rows.items() if t == f"A{k:02d}.AX" and a != "ADD")
+        assert first["announcement_date"] == dt.date(2024, 1, 2) and second["announcement_date"] is None
+        assert first["confidence"] == (0.4 if k % 3 == 0 else tables.DEFAULT_ANNOUNCEMENT_CONFIDENCE)
+        assert second["confidence"] == (None if k % 3 == 0 else tables.DEFAULT_ANNOUNCEMENT_CONFIDENCE)
+
+
 def test_research_loop(spark, enriched, tmp_path):
     events, bars = enriched
     for sequential in (False, True):

@@ -110,6 +110,34 @@ def saved_registry(lab) -> DataFrame:
     return tables.read_registry(lab.spark, path).select("product_ticker", "record_type", "product_name", "source", "aum", "confidence_score")
 
 
+def manual_registry(lab) -> DataFrame:
+    """IO18: the registry as hand-kept files, funds and indices under headers of their own."""
+    path = scratch_path(lab.spark, "manual-registry")
+    rows = lab.registry_rows()
+    funds = rows.select(
+        "aum", "product_ticker", "product_name", "issuer", "theme", F.lit("3, 6,x,12").alias("rebalance_months"), "asx_exposure_flag", F.lit("ignored").alias("remark"),
+    )
+    indices = rows.where("benchmark_index_name is not null").select(
+        F.col("benchmark_index_name").alias("product_name"), F.col("product_ticker").alias("Product_Ticker"),
+        F.when(F.col("aum").isNotNull(), F.lit("benchmark")).alias("record_type"), F.concat(F.lit('a "quoted", '), "theme").alias("theme"),
+    )
+    for part, sub in ((funds, "etf_registry"), (indices, "index_registry")):
+        part.write.option("header", True).option("escape", '"').csv(f"{path}/{sub}")
+    out = tables.read_manual_registry(lab.spark, path)
+    return out.select(
+        "record_type", "product_ticker", "product_name", "issuer", "theme", "aum", "asx_exposure_flag", "source",
+        F.concat_ws(",", F.col("rebalance_months").cast("array<string>")).alias("months"),
+    )
+
+
+def hand_entered_events(lab) -> DataFrame:
+    """IO21: custom events and overrides kept as files, patched on the events they name."""
+    path = scratch_path(lab.spark, "hand-entered")
+    patches = lab.overrides().groupBy("event_id").agg(F.max("effective_date").alias("effective_date"), F.max("notes").alias("notes"))
+    tables.write_csv(patches.select("event_id", F.date_format("effective_date", "dd/MM/yyyy").alias("effective_date"), "notes"), path)
+    return tables.read_overrides(lab.spark, path).select("event_id", "effective_date", "notes")
+
+
 def scoreboard(lab) -> DataFrame:
     """AG13: strategies by mean return, with their place."""
     board = diagnostics.scoreboard(lab.ledger())
@@ -120,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         csv_bars, json_bars, bars_between, saved_snapshots, payload_profiles, payload_market_caps, payload_fund_holdings, payload_changes,
-        announcement_files, saved_registry, scoreboard,
+        announcement_files, saved_registry, manual_registry, hand_entered_events, scoreboard,
     )
 }
 # Digits the compared columns are rounded to.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from ..schemas import (
     TRIAL_LOG,
     conform,
 )
+from .holdings_files import split_line
 
 # Header spellings of announcement files.
 ANNOUNCEMENT_ALIASES = {
@@ -71,23 +73,38 @@ def csv_rejects(spark: SparkSession, path: str | list[str], schema: T.StructType
     return rows.where(F.col("line").isNotNull() & F.col("cells").isNotNull()).drop("cells")
 
 
-def read_csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
-    """Hand-kept files whose headers differ: one frame for each distinct header.
+def read_lines_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """Hand-kept files whose headers differ: (path, cells), one row a line.
 
-    Templates are skipped. The driver sees the path and first line of each file.
+    ``cells`` maps the names of the file's own header, in lower case, to the line's cells; empty cells
+    are NULL. Lines and headers meet in a join on the file, so any number of files and
+    headers is one branch of the plan, and the lines of a large file stay spread. Templates
+    and blank lines are skipped; of columns with one name the first counts.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("no")
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no")).alias("at"),
     )
     name = F.element_at(F.split("path", "/"), -1)
-    heads = (
-        lines.where((F.trim("value") != "") & ~name.startswith("_TEMPLATE"))
-        .groupBy("path").agg(F.min_by("value", "no").alias("head")).orderBy("path").collect()
-    )
-    by_head: dict[str, list[str]] = {}
-    for row in heads:
-        by_head.setdefault(row["head"], []).append(row["path"])
-    return [read_csv(spark, paths) for paths in by_head.values()]
+    lines = lines.where((F.trim("value") != "") & ~name.startswith("_TEMPLATE"))
+    heads = lines.groupBy(F.col("path").alias("__path")).agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
+    header = F.transform(split_line(F.col("head")), lambda h: F.lower(F.trim(h)))
+    heads = heads.select("__path", "first", header.alias("header"))
+    body = lines.join(heads, F.col("path") == F.col("__path")).where(F.col("at") != F.col("first"))
+    row = body.select("path", "header", split_line(F.col("value")).alias("row"))
+    cells = F.transform("header", lambda h, i: F.struct(h.alias("name"), F.nullif(F.get("row", i), F.lit("")).alias("cell"), i.alias("i")))
+    own = F.filter(cells, lambda c: F.array_position(F.col("header"), c["name"]) == c["i"] + 1)
+    pairs = F.transform(own, lambda c: F.struct(c["name"].alias("key"), c["cell"].alias("value")))
+    return row.select("path", F.map_from_entries(pairs).alias("cells"))
+
+
+def cell(names: tuple[str, ...], cells: str = "cells") -> Column:
+    """The cell under the first of the names that the line's header has."""
+    out = F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(F.map_contains_key(cells, F.lit(name)), F.element_at(cells, F.lit(name))).otherwise(out)
+    return out
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -181,17 +198,16 @@ def read_snapshots(spark: SparkSession, path: str, product: str | None = None) -
 
 # ------------------------------------------------------------------ manual inputs
 def read_manual_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """IO18: the two registry folders stacked, each file by its own header; the folder gives
+    """IO18: the two registry folders stacked, each line by its file's header; the folder gives
     the default type."""
-    parts = []
-    for sub, kind in (("etf_registry", "etf"), ("index_registry", "index")):
-        for raw in read_csv_by_header(spark, f"{folder}/{sub}/*.csv"):
-            kind_col = (
-                F.coalesce("record_type", F.lit(kind)) if "record_type" in raw.columns else F.lit(kind)
-            )
-            parts.append(registry_from_text(raw.withColumn("record_type", kind_col)))
-    both = reduce(lambda a, b: a.unionByName(b), parts, spark.createDataFrame([], REGISTRY))
-    return both.withColumn("source", F.lit("manual"))
+    lines = read_lines_by_header(spark, f"{folder}/*_registry/*.csv")
+    sub = F.element_at(F.split("path", "/"), -2)
+    kind = F.when(sub == "etf_registry", F.lit("etf")).otherwise(F.lit("index"))
+    named = lines.where(sub.isin("etf_registry", "index_registry")).select(
+        kind.alias("__kind"), *[cell((f.name,)).alias(f.name) for f in REGISTRY.fields]
+    )
+    typed = registry_from_text(named.withColumn("record_type", F.coalesce("record_type", "__kind")))
+    return typed.withColumn("source", F.lit("manual"))
 
 
 def registry_from_text(raw: DataFrame) -> DataFrame:
@@ -216,23 +232,10 @@ def read_registry(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def normalise_announcements(raw: DataFrame) -> DataFrame:
-    """SC23, SC24: aliased headers, canonical tickers, dates and actions."""
-    lowered = {c.lower().strip(): c for c in raw.columns}
-
-    def pick(name: str) -> Column | None:
-        for alias in ANNOUNCEMENT_ALIASES[name]:
-            if alias in lowered:
-                return F.col(f"`{lowered[alias]}`")
-        return None
-
-    def text(name: str) -> Column:
-        c = pick(name)
-        return (F.lit(None) if c is None else c).cast("string")
-
-    conf, check = pick("confidence"), pick("needs_verification")
+def _announcements(rows: DataFrame, text: Callable[[str], Column], has: Callable[[str], Column]) -> DataFrame:
+    """SC23, SC24: canonical tickers, dates and actions of columns found under their aliases."""
     return conform(
-        raw.select(
+        rows.select(
             text("provider").alias("provider"),
             text("index_name").alias("index_name"),
             normalise_asx(text("asx_ticker")).alias("asx_ticker"),
@@ -241,19 +244,35 @@ def normalise_announcements(raw: DataFrame) -> DataFrame:
             any_date(text("announcement_date")).alias("announcement_date"),
             any_date(text("effective_date")).alias("effective_date"),
             text("source_url").alias("source_url"),
-            (F.lit(DEFAULT_ANNOUNCEMENT_CONFIDENCE) if conf is None else conf.try_cast("double")).alias(
-                "confidence"
-            ),
-            (F.lit(False) if check is None else check.try_cast("boolean")).alias("needs_verification"),
+            F.when(has("confidence"), text("confidence").try_cast("double")).otherwise(F.lit(DEFAULT_ANNOUNCEMENT_CONFIDENCE)).alias("confidence"),
+            F.when(has("needs_verification"), text("needs_verification").try_cast("boolean")).otherwise(F.lit(False)).alias("needs_verification"),
         ),
         ANNOUNCEMENTS,
     )
 
 
+def normalise_announcements(raw: DataFrame) -> DataFrame:
+    """SC23, SC24 for a frame with any of the aliased columns."""
+    lowered = {c.lower().strip(): c for c in raw.columns}
+
+    def pick(name: str) -> str | None:
+        return next((lowered[a] for a in ANNOUNCEMENT_ALIASES[name] if a in lowered), None)
+
+    def text(name: str) -> Column:
+        found = pick(name)
+        return (F.lit(None) if found is None else F.col(f"`{found}`")).cast("string")
+
+    return _announcements(raw, text, lambda name: F.lit(pick(name) is not None))
+
+
 def read_announcements(spark: SparkSession, folder: str) -> DataFrame:
-    """IO20: announcement CSVs, each by its own header; templates are skipped."""
-    parts = [normalise_announcements(raw) for raw in read_csv_by_header(spark, f"{folder}/*.csv")]
-    return reduce(lambda a, b: a.unionByName(b), parts, spark.createDataFrame([], ANNOUNCEMENTS))
+    """IO20: announcement CSVs, each line by its file's header; templates are skipped."""
+
+    def has(name: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.map_contains_key("cells", F.lit(a)) for a in ANNOUNCEMENT_ALIASES[name]])
+
+    lines = read_lines_by_header(spark, f"{folder}/*.csv")
+    return _announcements(lines, lambda name: cell(ANNOUNCEMENT_ALIASES[name]), has)
 
 
 def read_custom_events(spark: SparkSession, path: str) -> DataFrame:
