@@ -297,6 +297,59 @@ def test_bars_and_dedup_streams(spark, tmp_path):
     assert len(row) == 1 and (row[0]["open"], row[0]["close"], row[0]["volume"]) == (0.0, 5.0, 6.0)
 
 
+def test_a_replay_of_any_age_gives_no_second_row(spark, tmp_path):
+    schema = "event_id int, ts timestamp, v int"
+    day = dt.datetime(2024, 1, 1)
+    landed, out = str(tmp_path / "in"), str(tmp_path / "out")
+    deliveries = [
+        [(1, day, 1), (2, day, 1), (1, day + dt.timedelta(hours=1), 2)],
+        [(3, day + dt.timedelta(days=29), 1)],
+        [(1, day, 1), (4, day + dt.timedelta(days=30), 1), (2, day + dt.timedelta(days=40), 9), (None, day, 1)],
+    ]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        jobs.accept_once(jobs.read_stream(spark, landed, schema), out, str(tmp_path / "ck"), "ts", "event_id").awaitTermination()
+    got = sorted((r["event_id"], r["v"], r["batch"]) for r in spark.read.parquet(f"{out}/accepted").collect())
+    assert got == [(1, 1, "main-0"), (2, 1, "main-0"), (3, 1, "main-1"), (4, 1, "main-2")]
+    # a batch that is run again accepts the same rows
+    replay = jobs.read_stream(spark, landed, schema)
+    jobs.accept_once(replay, out, str(tmp_path / "ck2"), "ts", "event_id", "second").awaitTermination()
+    assert spark.read.parquet(f"{out}/accepted").count() == 4
+
+
+def test_state_logs_are_compacted(spark, tmp_path):
+    landed, path = str(tmp_path / "in"), str(tmp_path / "log")
+    schema = "k int, v int"
+    expected = {}
+    for n in range(7):
+        rows = [(n % 3, n), (10 + n, n)]
+        expected |= dict(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = jobs.read_stream(spark, landed, schema)
+        jobs.upsert_batches(stream, path, str(tmp_path / "ck"), "append", ["k"], compact_every=3).awaitTermination()
+        latest = jobs.latest_rows(spark, path, ["k"])
+        assert {r["k"]: r["v"] for r in latest.collect()} == expected
+        read = jobs._versions(spark, path).select(F.input_file_name()).distinct().collect()
+        assert len({r[0].rsplit("/", 1)[0] for r in read}) <= 3
+        assert spark.read.parquet(f"{path}/delta/version={n}").count() == 2  # a batch writes its own rows
+
+
+def test_snapshot_state_from_any_batch(spark, tmp_path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=n) for n in range(8)]
+    results = []
+    for every in (2, 100):
+        landed, out, state, check = (str(tmp_path / f"{x}{every}") for x in ("in", "out", "state", "ck"))
+        for n, day in enumerate(days):
+            rows = [("EF"[n % 2], day, "A", 1.0, float(n)), ("EF"[n % 2], day, "BCD"[n % 3], 1.0, 1.0)]
+            _lines(spark, rows).coalesce(1).write.mode("append").parquet(landed)
+            jobs.snapshot_changes(jobs.read_stream(spark, landed, HOLDINGS), out, state, check, compact_every=every).awaitTermination()
+            assert spark.read.parquet(f"{state}/v{n}").select("product_ticker").distinct().count() == 1
+        changes = spark.read.parquet(f"{out}/changes").select("product_ticker", "as_of_date", "constituent_ticker", "change_type")
+        results.append(sorted(map(tuple, changes.collect())))
+    assert results[0] == results[1] and len(results[0]) > 10
+    assert jobs._state_before(spark, str(tmp_path / "state2"), 8, 2).count() == 4
+
+
 def test_watchlist_stream(spark, enriched, tmp_path):
     events, _ = enriched
     path = str(tmp_path / "in")

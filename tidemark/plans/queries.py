@@ -758,19 +758,18 @@ def stream_daily_bars(s: Lab) -> DataFrame:
     path = scratch_path(s.spark, "stream-bars")
     ticks = _stream(s).where(F.col("event_type") == "purchase")
     bars = jobs.bars_from_stream(ticks, "ts", "user_id", "value")
-    jobs.upsert_batches(bars, f"{path}/out", f"{path}/check").awaitTermination()
+    jobs.upsert_batches(bars, f"{path}/out", f"{path}/check", keys=["symbol", "date"]).awaitTermination()
     out = jobs.latest_rows(s.spark, f"{path}/out", ["symbol", "date"])
     return out.select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
 def stream_distinct_events(s: Lab) -> DataFrame:
+    """Every event twice in one delivery, and all of them again in a later one."""
     path = scratch_path(s.spark, "stream-events")
-    replayed = _stream(s).select(
-        "event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")
-    )
-    once = jobs.distinct_events(replayed, "ts", "event_id").select("event_id", F.col("ts"))
-    jobs.append_rows(once, f"{path}/out", f"{path}/check").awaitTermination()
-    out = s.spark.read.parquet(f"{path}/out")
+    for delivery in ("first", "replay"):
+        replayed = _stream(s).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+        jobs.accept_once(replayed, path, f"{path}/check-{delivery}", "ts", "event_id", delivery).awaitTermination()
+    out = s.spark.read.parquet(f"{path}/accepted")
     return out.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
@@ -792,10 +791,10 @@ def stream_watchlist(s: Lab) -> DataFrame:
         "event_id", "asx_ticker", "effective_date", "tradeable_flag", "delayed_flow_opportunity_score"
     )
     # Two deliveries: every event still tradeable, then the events as they are, some closed.
-    for delivery in (e.withColumn("tradeable_flag", F.lit(True)), e):
-        delivery.coalesce(1).write.mode("append").parquet(f"{path}/landed")
-    stream = jobs.read_stream(s.spark, f"{path}/landed", e.schema, files_per_batch=1)
-    jobs.trailing_watchlist(stream, f"{path}/out", f"{path}/check").awaitTermination()
+    for k, delivery in enumerate((e.withColumn("tradeable_flag", F.lit(True)), e)):
+        delivery.write.parquet(f"{path}/landed/d{k}")
+        stream = jobs.read_stream(s.spark, f"{path}/landed/*", e.schema)
+        jobs.trailing_watchlist(stream, f"{path}/out", f"{path}/check").awaitTermination()
     out = jobs.current_watchlist(s.spark, f"{path}/out", AS_OF)
     return out.select(
         "event_id", "asx_ticker", "effective_date", _r("delayed_flow_opportunity_score").alias("score")
