@@ -162,7 +162,7 @@ class _Task:
     """Candidate windows of a task, decided as far as the task's own documents allow."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         self.n = 0
 
     def add(self, batch: pa.RecordBatch, table: np.ndarray, bits: int) -> None:
@@ -175,12 +175,19 @@ class _Task:
         row = np.searchsorted(words.row, at, "right") - 1
         doc = np.array(batch.column(0).cast(pa.int64()).fill_null(NO_ID))
         key = np.array(batch.column(1))
-        self.parts.append((doc[row], key[row], (at - words.row[row]).astype(np.int32), h1, (h2 >> np.uint64(32)).astype(np.uint32)))
+        new = (doc[row], key[row], (at - words.row[row]).astype(np.int32), h1, (h2 >> np.uint64(32)).astype(np.uint32))
+        for column, values in zip(self.columns, new):
+            column.append(values)
         self.n += len(at)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        doc, key, at, h1, h2 = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.n = [], 0
+        joined = []
+        for column in self.columns:  # one after the other, so that only one is held twice
+            joined.append(np.concatenate(column))
+            column.clear()
+        doc, key, at, h1, h2 = joined
+        del joined
+        self.n = 0
         if not len(doc):
             return
         order = np.lexsort((doc, h2, h1))
@@ -190,6 +197,7 @@ class _Task:
         least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
         decided = np.zeros(len(order), bool)
         decided[order] = d > least
+        del order, a, b, d, head, least
         # decided windows: as ranges of words of their document
         i = np.flatnonzero(decided)
         i = i[np.lexsort((at[i], key[i], doc[i]))]
@@ -217,7 +225,7 @@ def with_keys(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select("doc_id", "text")
     if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return rows.withColumn("text_key", F.lit(0).cast("long"))
+        return rows.withColumn("text_key", F.lit(0).cast("byte"))  # held for each window: as small as can be
     return tx.durable(rows.withColumn("text_key", F.monotonically_increasing_id()), "numbered")
 
 
