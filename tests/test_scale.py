@@ -7,8 +7,10 @@ import contextlib
 import pytest
 from conftest import RAMP, business_days, event_row, make_bars, make_events
 
+from pyspark.sql import functions as F
+
 from tidemark import session
-from tidemark.operators import flow
+from tidemark.operators import asof, flow, membership
 from tidemark.plans import pipeline
 
 DAYS = business_days("2023-01-02", 60)
@@ -54,3 +56,34 @@ def test_shuffle_partitions_follow_the_input(spark):
         undo.callback(spark.conf.unset, name)
         assert session.spread(spark, 1 << 30) == 512 and spark.conf.get(name) == "512"
         assert session.spread(spark, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stored_points_equal_lazy_ones_and_move_packs_once(spark, no_broadcast):
+    bars = make_bars(spark, RAMP).unionByName(make_bars(spark, RAMP[::-1], symbol="BOE.AX", start="2021-12-20"))
+    rows = [(s, DAYS[i]) for i in range(0, 60, 3) for s in ("PDN.AX", "BOE.AX", "ZZZ.AX")] + [(None, DAYS[0]), ("PDN.AX", None)]
+    left = spark.createDataFrame(rows, "symbol string, day date")
+    payload = {"date": "bar_date", "close": "bar_close"}
+    for forward in (False, True):
+        args = (left, bars, "symbol", "day", "date", payload)
+        lazy = asof.asof_join(*args, forward=forward, strict=True).collect()
+        assert sorted(map(str, asof.asof_join(*args, forward=forward, strict=True, stored=True).collect())) == sorted(map(str, lazy))
+    packs = session.durable(asof.pack(bars, "symbol", "date"), "packs")
+    with session.joins_in_place(spark):
+        hits = asof.resolve_points(left, packs, "symbol", "day", "date", payload)
+        assert len(exchanged(hits, "__rows")) <= 2
+
+
+def test_no_leg_is_shuffled_by_a_missing_start(spark):
+    bars = make_bars(spark, RAMP)
+    changes = spark.createDataFrame(
+        [("Large 500", "US", a, "PDN.AX", DAYS[i]) for a in ("ADD", "DEL") for i in (2, 30)],
+        "index_name string, market string, action string, ticker string, effective_date date",
+    )
+    bench = bars.select(F.lit("US").alias("market"), "date", "close")
+    legs = membership.membership_legs(changes, bars, bench)
+    # the calendar is joined to the changes, before one row becomes up to nine
+    assert not exchanged(legs, "leg") and "start#" not in legs._sc._jvm.PythonSQLUtils.explainString(legs._jdf.queryExecution(), "formatted")
+    found = {(r["strategy"], r["exit_date"]): r["gross_return"] for r in legs.collect()}
+    # the stock is its own benchmark: no excess return
+    assert found["S1x_ADD_excess_T-5", DAYS[30]] == pytest.approx(0.0)
+    assert ("S1x_ADD_excess_T-5", DAYS[2]) not in found and len(found) == 14
