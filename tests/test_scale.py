@@ -10,7 +10,7 @@ from conftest import RAMP, business_days, event_row, make_bars, make_events
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import asof, flow, membership
+from tidemark.operators import asof, flow, learning, membership
 from tidemark.plans import pipeline
 
 DAYS = business_days("2023-01-02", 60)
@@ -87,3 +87,18 @@ def test_no_leg_is_shuffled_by_a_missing_start(spark):
     # the stock is its own benchmark: no excess return
     assert found["S1x_ADD_excess_T-5", DAYS[30]] == pytest.approx(0.0)
     assert ("S1x_ADD_excess_T-5", DAYS[2]) not in found and len(found) == 14
+
+
+def test_folds_are_fitted_side_by_side_with_the_same_scores(spark, monkeypatch):
+    rows = [(f"E{i:03d}", float(i % 7), float((i * 5) % 11), i % 7 > 2, DAYS[i % 60]) for i in range(90)]
+    data = spark.createDataFrame(rows, "event_id string, market_cap double, volatility double, y boolean, announcement_date date")
+    target = F.when(F.col("event_id").endswith("3"), ~F.col("y")).otherwise(F.col("y")).cast("int")
+    args = (
+        data.select("event_id", "market_cap", "volatility"), data.select("event_id", target.alias("label_delayed_positive")),
+        data.select("event_id", "announcement_date"),
+    )
+    together = learning.train_classifier(*args, rounds=3, folds=2)
+    monkeypatch.setattr(learning, "FITS_AT_ONCE", 1)
+    alone = learning.train_classifier(*args, rounds=3, folds=2)
+    assert together["scores"] == pytest.approx(alone["scores"]) and len(alone["scores"]) == 2
+    assert together["model"].stages[-1].getNumTrees == 3
