@@ -10,7 +10,7 @@ from conftest import RAMP, business_days, event_row, make_bars, make_events
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import asof, flow, learning, membership
+from tidemark.operators import asof, backtest, bars as bar_ops, flow, learning, membership
 from tidemark.plans import pipeline
 
 DAYS = business_days("2023-01-02", 60)
@@ -54,6 +54,7 @@ def test_shuffle_partitions_follow_the_input(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     with contextlib.ExitStack() as undo:
         undo.callback(spark.conf.unset, name)
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
         assert session.spread(spark, 1 << 30) == 512 and spark.conf.get(name) == "512"
         assert session.spread(spark, 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,3 +103,55 @@ def test_folds_are_fitted_side_by_side_with_the_same_scores(spark, monkeypatch):
     alone = learning.train_classifier(*args, rounds=3, folds=2)
     assert together["scores"] == pytest.approx(alone["scores"]) and len(alone["scores"]) == 2
     assert together["model"].stages[-1].getNumTrees == 3
+
+
+def test_tasks_stay_small_after_merging(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    with contextlib.ExitStack() as undo:
+        undo.callback(spark.conf.unset, name)
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        session.spread(spark, 1 << 30)
+        assert int(spark.conf.get(name).rstrip("b")) <= 16 << 20
+
+
+def explained(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_long_look_back_reads_short_stretches_with_equal_values(spark):
+    closes = [1.0 + (i * 37 % 11) / 100 for i in range(200)]
+    closes[20], closes[70], closes[150] = 1e9, 0.0, float("nan")
+    bars = make_bars(spark, closes).withColumn("volume", F.when(F.dayofmonth("date") > 4, F.col("volume") + F.dayofyear("date")))
+    bars = bars.withColumn("dollar_volume", F.when(F.dayofmonth("date") != 9, F.col("close") * F.col("volume")))
+    short = make_bars(spark, RAMP[:2], symbol="BOE.AX")
+    numbered = bar_ops.with_positions(bars.unionByName(short))
+    out = bar_ops.with_trailing(numbered)
+    text = explained(out)
+    assert "-20" in text and "-62" not in text
+    last = bar_ops.trailing(63)
+    plain = out.withColumns({
+        "v_dollars": F.avg(bar_ops.traded_value()).over(last), "v_shares": F.avg("volume").over(last),
+        "v_dev": F.when(F.col("bar_no") >= 5, F.stddev_samp("daily_return").over(last) * F.sqrt(F.lit(252.0))),
+    })
+    rows = plain.collect()
+    assert len(rows) == 202
+    for r in rows:
+        for mine, theirs in (("adv_dollars", "v_dollars"), ("adv_shares", "v_shares"), ("volatility", "v_dev")):
+            assert (r[mine] is None) == (r[theirs] is None), (mine, r)
+            if r[mine] is not None:
+                assert r[mine] == pytest.approx(r[theirs], rel=1e-9, nan_ok=True), (mine, r)
+
+
+def test_trades_read_their_bars_from_one_written_table(spark, no_broadcast):
+    bars = make_bars(spark, RAMP)
+    e = make_events(spark, [event_row(event_id=f"E{i}", announcement_date=DAYS[i], effective_date=DAYS[i + 7]) for i in range(25, 40)])
+    trades = e.select(
+        F.lit("S").alias("strategy"), "event_id", "asx_ticker", F.lit(1).alias("direction"), F.lit("next_open").alias("entry_ref"),
+        F.lit("effective").alias("exit_spec"), F.lit(30).alias("max_hold_days"),
+    )
+    out = backtest.backtest_trades(trades, e, bars)
+    text = explained(out)
+    assert "trade-bars" in text and "avg(" not in text and "-20" not in text
+    wide = backtest.backtest_trades(trades, flow.attach_bars(e, bars).withColumn("market_cap", F.lit(None).cast("double")), bars)
+    got = sorted(map(str, out.collect()))
+    assert got == sorted(map(str, wide.collect())) and len(got) == 15 and "rejected=False" in got[0]
