@@ -10,7 +10,7 @@ from conftest import RAMP, business_days, event_row, make_bars, make_events
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import asof, backtest, bars as bar_ops, events as event_ops, flow, learning, membership, snapshots
+from tidemark.operators import asof, backtest, bars as bar_ops, events as event_ops, features, flow, learning, membership, snapshots, strategies
 from tidemark.plans import pipeline
 from tidemark.plans.queries import Lab
 
@@ -249,3 +249,47 @@ def test_lines_dealt_by_stock_keep_their_events(spark):
     assert sorted(map(str, event_ops.events_from_holdings(dealt, registry, dates=dates).collect())) == plain and len(plain) == 8
     diff = sorted(map(str, snapshots.diff_history(h).collect()))
     assert sorted(map(str, snapshots.diff_history(dealt).drop(snapshots.DEALT).collect())) == diff
+
+
+def test_bars_are_stored_without_what_follows_from_other_columns(spark):
+    rows = [("A", DAYS[0], 1.0, 1.0, 1.0, 1.0, 5.0), ("A", DAYS[1], 1.0, 3.0, 0.5, 2.0, 5.0), ("A", DAYS[2], 1.0, 1.0, 1.0, None, None),
+            ("B", DAYS[0], None, 2.0, 2.0, 2.0, 1.0), ("B", DAYS[1], None, None, None, None, 1.0), (None, DAYS[3], float("nan"), float("nan"), 1.0, 1.0, 2.0)]
+    bars = bar_ops.fill_bar_columns(spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double"))
+    stored = bar_ops.to_store(bars)
+    assert not {"adj_close", "vwap", "dollar_volume"} & set(stored.columns) and stored.where("one_price and high is not null").isEmpty()
+    back = bar_ops.from_store(stored)
+    assert back.columns == bars.columns and sorted(map(str, back.collect())) == sorted(map(str, bars.collect()))
+
+
+def test_packs_do_not_move_for_the_window_of_points_by_key(spark, no_broadcast):
+    bars = session.durable_by(make_bars(spark, RAMP).unionByName(make_bars(spark, RAMP[::-1], symbol="BOE.AX", start="2021-12-20")), "dealt-bars", "symbol", 4)
+    rows = [(s, DAYS[i]) for i in range(0, 60, 3) for s in ("PDN.AX", "BOE.AX", "ZZZ.AX")]
+    points = session.durable_by(spark.createDataFrame(rows, "symbol string, day date"), "dealt-points", "symbol", 4)
+    with session.joins_in_place(spark):
+        # as events look their bars up: under another name of the key
+        renamed = bars.withColumnRenamed("symbol", "asx_ticker"), points.withColumnRenamed("symbol", "asx_ticker")
+        hits = asof.resolve_points(renamed[1], renamed[0], "asx_ticker", "day", "date", {"date": "bar_date", "close": "bar_close"}, known=True)
+        assert not shuffled(hits)
+        assert hits.count() == 40 and hits.where("bar_date > day").isEmpty()
+
+
+def test_lookups_store_no_wide_row_besides_the_looked_up_events(spark, no_broadcast):
+    lab = Lab(spark, "/root/testdata/sf0.001")
+    with contextlib.ExitStack() as undo:
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        found = lab.lazy_looked_up()
+        assert lab.event_days().columns == ["asx_ticker", "look_date", "bar_date"] and "notes" not in found.columns
+        assert "event_bars" not in explained(found)
+        # a date or a stock that is missing meets nothing but the counts of its stock
+        rows = [event_row(event_id=f"E{i}", asx_ticker=t, announcement_date=d, effective_date=DAYS[40], product_ticker=p)
+                for i, (t, d, p) in enumerate([("PDN.AX", DAYS[30], "F"), ("PDN.AX", None, "F"), (None, DAYS[30], "F"), ("ZZZ.AX", DAYS[30], None), ("PDN.AX", DAYS[31], "G"), (None, None, "G")])]
+        e, bars = make_events(spark, rows), make_bars(spark, RAMP)
+        caps = spark.createDataFrame([("PDN.AX", DAYS[3], 7.0)], "symbol string, date date, market_cap double")
+        profiles = spark.createDataFrame([("PDN.AX", "s", "i", 9.0)], "symbol string, sector string, industry string, market_cap double")
+        plain = pipeline.look_up(e, bars, caps, profiles)
+        facts = features.stock_day_facts(e, caps, strategies.stock_stacks(e))
+        known = features.attach_facts(e.withColumn("ref_date", flow.reference_date()), facts, profiles)
+        out = flow.attach_bars_by_day(known, bars, flow.bar_days(e, bars))
+        assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert set(out.columns) == set(plain.columns) and out.count() == 6
