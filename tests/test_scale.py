@@ -10,7 +10,9 @@ from conftest import RAMP, business_days, event_row, make_bars, make_events
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import asof, backtest, bars as bar_ops, events as event_ops, features, flow, learning, membership, snapshots, strategies
+from tidemark.operators import (
+    asof, backtest, bars as bar_ops, diagnostics, events as event_ops, features, flow, learning, membership, snapshots, strategies, sweep,
+)
 from tidemark.plans import pipeline
 from tidemark.plans.queries import Lab
 
@@ -293,3 +295,37 @@ def test_lookups_store_no_wide_row_besides_the_looked_up_events(spark, no_broadc
         out = flow.attach_bars_by_day(known, bars, flow.bar_days(e, bars))
         assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
         assert set(out.columns) == set(plain.columns) and out.count() == 6
+
+
+def test_trials_find_their_exits_in_place(spark, no_broadcast, monkeypatch):
+    lab, plans = Lab(spark, "/root/testdata/sf0.001"), {}
+
+    def written(df, name="stage"):
+        plans[name] = shuffled(df)
+        return session.durable(df, name)
+
+    monkeypatch.setattr(sweep, "durable", written)
+    with contextlib.ExitStack() as undo:
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        undo.callback(spark.conf.unset, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        enriched, bars = lab.enriched(), lab.bars()
+        monkeypatch.setattr(sweep, "bootstrap_ci", lambda ledger, keys: ledger.groupBy(*keys).agg(F.lit(0.0).alias("ci_low"), F.lit(0.0).alias("ci_high")))
+
+        def rounded(df):
+            # sums of doubles differ in the last digit by the order of their rows
+            return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+        placed = rounded(sweep.first_round(enriched, bars, by_stock=True))
+        assert not plans["trials"] and len(placed) == 4
+        assert placed == rounded(sweep.first_round(enriched, bars)) and plans["trials"]
+
+
+def test_ids_are_counted_apart_from_the_means(spark, no_broadcast):
+    e = make_events(spark, [event_row(event_id=i, provider=p) for i, p in [("A", "P"), ("A", "P"), ("B", "P"), ("B", "Q"), (None, "Q"), (None, "R"), ("C", None)]])
+    e = e.withColumns({c: F.when(F.col("event_id") != "B", F.lit(2.0)).otherwise(F.lit(5.0)) for c in (
+        "immediate_reaction", "delayed_return", "underreaction_score", "delayed_flow_opportunity_score")})
+    out = diagnostics.inefficiency(e, "provider")
+    moved = exchanged(out, "event_id")
+    assert moved and not any("sum#" in line for node in moved for line in node if line.startswith("Input"))
+    assert {r["provider"]: (r["n_events"], r["avg_delayed_return"], r["median_delayed_return"]) for r in out.collect()} == {
+        "P": (2, 3.0, 2.0), "Q": (1, 5.0, 5.0), "R": (0, 5.0, 5.0)}
